@@ -16,17 +16,20 @@ from assayer.session import materialise
 _SLICE = "_slice"
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """Attach one-row-per-key attributes without gathering a key's rows.
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 32
+) -> DataFrame:
+    """Attach per-key attributes without gathering a key's rows in one task.
 
-    Rows of ``big`` are dealt over ``salts`` copies of each attribute row. The
-    join partitioning therefore never satisfies a later grouping on ``keys``,
-    and a key that holds a third of the data is still shared by many tasks.
-    Spark remains free to broadcast ``small`` where its size allows it.
+    The rows of ``big`` are dealt by a hash of the columns ``by`` over ``salts``
+    copies of the attribute rows. The join partitioning therefore never serves a
+    later grouping on ``keys``, and a key that holds a third of the data is
+    still shared by many tasks. Spark remains free to broadcast ``small`` where
+    its size allows it.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
-    dealt = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -443,9 +443,17 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
 
 
 def score_alternatives(
-    result_rows: DataFrame, questions: DataFrame, order_parse: str = "faithful", numpy_broadcast: bool = False
+    result_rows: DataFrame,
+    questions: DataFrame,
+    order_parse: str = "faithful",
+    numpy_broadcast: bool = False,
+    skip_exact: bool = True,
 ) -> DataFrame:
-    """``exact`` and ``subset`` per (pair, gold alternative), errors left out."""
+    """``exact`` and ``subset`` per (pair, gold alternative), errors left out.
+
+    The subset test of an exact alternative does not change its score and is
+    only made with ``skip_exact=False``.
+    """
     failed = result_rows.filter(F.col("err").isNotNull()).select("pair_id", "alt", "side").distinct()
     gen_failed = failed.filter(F.col("side") == "gen").select("pair_id")
     gold_failed = failed.filter(F.col("side") == "gold").select(*PAIR)
@@ -454,8 +462,9 @@ def score_alternatives(
     verdict = exact_matches(prepared)
     if numpy_broadcast:
         verdict = _with_broadcast_shapes(prepared, verdict)
+    decided = F.col("normal_equal") if skip_exact else F.lit(False)
     undecided = verdict.filter(
-        ~F.col("normal_equal") & (F.col("gold_rows") > 0) & (F.col("gold_rows") == F.col("gen_rows"))
+        ~decided & (F.col("gold_rows") > 0) & (F.col("gold_rows") == F.col("gen_rows"))
     ).select(*PAIR)
     if undecided.isEmpty():
         return verdict.select(*PAIR, F.col("normal_equal").alias("exact"), F.lit(False).alias("subset"))

@@ -34,6 +34,22 @@ def spread_join(
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+# A side is broadcast only after its rows were measured to stay below this size.
+BROADCAST_BYTES = 16 << 20
+
+
+def attach(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join per-key attributes that were materialised before.
+
+    The attributes are measured: within ``BROADCAST_BYTES`` they go to every
+    task and ``big`` is not shuffled; beyond that the salted join takes over.
+    """
+    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns)))).alias("bytes")).first().bytes or 0
+    if size <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys, how)
+    return spread_join(big, small, keys, by, how)
+
+
 def _sliced(df: DataFrame, group: list[str], order: list[Column | str]) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(parts, *group, *order).withColumn(_SLICE, F.spark_partition_id())

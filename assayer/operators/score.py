@@ -24,7 +24,7 @@ from assayer.functions.cells import (
 )
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import unique_names
-from assayer.operators.ordered import lowest_running_sum, ranked, spread_join
+from assayer.operators.ordered import attach, lowest_running_sum, ranked
 from assayer.session import materialise
 
 PAIR = ["pair_id", "alt"]
@@ -52,8 +52,8 @@ def prepare_rows(result_rows: DataFrame, questions: DataFrame, order_parse: str
     alternatives = (
         result_rows.filter(F.col("side") == "gold").groupBy("pair_id").agg(F.collect_set("alt").alias("alts"))
     )
-    specs = order_specs(questions, order_parse).join(alternatives, "pair_id")
-    joined = spread_join(result_rows.drop("err"), specs, ["pair_id"], by=["pos", "side", "alt"])
+    specs = materialise(order_specs(questions, order_parse).join(alternatives, "pair_id"))
+    joined = attach(result_rows.drop("err"), specs, ["pair_id"], by=["pos", "side", "alt"])
     order = F.when(F.col("side") == "gold", F.col("gold_order")).otherwise(F.col("gen_order"))
     return (
         joined.withColumn(
@@ -178,7 +178,7 @@ def exact_matches(prepared: DataFrame) -> DataFrame:
     specs = pending.select(
         *PAIR, "gold_keyed", "gen_keyed", "gold_keys", "gen_keys", "gold_desc", "gen_desc", "gold_distinct"
     )
-    open_rows = spread_join(content, specs, PAIR, by=["gold_pos"])
+    open_rows = attach(content, specs, PAIR, by=["gold_pos"])
     sides = reduce(DataFrame.unionByName, [_side_keys(open_rows, side) for side in ("gold", "gen")])
     order = _same_sequence(sides, tolerant=False)
     joined = materialise(verdict.join(order, PAIR, "left"))
@@ -213,7 +213,7 @@ def column_profiles(rows: DataFrame) -> DataFrame:
     with their places; together with the counts they stand for the column.
     """
     cells = rows.filter(F.col("pos").isNotNull()).select(
-        *PAIR, "side", "pos", F.posexplode("vals").alias("col", "cell")
+        *PAIR, "side", "pos", "names", F.posexplode("vals").alias("col", "cell")
     )
     missing, num = is_missing(F.col("cell")), F.col("cell.num")
     value = canonical(F.col("cell"))
@@ -224,6 +224,7 @@ def column_profiles(rows: DataFrame) -> DataFrame:
         F.sum(missing.cast("long")).alias("missing"),
         F.sum(unequal.cast("long")).alias("unequal_missing"),
         F.max("cell.tag").alias("tag"),
+        F.max(F.get("names", F.col("col"))).alias("name"),
         F.min(num).alias("lo"),
         F.max(num).alias("hi"),
         F.sum(num).alias("total"),
@@ -313,7 +314,7 @@ def tolerant_matches(rows: DataFrame, open_pairs: DataFrame) -> DataFrame:
 
     def events(side: str, col: str, tests: list) -> DataFrame:
         values = counts.filter(F.col("side") == side).withColumnRenamed("col", col).drop("side")
-        joined = spread_join(values, open_pairs.select(*group), [*PAIR, col], by=["num"])
+        joined = attach(values, open_pairs.select(*group), [*PAIR, col], by=["num"])
         return joined.select(
             *group,
             F.explode(
@@ -364,19 +365,12 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
     matches = candidates.filter("sure").drop("sure")
     if not undecided.isEmpty():
         matches = matches.unionByName(tolerant_matches(rows, undecided))
-    tags = (
-        profiles.groupBy(*PAIR, "side")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "tag"))), lambda c: c["tag"]).alias("tags"))
-        .groupBy(*PAIR)
-        .agg(
-            F.first(F.when(F.col("side") == "gold", F.col("tags")), ignorenulls=True).alias("gold_tags"),
-            F.first(F.when(F.col("side") == "gen", F.col("tags")), ignorenulls=True).alias("gen_tags"),
-        )
-    )
-    names = (
-        rows.filter(F.col("side") == "gold")
-        .groupBy(*PAIR)
-        .agg(F.first("names").alias("gold_names"))
+    def listed(side: str, field: str, into: str) -> Column:
+        of_side = F.collect_list(F.when(F.col("side") == side, F.struct("col", field)))
+        return F.transform(F.array_sort(of_side), lambda c: c[field]).alias(into)
+
+    labels = profiles.groupBy(*PAIR).agg(
+        listed("gold", "tag", "gold_tags"), listed("gen", "tag", "gen_tags"), listed("gold", "name", "gold_names")
     )
     # Name order of the gold columns, as 0-based places.
     by_name = F.transform(
@@ -386,8 +380,7 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
         assign_columns(matches)
         .join(verdict.select(*PAIR, "intent", "gold_cols"), PAIR)
         .filter(F.size("taken") == F.col("gold_cols"))
-        .join(names, PAIR)
-        .join(tags, PAIR)
+        .join(labels, PAIR)
         .withColumn("gold_places", by_name)
         .withColumn("gen_places", F.transform("gold_places", lambda i: F.get("taken", i)))
         .withColumn(
@@ -401,7 +394,7 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
     )
     if plan.isEmpty():
         return plan.select(*PAIR)
-    placed = spread_join(rows.select(*PAIR, "side", "pos", "vals"), plan, PAIR, by=["pos", "side"])
+    placed = attach(rows.select(*PAIR, "side", "pos", "vals"), plan, PAIR, by=["pos", "side"])
     places = F.when(F.col("side") == "gold", F.col("gold_places")).otherwise(F.col("gen_places"))
     content = distinct_rows(
         placed.withColumn("canon", F.transform(places, lambda i: canonical(F.get("vals", i))))
@@ -421,7 +414,7 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
     pending = sets.filter("by_sequence")
     if pending.isEmpty():
         return settled
-    open_rows = spread_join(
+    open_rows = attach(
         content, pending.select(*PAIR, "intent", "floating", "gold_distinct"), PAIR, by=["gold_pos", "gen_pos"]
     )
 
@@ -468,7 +461,7 @@ def score_alternatives(
     ).select(*PAIR)
     if undecided.isEmpty():
         return verdict.select(*PAIR, F.col("normal_equal").alias("exact"), F.lit(False).alias("subset"))
-    open_rows = spread_join(prepared, undecided, PAIR, by=["pos", "side"], how="left_semi")
+    open_rows = attach(prepared, undecided, PAIR, by=["pos", "side"], how="left_semi")
     profiles = materialise(column_profiles(open_rows))
     in_place = positional_matches(profiles)
     subset = subset_matches(open_rows, profiles, verdict).withColumn("subset", F.lit(True))

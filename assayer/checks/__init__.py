@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Check = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = ("expansion", "responses", "matching", "execution")
+_FAMILIES = ("gold", "expansion", "responses", "matching", "execution")
 _QUERIES: dict[str, Check] = {}
 _ORACLES: dict[str, str] = {}
 

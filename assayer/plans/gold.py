@@ -6,9 +6,11 @@ hint: Spark sees the size of the files and broadcasts what is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.ordered import ranked, spread_join
+
 
 def money(value: Column) -> Column:
     """An exact sum of amounts with two decimals, as a double."""
@@ -71,6 +73,14 @@ def without_partner(left: DataFrame, right: DataFrame, on: Column, columns: list
 
 
 def ranked_groups(df: DataFrame, keys: list[str], measure: Column, into: str) -> DataFrame:
-    """Rank the groups by an aggregate, largest first, ties sharing a rank."""
+    """Rank the groups by an aggregate, largest first, ties sharing a rank.
+
+    The groups are numbered over range slices, so a grouping with very many
+    groups does not pass through one task.
+    """
     grouped = df.groupBy(*keys).agg(measure.alias(into))
-    return grouped.withColumn("place", F.rank().over(Window.orderBy(F.col(into).desc())))
+    tie = F.coalesce(F.col(into).cast("string"), F.lit("NULL"))
+    keyed = grouped.withColumns({"_tie": tie, "_null": F.col(into).isNull(), "_fall": -F.col(into)})
+    numbered = ranked(keyed, [], ["_null", "_fall", *keys], into="_number")
+    firsts = numbered.groupBy("_tie").agg(F.min("_number").alias("place"))
+    return spread_join(numbered, firsts, ["_tie"], by=keys).drop("_tie", "_null", "_fall", "_number")

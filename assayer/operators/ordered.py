@@ -70,20 +70,28 @@ def lowest_running_sum(df: DataFrame, group: list[str], order: list[str], delta:
     )
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], into: str = "rank") -> DataFrame:
-    """Number the rows of each group from 1 in the given order.
+def running_totals(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add running sums over the rows of each group in the given order.
 
-    Slices are pinned in the checkpoint folder, because slice sizes and slice
+    Slices are pinned in the checkpoint folder, because slice totals and slice
     contents are read separately and must agree even after a lost executor.
     """
-    pinned = materialise(_sliced(df, group, order))
+    values = df.withColumns({f"_v_{name}": value for name, value in sums.items()})
+    pinned = materialise(_sliced(values, group, order))
     earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = pinned.groupBy(*group, _SLICE).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-    in_slice = Window.partitionBy(*group, _SLICE).orderBy(*order)
-    return (
-        pinned.withColumn("_local", F.row_number().over(in_slice))
+    in_slice = Window.partitionBy(*group, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = pinned.groupBy(*group, _SLICE).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    offsets = totals.select(
+        *group, _SLICE, *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in sums]
+    )
+    summed = (
+        pinned.withColumns({f"_l_{name}": F.sum(f"_v_{name}").over(in_slice) for name in sums})
         .join(offsets, [*group, _SLICE])
-        .withColumn(into, F.col("_before") + F.col("_local"))
-        .drop("_before", "_local", _SLICE)
+        .withColumns({name: F.col(f"_b_{name}") + F.col(f"_l_{name}") for name in sums})
     )
+    return summed.drop(_SLICE, *[f"_{k}_{name}" for k in "vlb" for name in sums])
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], into: str = "rank") -> DataFrame:
+    """Number the rows of each group from 1 in the given order."""
+    return running_totals(df, group, order, {into: F.lit(1).cast("bigint")})

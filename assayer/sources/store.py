@@ -44,8 +44,14 @@ def nested_rows(results: DataFrame, parameters: dict) -> DataFrame:
     return results.withColumn("run_time", F.lit(parameters.get("created_at")).cast("timestamp")).withColumn("run_params", params)
 
 
-def append_run(results: DataFrame, path: str, parameters: dict) -> None:
-    store_rows(results, parameters).write.mode("append").parquet(path)
+def create_store(spark: SparkSession, eval_path: str, prompt_path: str) -> None:
+    """Empty tables, so that the first append finds a schema."""
+    for path, fields in ((eval_path, EVAL_FIELDS), (prompt_path, PROMPT_FIELDS)):
+        spark.createDataFrame([], fields).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+
+def append_run(results: DataFrame, path: str, parameters: dict, batch: int = 0) -> None:
+    store_rows(results, parameters).write.mode("append").parquet(f"{path}/batch={batch}")
 
 
 def unseen_prompts(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def unseen_prompts(new: DataFrame, known: DataFrame) -> DataFrame:
     return once.join(known.select("prompt_id"), "prompt_id", "left_anti")
 
 
-def insert_prompts(spark: SparkSession, new: DataFrame, path: str) -> None:
+def insert_prompts(spark: SparkSession, new: DataFrame, path: str, batch: int = 0) -> None:
     """Append unseen prompts to a stored prompt table."""
     known = spark.read.schema(PROMPT_FIELDS).parquet(path)
-    unseen_prompts(new, known).write.mode("append").parquet(path)
+    unseen_prompts(new, known).write.mode("append").parquet(f"{path}/batch={batch}")

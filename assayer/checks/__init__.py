@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Check = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = ("gold", "expansion", "responses", "matching", "execution", "schema_text", "workflow", "reports", "mining")
+_FAMILIES = ("gold", "expansion", "responses", "matching", "execution", "schema_text", "workflow", "reports", "mining", "storage", "live")
 _QUERIES: dict[str, Check] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -193,3 +193,13 @@ def whole_run(spark, sf_dir):
     return run.select(
         "qid", (F.col("exact_match") == 1).alias("exact"), (F.col("correct") == 1).alias("correct"), "error_class"
     )
+
+
+def orders_without_items_scores(spark, sf_dir):
+    """The flagship: a generated statement with one more column is correct but not exact."""
+    questions = spark.createDataFrame(
+        [(q, "shop", c, t, g) for q, c, t, g, _, _ in _RUN[:1]],
+        "qid bigint, db_name string, query_category string, question string, query string",
+    )
+    responses = spark.createDataFrame([(r[0], r[4]) for r in _RUN[:1]], "qid bigint, content string")
+    return evaluate_run(spark, questions, responses, sf_dir, RunOptions(seconds=None))

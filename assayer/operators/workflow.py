@@ -37,7 +37,7 @@ def regroup(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFram
     """Back to parallel lists in ``alt`` order; a group holds one row's alternatives."""
     items = F.array_sort(F.collect_list(F.struct("alt", *columns)))
     grouped = df.groupBy(*keys).agg(items.alias("_items"))
-    return grouped.select(*keys, *[F.transform("_items", lambda i, c=c: i[c]).alias(n) for c, n in columns.items()])
+    return grouped.select(*keys, *[F.col(f"_items.{c}").alias(n) for c, n in columns.items()])
 
 
 def any_invalid(valid: Column) -> Column:

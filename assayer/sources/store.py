@@ -31,7 +31,7 @@ def stamp() -> dict[str, str]:
 def store_rows(results: DataFrame, parameters: dict) -> DataFrame:
     """Result rows in the shape of the store, with the constants of their run."""
     named = results.withColumnRenamed("query", "golden_query")
-    constants = {c: F.lit(parameters.get(c)) for c in RUN_PARAMETERS}
+    constants = {c: F.lit(parameters.get(c)) for c in RUN_PARAMETERS if c in parameters or c not in named.columns}
     full = named.withColumns(constants)
     fields = [f.strip().split(" ") for f in EVAL_FIELDS.split(",")]
     missing = {n: F.lit(None) for n, _ in fields if n not in full.columns}

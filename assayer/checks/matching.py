@@ -38,19 +38,17 @@ def pair_rows(spark, sf_dir):
     gold, gen = spark.sql(PAIRS_SQL), spark.sql(GEN_SQL.replace("1e-9", "1e-9D"))
     left = capture.long_rows(gold, F.col("pair_id"), "gold", F.col("p"), ["a", "b", "c"], 0)
     plain = capture.long_rows(gen, F.col("pair_id"), "gen", F.col("p"), ["a", "b", "c"])
-    variant = gen.select(
-        F.col("pair_id").cast("bigint").alias("pair_id"), F.col("p").alias("pos"), "v", F.col("a").alias("extra")
-    )
     wide = F.array(
         F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")
     )
     renamed = F.array(F.lit("x"), F.lit("y"), F.lit("z"))
-    more = F.struct(F.lit("n").alias("tag"), F.col("v").cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+    more = F.struct(F.lit("#").alias("kind"), F.col("v").cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
     v = (F.col("pair_id") % 7).alias("v")
     right = (
         plain.withColumn("v", v)
         .withColumn("names", F.when(F.col("v") == 2, renamed).when(F.col("v") == 3, wide).otherwise(F.col("names")))
         .withColumn("vals", F.when(F.col("v") == 3, F.concat("vals", F.array(more))).otherwise(F.col("vals")))
+        .withColumn("tags", F.when(F.col("v") == 3, F.concat("tags", F.array(F.lit("n")))).otherwise(F.col("tags")))
         .drop("v")
     )
     return left.unionByName(right)
@@ -66,6 +64,11 @@ def plain_questions(spark, rows):
     )
 
 
+def pair_plan(spark, rows):
+    plan = score.comparison_plan(score.result_heads(rows), plain_questions(spark, rows))
+    return score.materialise(plan)
+
+
 # What the scores must be, found by a full join of both sides on the key.
 _CLOSE = "abs(g.b - n.b) <= greatest(1e-5 * greatest(abs(g.b), abs(n.b)), 1e-8)"
 PAIR_ORACLE = f"""
@@ -115,11 +118,9 @@ def columns_by_name(spark, sf_dir):
     rows = capture.long_rows(
         gold, F.col("pair_id"), "gold", F.col("p"), ["b", "c", "a"], 0, names=["bal", "Seg", "Key"]
     )
-    asked = plain_questions(spark, rows)
-    sorted_rows = score.arranged(score.prepare_rows(rows, asked))
-    text = F.transform(
-        "canon", lambda c: F.coalesce(c["txt"], F.when(c["num"] % 1 == 0, c["num"].cast("bigint").cast("string")).otherwise(c["num"].cast("string")))
-    )
+    gen = rows.withColumns({"side": F.lit("gen"), "alt": F.lit(None).cast("int")})
+    plan = pair_plan(spark, rows.unionByName(gen))
+    sorted_rows = score.placed_rows(rows, plan)
     key, seg, bal = (F.get("canon", F.lit(i)) for i in range(3))
     return sorted_rows.select(
         "pair_id",
@@ -242,10 +243,9 @@ UNION ALL SELECT pair_id, false FROM s WHERE pair_id % 7 = 5
 """)
 def positional_match(spark, sf_dir):
     rows = pair_rows(spark, sf_dir)
-    prepared = score.prepare_rows(rows, plain_questions(spark, rows))
-    same = score.positional_matches(score.column_profiles(prepared))
-    shape = score.shapes(prepared)
-    return shape.join(same, score.PAIR).select(
+    plan = pair_plan(spark, rows)
+    same = score.positional_matches(score.column_profiles(score.planned_rows(rows, plan), plan))
+    return plan.join(same, score.PAIR).select(
         "pair_id", (F.col("same_places") & (F.col("gold_cols") == F.col("gen_cols"))).alias("same_places")
     )
 
@@ -253,7 +253,7 @@ def positional_match(spark, sf_dir):
 @check("c11_normal_match", PAIR_ORACLE + "SELECT pair_id, exact AS normal_equal FROM s")
 def normal_match(spark, sf_dir):
     rows = pair_rows(spark, sf_dir)
-    return score.exact_matches(score.prepare_rows(rows, plain_questions(spark, rows))).select("pair_id", "normal_equal")
+    return score.exact_matches(rows, pair_plan(spark, rows)).select("pair_id", "normal_equal")
 
 
 @check("c12_exact_match_frames", """
@@ -278,7 +278,7 @@ FROM customer GROUP BY c_nationkey
 def empty_gold(spark, sf_dir):
     rows = pair_rows(spark, sf_dir).filter("side = 'gold'")
     gen = rows.withColumn("side", F.lit("gen")).withColumn("alt", F.lit(None).cast("int"))
-    marker = rows.select("pair_id", "alt", "side", "names", "err").distinct().withColumn("pos", F.lit(None).cast("bigint"))
+    marker = rows.select("pair_id", "alt", "side", "names", "tags", "err").distinct().withColumn("pos", F.lit(None).cast("bigint"))
     marker = marker.withColumn("vals", F.lit(None).cast(rows.schema["vals"].dataType))
     both = rows.filter("pair_id % 2 = 1").unionByName(marker).unionByName(gen)
     return score.score_pairs(both, plain_questions(spark, rows)).select("pair_id", "exact", "correct")
@@ -295,10 +295,10 @@ FROM cols g JOIN gcols n ON g.pair_id = n.pair_id
 """)
 def column_matches(spark, sf_dir):
     rows = pair_rows(spark, sf_dir)
-    prepared = score.prepare_rows(rows, plain_questions(spark, rows))
-    profiles = score.materialise(score.column_profiles(prepared))
-    candidates = score.column_candidates(profiles)
-    close = score.tolerant_matches(prepared, candidates.filter("not sure"))
+    plan = pair_plan(spark, rows)
+    planned = score.planned_rows(rows, plan)
+    candidates = score.materialise(score.column_candidates(score.column_profiles(planned, plan)))
+    close = score.tolerant_matches(planned, candidates.filter("not sure"))
     found = candidates.filter("sure").drop("sure").unionByName(close)
     text = F.concat(F.col("g_col").cast("string"), F.lit(":"), F.col("n_col").cast("string"), F.lit(" "))
     texts = found.groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set(text)), "").alias("found"))
@@ -327,10 +327,10 @@ def greedy_columns(spark, sf_dir):
 @check("c16_matched_projection", PAIR_ORACLE + "SELECT pair_id FROM s WHERE subset")
 def matched_projection(spark, sf_dir):
     rows = pair_rows(spark, sf_dir)
-    prepared = score.prepare_rows(rows, plain_questions(spark, rows))
-    profiles = score.materialise(score.column_profiles(prepared))
-    verdict = score.exact_matches(prepared)
-    return score.subset_matches(prepared, profiles, verdict).select("pair_id")
+    plan = pair_plan(spark, rows)
+    planned = score.planned_rows(rows, plan)
+    profiles = score.materialise(score.column_profiles(planned, plan))
+    return score.subset_matches(rows, planned, profiles, plan).select("pair_id")
 
 
 @check("c17_subset_match_frames", """

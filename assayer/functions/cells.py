@@ -1,10 +1,13 @@
 """One uniform cell type, so that results of any schema fit one long table.
 
-A cell is ``struct<tag, num, txt>``. ``tag`` names the kind of the column the
-value came from: f floating, n whole number, m decimal, b boolean, s text,
-d date, t timestamp, j nested. Numbers keep their value in ``num``; ``txt``
-holds the digits only where a double cannot. Everything else lives in ``txt``.
-NULL and NaN leave both empty and keep the tag.
+A cell is ``struct<kind, num, txt>``. Cells are equal exactly when their values
+are: all numbers share the kind ``#`` and keep their value in ``num``, with the
+digits in ``txt`` only where a double cannot hold them; texts (s), dates (d),
+timestamps (t) and nested values (j) live in ``txt``. NULL and NaN are one cell
+of kind ``~``, which sorts after all others.
+
+The kind of a whole column, its ``tag``, also tells floating (f), whole (n),
+decimal (m) and boolean (b) numbers apart; it is kept once per result.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELL = "struct<tag:string,num:double,txt:string>"
+CELL = "struct<kind:string,num:double,txt:string>"
+NUMBER, MISSING = "#", "~"
 NUMERIC_TAGS = ("f", "n", "m", "b")
 # Nulls of these tags are held as missing floats and differ from each other
 # where frames are compared position by position.
@@ -49,18 +53,18 @@ def round_half_even(value: Column, decimals: int | None) -> Column:
     return F.rint(value * scale) / scale
 
 
-def cell(value: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
-    """The uniform cell of a typed column."""
+def cell_parts(value: Column, dtype: T.DataType, decimals: int | None = None) -> tuple[Column, Column | None, Column | None]:
+    """Kind, number and text of a typed column; a part the type never has is None."""
     tag = tag_of(dtype)
-    num, txt = F.lit(None).cast("double"), F.lit(None).cast("string")
+    num = txt = None
     if tag == "f":
         num = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
         num = round_half_even(num, decimals) + F.lit(0.0)
     elif tag in ("n", "m"):
         num = value.cast("double")
-        digits = "decimal(20,0)" if tag == "n" else dtype.simpleString()
-        exact = num.try_cast(digits) == value.cast(digits)
-        txt = F.when(~F.coalesce(exact, F.lit(False)), value.cast("string"))
+        if tag == "m" or isinstance(dtype, T.LongType):
+            exact = num.try_cast("decimal(20,0)" if tag == "n" else dtype.simpleString()) == value
+            txt = F.when(~F.coalesce(exact, F.lit(False)), value.cast("string"))
     elif tag == "b":
         num = value.cast("int").cast("double")
     elif tag == "t":
@@ -71,33 +75,32 @@ def cell(value: Column, dtype: T.DataType, decimals: int | None = None) -> Colum
         txt = F.hex(value)
     else:
         txt = value.cast("string")
-    return F.struct(F.lit(tag).alias("tag"), num.alias("num"), txt.alias("txt"))
+    present = num.isNotNull() if num is not None else txt.isNotNull()
+    kind = F.when(present, F.lit(NUMBER if tag in NUMERIC_TAGS else tag)).otherwise(F.lit(MISSING))
+    return kind, num, txt
 
 
-def is_missing(c: Column) -> Column:
-    return c["num"].isNull() & c["txt"].isNull()
+def cell(value: Column, dtype: T.DataType, decimals: int | None = None) -> Column:
+    """The uniform cell of a typed column."""
+    kind, num, txt = cell_parts(value, dtype, decimals)
+    return F.struct(
+        kind.alias("kind"),
+        (F.lit(None).cast("double") if num is None else num).alias("num"),
+        (F.lit(None).cast("string") if txt is None else txt).alias("txt"),
+    )
 
 
-def canonical(c: Column) -> Column:
-    """The cell with kinds that compare by value merged and all nulls made one."""
-    kind = (
-        F.when(is_missing(c), F.lit("-"))
-        .when(c["tag"].isin(*NUMERIC_TAGS), F.lit("#"))
-        .otherwise(c["tag"])
-    )
-    return F.struct(kind.alias("tag"), c["num"].alias("num"), c["txt"].alias("txt"))
+def is_missing(c: Column) -> Column:
+    return c["kind"] == MISSING
 
 
-def sort_cell(c: Column, descending: Column | None = None) -> Column:
+def sort_cell(c: Column, descending: Column) -> Column:
     """A cell that sorts ascending with nulls last.
 
     With ``descending`` true the null marker comes first, so that reading the
     ascending order backwards gives a descending one with nulls last.
     """
-    missing = is_missing(c)
-    marker = F.when(missing, F.lit(1)).otherwise(F.lit(0))
-    if descending is not None:
-        marker = F.when(missing & descending, F.lit(-1)).otherwise(marker)
+    marker = F.when(~is_missing(c), F.lit(0)).when(descending, F.lit(-1)).otherwise(F.lit(1))
     return F.struct(marker.alias("nul"), c["num"].alias("num"), c["txt"].alias("txt"))
 
 
@@ -107,14 +110,6 @@ def is_close(a: Column, b: Column) -> Column:
     return (a == b) | (F.abs(a - b) <= F.greatest(F.lit(RTOL) * widest, F.lit(ATOL)))
 
 
-def cells_close(a: Column, b: Column) -> Column:
-    """Equal by value, NULL equal to NULL, floats within tolerance."""
-    both_float = (a["tag"] == "f") & (b["tag"] == "f")
-    same = canonical(a).eqNullSafe(canonical(b))
-    near = both_float & F.coalesce(is_close(a["num"], b["num"]), F.lit(False))
-    return same | near
-
-
 # The 126 bits of two hashes, cut into six parts whose sums cannot overflow a
 # BIGINT before 2**42 rows.
 _PART_BITS = 21

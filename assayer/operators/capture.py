@@ -1,6 +1,6 @@
 """Turning typed result sets into the long ``result_rows`` table.
 
-``result_rows`` has the columns ``pair_id, alt, side, pos, names, vals, err``.
+``result_rows`` has the columns ``pair_id, alt, side, pos, names, tags, vals, err``.
 ``side`` is 'gold' or 'gen', ``alt`` numbers the gold alternatives from 0 and is
 NULL for the generated side, ``pos`` is the 0-based place of the row in its
 result. A result without rows and a statement that failed are each kept as one
@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.cells import CELL, cell
+from assayer.functions.cells import CELL, cell, tag_of
 from assayer.session import materialise
 
 RESULT_ROWS = (
-    f"pair_id bigint, alt int, side string, pos bigint, names array<string>, vals array<{CELL}>, err string"
+    "pair_id bigint, alt int, side string, pos bigint, names array<string>, tags array<string>, "
+    f"vals array<{CELL}>, err string"
 )
 
 
@@ -70,14 +71,17 @@ def long_rows(
         F.lit(side).alias("side"),
         pos.cast("bigint").alias("pos"),
         F.array(*[F.lit(n) for n in (names or columns)]).alias("names"),
+        F.array(*[F.lit(tag_of(types[c])) for c in columns]).alias("tags"),
         F.array(*[cell(F.col(c), types[c], decimals) for c in columns]).alias("vals"),
         F.lit(None).cast("string").alias("err"),
     )
 
 
-def outcome_row(spark, pair_id: int, side: str, alt: int | None, names: list[str], err: str | None) -> DataFrame:
+def outcome_row(spark, pair_id: int, side: str, alt: int | None, df: DataFrame | None, err: str | None) -> DataFrame:
     """The placeholder row of an empty or failed result."""
-    return spark.createDataFrame([(pair_id, alt, side, None, names, None, err)], RESULT_ROWS)
+    names = list(df.columns) if df is not None else []
+    tags = [tag_of(f.dataType) for f in df.schema.fields] if df is not None else []
+    return spark.createDataFrame([(pair_id, alt, side, None, names, tags, None, err)], RESULT_ROWS)
 
 
 def capture(
@@ -88,10 +92,8 @@ def capture(
     The placeholder row is always added: it keeps the column names when the
     result turns out to be empty and is ignored otherwise.
     """
-    names = list(df.columns)
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    numbered = number_rows(plain)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     rows = long_rows(
-        numbered, F.lit(pair_id), side, F.col("pos"), plain.columns, alt, decimals, names=names
+        number_rows(plain), F.lit(pair_id), side, F.col("pos"), plain.columns, alt, decimals, names=df.columns
     )
-    return rows.unionByName(outcome_row(df.sparkSession, pair_id, side, alt, names, None))
+    return rows.unionByName(outcome_row(df.sparkSession, pair_id, side, alt, df, None))

@@ -12,11 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.cells import ATOL, RTOL, canonical, cell, content_sums, is_missing, tag_of
+from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell, cell_parts, content_sums, tag_of
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import long_rows, outcome_row, unique_labels
 from assayer.operators.ordered import ranked
-from assayer.operators.score import score_alternatives
+from assayer.operators.score import comparison_plan, result_heads, score_alternatives
+from assayer.session import in_pool, materialise
 
 
 def relabel(df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def _comparable(df: DataFrame, name: str, other_tag: str) -> Column:
     if tag == other_tag and tag in ("s", "d", "b"):
         return value
     # Other kinds meet as uniform cells; two missing cells are equal.
-    return canonical(cell(value, dtype))
+    return cell(value, dtype)
 
 
 def _tags(df: DataFrame) -> dict[str, str]:
@@ -118,12 +119,14 @@ def frame_profile(df: DataFrame, pos: str | None = None) -> DataFrame:
     """One row: the row count and, per column, sums that identify its values."""
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(f for f in df.schema.fields if f.name != pos):
-        c = cell(F.col(f.name), f.dataType)
-        aggregates += content_sums([canonical(c)], f"m{i}_")
-        aggregates.append(F.coalesce(F.sum(is_missing(c).cast("long")), F.lit(0)).alias(f"x{i}"))
-        aggregates += [F.min(c["num"]).alias(f"lo{i}"), F.max(c["num"]).alias(f"hi{i}")]
+        kind, num, txt = cell_parts(F.col(f.name), f.dataType)
+        parts = [kind, *[part for part in (num, txt) if part is not None]]
+        aggregates += content_sums(parts, f"m{i}_")
+        aggregates.append(F.count(F.when(kind == MISSING, 1)).alias(f"x{i}"))
+        if tag_of(f.dataType) == "f":
+            aggregates += [F.min(num).alias(f"lo{i}"), F.max(num).alias(f"hi{i}")]
         if pos:
-            aggregates += content_sums([F.col(pos), canonical(c)], f"p{i}_")
+            aggregates += content_sums([F.col(pos), *parts], f"p{i}_")
     return df.agg(*aggregates)
 
 
@@ -158,24 +161,27 @@ def compare_frames(
     if intent:
         return _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
     gold_tags, gen_tags = _tags(gold), _tags(gen)
-    g, n = frame_profile(gold, pos).first(), frame_profile(gen, pos).first()
+    same_width = len(gold_cols) == len(gen_cols)
+    passes = [frame_profile(gold, pos), frame_profile(gen, pos)]
+    if same_width:
+        passes.append(same_rows(gold, gen, sorted(gold_cols), sorted(gen_cols)))
+    # The passes are independent of each other, so they run side by side.
+    g, n, *sets = in_pool(spark, passes, DataFrame.first, len(passes))
 
     def verdict(exact: bool, subset: bool) -> DataFrame:
         return spark.range(1).select(F.lit(exact).alias("exact"), F.lit(subset).alias("subset"))
 
     def nulls_differ(row, i, tag):
-        return row[f"x{i}"] > 0 and tag in ("f", "n", "m", "t")
-
-    exact = False
-    if len(gold_cols) == len(gen_cols):
-        if pos and g.n == n.n:
-            exact = all(
-                _sums(g, "p", i) == _sums(n, "p", i)
-                and not nulls_differ(g, i, gold_tags[a])
-                and not nulls_differ(n, i, gen_tags[b])
-                for i, (a, b) in enumerate(zip(gold_cols, gen_cols))
-            )
-        exact = exact or same_rows(gold, gen, sorted(gold_cols), sorted(gen_cols)).first().same
+        return row[f"x{i}"] > 0 and tag in UNEQUAL_NULL_TAGS
+
+    exact = same_width and sets[0].same
+    if same_width and not exact and pos and g.n == n.n:
+        exact = all(
+            _sums(g, "p", i) == _sums(n, "p", i)
+            and not nulls_differ(g, i, gold_tags[a])
+            and not nulls_differ(n, i, gen_tags[b])
+            for i, (a, b) in enumerate(zip(gold_cols, gen_cols))
+        )
     if g.n == 0 or g.n != n.n:
         return verdict(exact, False)
     taken: list[int] = []
@@ -192,7 +198,9 @@ def compare_frames(
     if not open_floats and len(taken) < len(gold_cols):
         return verdict(exact, False)
     if not open_floats:
-        if same_rows(gold, gen, gold_cols, [gen_cols[j] for j in taken]).first().same:
+        matched = [gen_cols[j] for j in taken]
+        aligned = same_width and dict(zip(sorted(gold_cols), sorted(gen_cols))) == dict(zip(gold_cols, matched))
+        if (aligned and exact and sets[0].same) or same_rows(gold, gen, gold_cols, matched).first().same:
             return verdict(exact, True)
         if not any(gold_tags[c] == gen_tags[gen_cols[j]] == "f" for c, j in zip(gold_cols, taken)):
             return verdict(exact, False)
@@ -216,11 +224,12 @@ def _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_p
         cols = [c for c in df.columns if c != pos]
         at = F.col(pos) if pos else F.monotonically_increasing_id()
         body = long_rows(df, F.lit(0), side, at, cols, alt)
-        return body.unionByName(outcome_row(spark, 0, side, alt, cols, None))
+        return body.unionByName(outcome_row(spark, 0, side, alt, df.select(*cols), None))
 
     asked = spark.createDataFrame(
         [(0, category, question, gold_sql, gen_sql)],
         "pair_id bigint, query_category string, question string, sql_gold string, sql_gen string",
     )
     long = rows(gold, "gold", 0).unionByName(rows(gen, "gen", None))
-    return score_alternatives(long, asked, order_parse, skip_exact=False).select("exact", "subset")
+    plan = materialise(comparison_plan(result_heads(long), asked, order_parse))
+    return score_alternatives(long, plan, skip_exact=False).select("exact", "subset")

@@ -2,7 +2,9 @@
 
 Every stage shuffles on row content, on (group, order) ranges or on salted
 keys, never on the pair alone, so a single huge pair does not end up in one
-task. Later stages only read the pairs that earlier ones left undecided.
+task. What holds for a whole result (names, kinds, sort keys) is settled once
+per result and sent to its rows; later stages only read the pairs that earlier
+ones left undecided.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 
 from assayer.functions.cells import (
     ATOL,
+    NUMBER,
     RTOL,
     UNEQUAL_NULL_TAGS,
-    canonical,
     content_sums,
     is_close,
     is_missing,
@@ -42,54 +44,88 @@ def order_specs(questions: DataFrame, order_parse: str = "faithful") -> DataFram
     )
 
 
-def prepare_rows(result_rows: DataFrame, questions: DataFrame, order_parse: str = "faithful") -> DataFrame:
-    """Rows per (pair, alternative, side) with unique names and the order spec.
+def result_heads(result_rows: DataFrame) -> DataFrame:
+    """One row per result: names, tags, row count and error; reads no cells."""
+    return result_rows.groupBy("pair_id", "alt", "side").agg(
+        F.max("names").alias("names"), F.max("tags").alias("tags"), F.count("pos").alias("rows"), F.max("err").alias("err")
+    )
+
+
+def comparison_plan(heads: DataFrame, questions: DataFrame, order_parse: str = "faithful") -> DataFrame:
+    """One row per (pair, alternative) that ran: shapes, order rules, column places.
 
-    The generated rows are repeated for every gold alternative. ``keys`` are the
-    stated sort keys that exist in the result; ``keyed`` tells whether the side
-    sorts by them at all.
+    ``*_places`` lists the columns of a side in comparison order: by name, and
+    where the side sorts by stated keys, those keys last.
     """
-    alternatives = (
-        result_rows.filter(F.col("side") == "gold").groupBy("pair_id").agg(F.collect_set("alt").alias("alts"))
-    )
-    specs = materialise(order_specs(questions, order_parse).join(alternatives, "pair_id"))
-    joined = attach(result_rows.drop("err"), specs, ["pair_id"], by=["pos", "side", "alt"])
-    order = F.when(F.col("side") == "gold", F.col("gold_order")).otherwise(F.col("gen_order"))
-    return (
-        joined.withColumn(
-            "alt", F.explode(F.when(F.col("side") == "gold", F.array("alt")).otherwise(F.col("alts")))
+    ran = heads.filter(F.col("err").isNull())
+
+    def side(name: str, keep: list[str]) -> DataFrame:
+        return ran.filter(F.col("side") == name).select(
+            *keep,
+            unique_names(F.col("names")).alias(f"{name}_names"),
+            F.col("tags").alias(f"{name}_tags"),
+            F.col("rows").alias(f"{name}_rows"),
         )
-        .withColumn("names", unique_names(F.col("names")))
-        .withColumn("order", order)
-        .withColumn("keyed", F.col("intent") & F.col("order.stated"))
-        .withColumn("keys", F.array_intersect("order.keys", "names"))
-        .drop("alts", "gold_order", "gen_order")
+
+    plan = side("gold", PAIR).join(side("gen", ["pair_id"]), "pair_id").join(order_specs(questions, order_parse), "pair_id")
+    for s in ("gold", "gen"):
+        names, order = F.col(f"{s}_names"), F.col(f"{s}_order")
+        keyed = F.col("intent") & order["stated"]
+        by_name = F.array_sort(names)
+        keys = F.array_intersect(order["keys"], names)
+        arranged = F.when(keyed, F.concat(F.array_except(by_name, order["keys"]), keys)).otherwise(by_name)
+        plan = plan.withColumns(
+            {
+                f"{s}_cols": F.size(names),
+                f"{s}_keyed": keyed,
+                f"{s}_keys": F.size(keys),
+                f"{s}_desc": order["descending"],
+                f"{s}_places": _places(names, arranged),
+            }
+        )
+    return plan.drop("gold_order", "gen_order")
+
+
+def _places(names: Column, wanted: Column) -> Column:
+    """0-based places of the wanted names."""
+    return F.transform(wanted, lambda n: (F.array_position(names, n) - 1).cast("int"))
+
+
+def placed_rows(result_rows: DataFrame, plan: DataFrame, gold_places: str = "gold_places", gen_places: str = "gen_places") -> DataFrame:
+    """Rows of the planned pairs with ``canon``, their cells in comparison order.
+
+    Generated rows are repeated for every planned alternative.
+    """
+
+    def routes(side: str, number: Column, places: str) -> DataFrame:
+        return plan.select("pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt", F.col(places).alias("_places"))
+
+    both = routes("gold", F.col("alt"), gold_places).unionByName(routes("gen", F.lit(-1), gen_places))
+    body = result_rows.filter(F.col("pos").isNotNull()).select(
+        "pair_id", "side", "pos", "vals", F.coalesce("alt", F.lit(-1)).alias("_alt")
     )
+    cells = F.transform("_places", lambda i: F.get("vals", i))
+    return attach(body, both, ["pair_id", "side", "_alt"], by=["pos"]).select(*PAIR, "side", "pos", cells.alias("canon"))
 
 
-def _picked(vals: Column, names: Column, wanted: Column) -> Column:
-    return F.transform(wanted, lambda n: F.element_at(vals, F.array_position(names, n).cast("int")))
+def planned_rows(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of the planned pairs with their cells as returned."""
 
+    def routes(side: str, number: Column) -> DataFrame:
+        return plan.select("pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt")
 
-def arranged(rows: DataFrame) -> DataFrame:
-    """Add ``canon``: comparable cells in name order, stated sort keys last."""
-    plain = F.array_sort("names")
-    moved = F.concat(F.array_except(plain, F.col("order.keys")), F.col("keys"))
-    wanted = F.when(F.col("keyed"), moved).otherwise(plain)
-    cells = _picked(F.col("vals"), F.col("names"), wanted)
-    return rows.withColumn("canon", F.transform(cells, canonical))
+    both = routes("gold", F.col("alt")).unionByName(routes("gen", F.lit(-1)))
+    body = result_rows.filter(F.col("pos").isNotNull()).select(
+        "pair_id", "side", "pos", "vals", F.coalesce("alt", F.lit(-1)).alias("_alt")
+    )
+    return attach(body, both, ["pair_id", "side", "_alt"], by=["pos"]).drop("_alt")
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
     """One row per distinct content with its first place on each side."""
     gold, gen = F.col("side") == "gold", F.col("side") == "gen"
-    return (
-        rows.filter(F.col("pos").isNotNull())
-        .groupBy(*PAIR, "canon")
-        .agg(
-            F.min(F.when(gold, F.col("pos"))).alias("gold_pos"),
-            F.min(F.when(gen, F.col("pos"))).alias("gen_pos"),
-        )
+    return rows.groupBy(*PAIR, "canon").agg(
+        F.min(F.when(gold, F.col("pos"))).alias("gold_pos"), F.min(F.when(gen, F.col("pos"))).alias("gen_pos")
     )
 
 
@@ -101,72 +137,50 @@ def _set_verdict(content: DataFrame) -> DataFrame:
     )
 
 
-def shapes(rows: DataFrame) -> DataFrame:
-    """Row and column counts, key counts and directions per (pair, alternative)."""
-
-    def of(side: str, value: Column, how=F.max) -> Column:
-        return how(F.when(F.col("side") == side, value))
-
-    aggregates = []
-    for side in ("gold", "gen"):
-        aggregates += [
-            F.coalesce(of(side, F.col("pos").isNotNull().cast("long"), F.sum), F.lit(0)).alias(f"{side}_rows"),
-            of(side, F.size("names")).alias(f"{side}_cols"),
-            of(side, F.size("keys")).alias(f"{side}_keys"),
-            of(side, F.col("keyed")).alias(f"{side}_keyed"),
-            of(side, F.col("order.descending")).alias(f"{side}_desc"),
-        ]
-    return rows.groupBy(*PAIR).agg(F.max("intent").alias("intent"), *aggregates)
-
-
 def _same_sequence(sides: DataFrame, tolerant: bool) -> DataFrame:
     """Compare two sorted sides row by row.
 
-    ``sides`` has one row per (pair, alternative, side, cells) with the sort key
-    ``skey``; ``flip`` reads the side backwards and ``size`` is its row count.
+    ``sides`` has one row per (pair, alternative, side, cells), sorted by ``at``,
+    ``skey`` and the cells; ``flip`` reads the side backwards, ``size`` is its
+    row count.
     """
-    placed = ranked(sides, [*PAIR, "side"], ["skey"]).withColumn(
+    placed = ranked(sides, [*PAIR, "side"], ["at", "skey", "cells"]).withColumn(
         "rank", F.when(F.col("flip"), F.col("size") + 1 - F.col("rank")).otherwise(F.col("rank"))
     )
 
     def row_of(side: str) -> Column:
-        return F.first(F.when(F.col("side") == side, F.col("cells")), ignorenulls=True)
+        return F.max(F.when(F.col("side") == side, F.col("cells")))
 
     facing = placed.groupBy(*PAIR, "rank").agg(
-        row_of("gold").alias("gold"), row_of("gen").alias("gen"), F.first("floating").alias("floating")
+        row_of("gold").alias("gold"), row_of("gen").alias("gen"), F.max("floating").alias("floating")
     )
+    same = F.col("gold").eqNullSafe(F.col("gen"))
     if tolerant:
-        cells = F.arrays_zip("gold", "gen", "floating")
-        same = F.forall(
-            cells,
+        near = F.forall(
+            F.arrays_zip("gold", "gen", "floating"),
             lambda c: c["gold"].eqNullSafe(c["gen"])
             | (c["floating"] & F.coalesce(is_close(c["gold"]["num"], c["gen"]["num"]), F.lit(False))),
         )
-    else:
-        same = F.col("gold").eqNullSafe(F.col("gen"))
+        same = same | F.coalesce(near, F.lit(False))
     return facing.groupBy(*PAIR).agg(F.bool_and(same).alias("same_order"))
 
 
-def _by_place(pos: Column) -> Column:
-    return F.array(F.struct(F.lit(0).alias("nul"), pos.cast("double").alias("num"), F.lit(None).cast("string").alias("txt")))
-
-
-def exact_matches(prepared: DataFrame) -> DataFrame:
-    """Normalised equality per (pair, alternative), pinned in the shared folder.
+def exact_matches(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with ``normal_equal``, normalised equality, pinned in the shared folder.
 
     Where both sides sort by the same rule, equality of the distinct rows
     decides. Otherwise the two orders are compared row by row.
     """
-    content = distinct_rows(arranged(prepared))
     same_rule = (
         F.col("gold_keyed")
         & F.col("gen_keyed")
         & (F.col("gold_keys") == F.col("gen_keys"))
         & (F.col("gold_desc") == F.col("gen_desc"))
     )
+    comparable = plan.filter(F.col("gold_cols") == F.col("gen_cols"))
+    content = distinct_rows(placed_rows(result_rows, comparable))
     verdict = materialise(
-        shapes(prepared)
-        .join(_set_verdict(content), PAIR, "left")
+        plan.join(_set_verdict(content), PAIR, "left")
         .fillna({"gold_distinct": 0, "gen_distinct": 0, "same_rows": True})
         .withColumn("same_shape", F.col("gold_cols") == F.col("gen_cols"))
         .withColumn("by_sequence", F.col("intent") & ~same_rule & (F.col("gold_distinct") > 1))
@@ -175,10 +189,9 @@ def exact_matches(prepared: DataFrame) -> DataFrame:
     pending = verdict.filter(F.col("normal_equal") & F.col("by_sequence"))
     if pending.isEmpty():
         return verdict
-    specs = pending.select(
-        *PAIR, "gold_keyed", "gen_keyed", "gold_keys", "gen_keys", "gold_desc", "gen_desc", "gold_distinct"
-    )
-    open_rows = attach(content, specs, PAIR, by=["gold_pos"])
+    specs = [f"{s}_{c}" for s in ("gold", "gen") for c in ("keyed", "keys", "desc")]
+    open_content = distinct_rows(placed_rows(result_rows, pending))
+    open_rows = attach(open_content, pending.select(*PAIR, *specs, "gold_distinct"), PAIR, by=["gold_pos"])
     sides = reduce(DataFrame.unionByName, [_side_keys(open_rows, side) for side in ("gold", "gen")])
     order = _same_sequence(sides, tolerant=False)
     joined = materialise(verdict.join(order, PAIR, "left"))
@@ -190,47 +203,45 @@ def exact_matches(prepared: DataFrame) -> DataFrame:
 def _side_keys(open_rows: DataFrame, side: str) -> DataFrame:
     keyed, falls, k = F.col(f"{side}_keyed"), F.col(f"{side}_desc"), F.col(f"{side}_keys")
     width = F.size("canon")
+    none = F.slice("canon", 1, 0)
     priority = F.concat(
-        F.when(k > 0, F.slice("canon", width - k + 1, F.greatest(k, F.lit(1)))).otherwise(F.slice("canon", 1, 0)),
-        F.when(width > k, F.slice("canon", 1, F.greatest(width - k, F.lit(0)))).otherwise(F.slice("canon", 1, 0)),
+        F.when(k > 0, F.slice("canon", width - k + 1, F.greatest(k, F.lit(1)))).otherwise(none),
+        F.when(width > k, F.slice("canon", 1, F.greatest(width - k, F.lit(0)))).otherwise(none),
     )
-    by_keys = F.transform(priority, lambda c: sort_cell(c, falls))
     return open_rows.select(
         *PAIR,
         F.lit(side).alias("side"),
         F.col("canon").alias("cells"),
-        F.when(keyed, by_keys).otherwise(_by_place(F.col(f"{side}_pos"))).alias("skey"),
+        F.when(keyed, F.lit(0)).otherwise(F.col(f"{side}_pos")).cast("bigint").alias("at"),
+        F.when(keyed, F.transform(priority, lambda c: sort_cell(c, falls))).alias("skey"),
         (keyed & falls).alias("flip"),
         F.col("gold_distinct").alias("size"),
         F.lit(None).cast("array<boolean>").alias("floating"),
     )
 
 
-def column_profiles(rows: DataFrame) -> DataFrame:
+def column_profiles(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """One profile per (pair, alternative, side, column), aggregated map-side.
 
     The ``m`` sums identify the multiset of values, the ``p`` sums the values
     with their places; together with the counts they stand for the column.
     """
-    cells = rows.filter(F.col("pos").isNotNull()).select(
-        *PAIR, "side", "pos", "names", F.posexplode("vals").alias("col", "cell")
+    cells = rows.select(*PAIR, "side", "pos", F.posexplode("vals").alias("col", "cell")).select(
+        *PAIR, "side", "pos", "col", "cell.*"
     )
-    missing, num = is_missing(F.col("cell")), F.col("cell.num")
-    value = canonical(F.col("cell"))
-    # In place order, missing values of some kinds are unequal to themselves.
-    unequal = missing & F.col("cell.tag").isin(*UNEQUAL_NULL_TAGS)
-    return cells.groupBy(*PAIR, "side", "col").agg(
+    profiles = cells.groupBy(*PAIR, "side", "col").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(missing.cast("long")).alias("missing"),
-        F.sum(unequal.cast("long")).alias("unequal_missing"),
-        F.max("cell.tag").alias("tag"),
-        F.max(F.get("names", F.col("col"))).alias("name"),
-        F.min(num).alias("lo"),
-        F.max(num).alias("hi"),
-        F.sum(num).alias("total"),
-        F.sum(F.abs(num)).alias("mass"),
-        *content_sums([value], "m"),
-        *content_sums([F.col("pos"), value], "p"),
+        F.count(F.when(F.col("kind") == "~", 1)).alias("missing"),
+        F.min("num").alias("lo"),
+        F.max("num").alias("hi"),
+        F.sum("num").alias("total"),
+        F.sum(F.abs("num")).alias("mass"),
+        *content_sums([F.col("kind"), F.col("num"), F.col("txt")], "m"),
+        *content_sums([F.col("pos"), F.col("kind"), F.col("num"), F.col("txt")], "p"),
+    )
+    tags = F.when(F.col("side") == "gold", F.col("gold_tags")).otherwise(F.col("gen_tags"))
+    return profiles.join(plan.select(*PAIR, "gold_tags", "gen_tags"), PAIR).withColumn("tag", F.get(tags, F.col("col"))).drop(
+        "gold_tags", "gen_tags"
     )
 
 
@@ -252,7 +263,12 @@ def positional_matches(profiles: DataFrame) -> DataFrame:
     """(pair, alternative) whose columns agree place by place, names ignored."""
     facing = _facing_columns(profiles).filter(F.col("g_col") == F.col("n_col"))
     places = [c for c in _SUMS if c.startswith("p")]
-    same = _all_equal(["n", *places]) & (F.col("g_unequal_missing") == 0) & (F.col("n_unequal_missing") == 0)
+
+    def sound(side: str) -> Column:
+        # Missing values of some kinds are unequal to themselves here.
+        return (F.col(f"{side}_missing") == 0) | ~F.col(f"{side}_tag").isin(*UNEQUAL_NULL_TAGS)
+
+    same = _all_equal(["n", *places]) & sound("g") & sound("n")
     return facing.groupBy(*PAIR).agg(F.bool_and(same).alias("same_places"))
 
 
@@ -304,39 +320,28 @@ def tolerant_matches(rows: DataFrame, open_pairs: DataFrame) -> DataFrame:
     the one never counts fewer values than the limits of the other. That needs
     running sums of value counts only, so equal values travel once.
     """
-    cells = rows.filter(F.col("pos").isNotNull()).select(*PAIR, "side", F.posexplode("vals").alias("col", "cell"))
+    group = [*PAIR, "g_col", "n_col"]
+    wanted = open_pairs.select(*PAIR, F.lit("gold").alias("side"), F.col("g_col").alias("col"), "g_col", "n_col").unionByName(
+        open_pairs.select(*PAIR, F.lit("gen").alias("side"), F.col("n_col").alias("col"), "g_col", "n_col")
+    )
+    cells = rows.select(*PAIR, "side", F.posexplode("vals").alias("col", "cell"))
+    numbers = cells.filter(F.col("cell.kind") == NUMBER).select(*PAIR, "side", "col", F.col("cell.num").alias("num"))
     counts = (
-        cells.filter((F.col("cell.tag") == "f") & F.col("cell.num").isNotNull())
-        .groupBy(*PAIR, "side", "col", F.col("cell.num").alias("num"))
+        attach(numbers, wanted, [*PAIR, "side", "col"], by=["num"])
+        .groupBy(*group, "side", "num")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    group = [*PAIR, "g_col", "n_col"]
+    num, n = F.col("num"), F.col("n")
 
-    def events(side: str, col: str, tests: list) -> DataFrame:
-        values = counts.filter(F.col("side") == side).withColumnRenamed("col", col).drop("side")
-        joined = attach(values, open_pairs.select(*group), [*PAIR, col], by=["num"])
-        return joined.select(
-            *group,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(test).alias("test"),
-                            at.alias("at"),
-                            F.lit(0 if sign > 0 else 1).alias("tie"),
-                            (F.lit(sign) * F.col("n")).alias("delta"),
-                        )
-                        for test, at, sign in tests
-                    ]
-                )
-            ).alias("e"),
-        ).select(*group, "e.*")
-
-    num = F.col("num")
-    both = events("gold", "g_col", [("above", num, 1), ("below", num, -1)]).unionByName(
-        events("gen", "n_col", [("above", upper_limit(num), -1), ("below", lower_limit(num), 1)])
+    def event(test: str, at: Column, tie: int, delta: Column) -> Column:
+        return F.struct(F.lit(test).alias("test"), at.alias("at"), F.lit(tie).alias("tie"), delta.alias("delta"))
+
+    gold = F.array(event("above", num, 0, n), event("below", num, 1, -n))
+    gen = F.array(event("above", upper_limit(num), 1, -n), event("below", lower_limit(num), 0, n))
+    events = counts.select(*group, F.explode(F.when(F.col("side") == "gold", gold).otherwise(gen)).alias("e")).select(
+        *group, "e.*"
     )
-    merged = both.groupBy(*group, "test", "at", "tie").agg(F.sum("delta").alias("delta"))
+    merged = events.groupBy(*group, "test", "at", "tie").agg(F.sum("delta").alias("delta"))
     lowest = lowest_running_sum(merged, [*group, "test"], ["at", "tie"], "delta")
     return lowest.groupBy(*group).agg((F.min("lowest") >= 0).alias("close")).filter("close").drop("close")
 
@@ -358,50 +363,32 @@ def assign_columns(matches: DataFrame) -> DataFrame:
     return lists.select(*PAIR, F.aggregate("wanted", F.array().cast("array<int>"), take).alias("taken"))
 
 
-def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) -> DataFrame:
+def subset_matches(result_rows: DataFrame, rows: DataFrame, profiles: DataFrame, plan: DataFrame) -> DataFrame:
     """(pair, alternative) whose gold columns are all contained in the generated result."""
     candidates = materialise(column_candidates(profiles))
     undecided = candidates.filter(~F.col("sure"))
     matches = candidates.filter("sure").drop("sure")
     if not undecided.isEmpty():
         matches = matches.unionByName(tolerant_matches(rows, undecided))
-    def listed(side: str, field: str, into: str) -> Column:
-        of_side = F.collect_list(F.when(F.col("side") == side, F.struct("col", field)))
-        return F.transform(F.array_sort(of_side), lambda c: c[field]).alias(into)
-
-    labels = profiles.groupBy(*PAIR).agg(
-        listed("gold", "tag", "gold_tags"), listed("gen", "tag", "gen_tags"), listed("gold", "name", "gold_names")
-    )
-    # Name order of the gold columns, as 0-based places.
-    by_name = F.transform(
-        F.array_sort(F.transform("gold_names", lambda n, i: F.struct(n.alias("n"), i.alias("i")))), lambda s: s["i"]
-    )
-    plan = materialise(
+    by_name = _places(F.col("gold_names"), F.array_sort("gold_names"))
+    found = materialise(
         assign_columns(matches)
-        .join(verdict.select(*PAIR, "intent", "gold_cols"), PAIR)
+        .join(plan.select(*PAIR, "intent", "gold_cols", "gold_names", "gold_tags", "gen_tags"), PAIR)
         .filter(F.size("taken") == F.col("gold_cols"))
-        .join(labels, PAIR)
-        .withColumn("gold_places", by_name)
-        .withColumn("gen_places", F.transform("gold_places", lambda i: F.get("taken", i)))
+        .withColumn("gold_at", by_name)
+        .withColumn("gen_at", F.transform("gold_at", lambda i: F.get("taken", i)))
         .withColumn(
             "floating",
-            F.transform(
-                "gold_places",
-                lambda i: (F.get("gold_tags", i) == "f") & (F.get("gen_tags", F.get("taken", i)) == "f"),
+            F.zip_with(
+                "gold_at", "gen_at", lambda i, j: (F.get("gold_tags", i) == "f") & (F.get("gen_tags", j) == "f")
             ),
         )
-        .select(*PAIR, "intent", "gold_places", "gen_places", "floating")
-    )
-    if plan.isEmpty():
-        return plan.select(*PAIR)
-    placed = attach(rows.select(*PAIR, "side", "pos", "vals"), plan, PAIR, by=["pos", "side"])
-    places = F.when(F.col("side") == "gold", F.col("gold_places")).otherwise(F.col("gen_places"))
-    content = distinct_rows(
-        placed.withColumn("canon", F.transform(places, lambda i: canonical(F.get("vals", i))))
+        .select(*PAIR, "intent", "gold_at", "gen_at", "floating")
     )
+    content = distinct_rows(placed_rows(result_rows, found, "gold_at", "gen_at"))
     sets = materialise(
         _set_verdict(content)
-        .join(plan.select(*PAIR, "intent", "floating"), PAIR)
+        .join(found, PAIR)
         .withColumn(
             "by_sequence",
             (F.col("gold_distinct") == F.col("gen_distinct"))
@@ -414,57 +401,59 @@ def subset_matches(rows: DataFrame, profiles: DataFrame, verdict: DataFrame) ->
     pending = sets.filter("by_sequence")
     if pending.isEmpty():
         return settled
+    open_content = distinct_rows(placed_rows(result_rows, pending, "gold_at", "gen_at"))
     open_rows = attach(
-        content, pending.select(*PAIR, "intent", "floating", "gold_distinct"), PAIR, by=["gold_pos", "gen_pos"]
+        open_content, pending.select(*PAIR, "intent", "floating", "gold_distinct"), PAIR, by=["gold_pos", "gen_pos"]
     )
 
-    def side_rows(side: str) -> DataFrame:
+    def side_rows(side: str) -> Column:
         pos = F.col(f"{side}_pos")
-        by_value = F.transform("canon", lambda c: sort_cell(c))
-        return open_rows.filter(pos.isNotNull()).select(
+        return F.when(
+            pos.isNotNull(),
+            F.struct(F.lit(side).alias("side"), F.when(F.col("intent"), pos).otherwise(F.lit(0)).cast("bigint").alias("at")),
+        )
+
+    sides = (
+        open_rows.select("*", F.explode(F.array_compact(F.array(side_rows("gold"), side_rows("gen")))).alias("s"))
+        .select(
             *PAIR,
-            F.lit(side).alias("side"),
+            "s.side",
+            "s.at",
             F.col("canon").alias("cells"),
-            F.when(F.col("intent"), _by_place(pos)).otherwise(by_value).alias("skey"),
+            F.lit(None).cast("string").alias("skey"),
             F.lit(False).alias("flip"),
             F.col("gold_distinct").alias("size"),
             "floating",
         )
-
-    order = _same_sequence(side_rows("gold").unionByName(side_rows("gen")), tolerant=True)
+    )
+    order = _same_sequence(sides, tolerant=True)
     return settled.unionByName(order.filter("same_order").select(*PAIR))
 
 
 def score_alternatives(
     result_rows: DataFrame,
-    questions: DataFrame,
-    order_parse: str = "faithful",
+    plan: DataFrame,
     numpy_broadcast: bool = False,
     skip_exact: bool = True,
 ) -> DataFrame:
-    """``exact`` and ``subset`` per (pair, gold alternative), errors left out.
+    """``exact`` and ``subset`` per planned (pair, gold alternative).
 
     The subset test of an exact alternative does not change its score and is
     only made with ``skip_exact=False``.
     """
-    failed = result_rows.filter(F.col("err").isNotNull()).select("pair_id", "alt", "side").distinct()
-    gen_failed = failed.filter(F.col("side") == "gen").select("pair_id")
-    gold_failed = failed.filter(F.col("side") == "gold").select(*PAIR)
-    usable = result_rows.join(gen_failed, "pair_id", "left_anti").join(gold_failed, PAIR, "left_anti")
-    prepared = prepare_rows(usable, questions, order_parse)
-    verdict = exact_matches(prepared)
+    verdict = exact_matches(result_rows, plan)
     if numpy_broadcast:
-        verdict = _with_broadcast_shapes(prepared, verdict)
+        verdict = _with_broadcast_shapes(result_rows, verdict)
     decided = F.col("normal_equal") if skip_exact else F.lit(False)
     undecided = verdict.filter(
         ~decided & (F.col("gold_rows") > 0) & (F.col("gold_rows") == F.col("gen_rows"))
-    ).select(*PAIR)
+    ).select(*plan.columns)
     if undecided.isEmpty():
         return verdict.select(*PAIR, F.col("normal_equal").alias("exact"), F.lit(False).alias("subset"))
-    open_rows = attach(prepared, undecided, PAIR, by=["pos", "side"], how="left_semi")
-    profiles = materialise(column_profiles(open_rows))
+    rows = planned_rows(result_rows, undecided)
+    profiles = materialise(column_profiles(rows, undecided))
     in_place = positional_matches(profiles)
-    subset = subset_matches(open_rows, profiles, verdict).withColumn("subset", F.lit(True))
+    subset = subset_matches(result_rows, rows, profiles, undecided).withColumn("subset", F.lit(True))
     scored = verdict.join(in_place, PAIR, "left").join(subset, PAIR, "left")
     placed = F.col("same_shape") & F.coalesce("same_places", F.lit(False))
     return scored.select(
@@ -474,44 +463,44 @@ def score_alternatives(
     )
 
 
-def _with_broadcast_shapes(prepared: DataFrame, verdict: DataFrame) -> DataFrame:
+def _with_broadcast_shapes(result_rows: DataFrame, verdict: DataFrame) -> DataFrame:
     """Opt-in quirk: a lone row equals every row it is stretched against.
 
     A one-row side passes when all rows of the other side equal it cell by
     cell; an empty side passes against an empty or one-row side.
     """
-    body = prepared.filter(F.col("pos").isNotNull()).withColumn("row", F.transform("vals", canonical))
-    kinds = body.groupBy(*PAIR).agg(F.count_distinct(F.xxhash64("row")).alias("kinds"))
-    empty = (F.least("gold_rows", "gen_rows") == 0) & (F.greatest("gold_rows", "gen_rows") <= 1)
-    lone = (F.least("gold_rows", "gen_rows") == 1) & (F.coalesce("kinds", F.lit(0)) == 1)
+    fewest, most = F.least("gold_rows", "gen_rows"), F.greatest("gold_rows", "gen_rows")
+    lone = verdict.filter((fewest == 1) & F.col("same_shape"))
+    kinds = planned_rows(result_rows, lone).select(*PAIR, "vals").distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("kinds"))
+    empty = (fewest == 0) & (most <= 1)
     return (
         verdict.join(kinds, PAIR, "left")
-        .withColumn("normal_equal", F.col("normal_equal") | (F.col("same_shape") & (empty | lone)))
+        .withColumn(
+            "normal_equal",
+            F.col("normal_equal") | (F.col("same_shape") & (empty | (F.coalesce("kinds", F.lit(0)) == 1))),
+        )
         .drop("kinds")
     )
 
 
-def fold_alternatives(scored: DataFrame, result_rows: DataFrame) -> DataFrame:
+def fold_alternatives(scored: DataFrame, heads: DataFrame) -> DataFrame:
     """One row per pair: exact if any alternative is, correct if exact or subset.
 
     Alternatives are tried in order up to the first exact one, so an error in an
     earlier alternative fails the pair and one in a later alternative does not.
+    ``heads`` has one row per result with its error.
     """
-    errors = (
-        result_rows.filter(F.col("err").isNotNull())
-        .groupBy("pair_id")
-        .agg(
-            F.min(F.when(F.col("side") == "gold", F.struct("alt", "err"))).alias("gold_error"),
-            F.min(F.when(F.col("side") == "gen", F.col("err"))).alias("gen_error"),
-        )
+    failed_here = F.col("err").isNotNull()
+    outcomes = heads.groupBy("pair_id").agg(
+        F.min(F.when(failed_here & (F.col("side") == "gold"), F.struct("alt", "err"))).alias("gold_error"),
+        F.min(F.when(failed_here & (F.col("side") == "gen"), F.col("err"))).alias("gen_error"),
     )
     folded = scored.groupBy("pair_id").agg(
         F.bool_or("exact").alias("any_exact"),
         F.bool_or(F.col("exact") | F.col("subset")).alias("any_correct"),
         F.min(F.when(F.col("exact"), F.col("alt"))).alias("exact_alt"),
     )
-    pairs = result_rows.select("pair_id").distinct()
-    joined = pairs.join(folded, "pair_id", "left").join(errors, "pair_id", "left")
+    joined = outcomes.join(folded, "pair_id", "left")
     gold_fails = F.col("gold_error").isNotNull() & F.coalesce(
         F.col("gold_error.alt") < F.col("exact_alt"), F.lit(True)
     )
@@ -532,6 +521,8 @@ def score_pairs(
     """Score every pair of ``result_rows`` against its question in one run.
 
     ``questions`` needs ``pair_id, query_category, question, sql_gold, sql_gen``.
+    ``result_rows`` is read several times and should be a stored table.
     """
-    scored = score_alternatives(result_rows, questions, order_parse, numpy_broadcast)
-    return fold_alternatives(scored, result_rows)
+    heads = materialise(result_heads(result_rows))
+    plan = materialise(comparison_plan(heads, questions, order_parse))
+    return fold_alternatives(score_alternatives(result_rows, plan, numpy_broadcast), heads)

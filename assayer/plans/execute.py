@@ -5,16 +5,15 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.cells import tag_of
 from assayer.operators.capture import RESULT_ROWS, long_rows
 from assayer.operators.ordered import attach
-from assayer.session import materialise, scratch
+from assayer.session import in_pool, materialise, scratch
 from assayer.sources.database import empty_database, run_query
 
 # The default time limit in seconds and the message for no rows.
@@ -51,12 +50,6 @@ def run_limited(spark: SparkSession, action: Callable[[], object], seconds: floa
         context.removeJobTag(tag)
 
 
-def in_pool(spark: SparkSession, items: Iterable, work: Callable, workers: int = 5) -> list:
-    """Submit one piece of work per item from a few threads; results in input order."""
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), list(items)))
-
-
 def reason(exc: Exception) -> str:
     """A short, stable reason of a failed statement."""
     if isinstance(exc, StatementTimeout):
@@ -129,9 +122,9 @@ def run_statements(
             at = F.monotonically_increasing_id()
             rows = long_rows(plain, F.lit(s.pair_id), s.side, at, plain.columns, s.alt, names=df.columns)
             run_limited(spark, lambda: rows.write.parquet(path), seconds)
-            return (s.pair_id, s.alt, s.side, None, list(df.columns), None, None), number
+            return (s.pair_id, s.alt, s.side, None, list(df.columns), [tag_of(f.dataType) for f in df.schema.fields], None, None), number
         except Exception as exc:
-            return (s.pair_id, s.alt, s.side, None, [], None, reason(exc)), None
+            return (s.pair_id, s.alt, s.side, None, [], [], None, reason(exc)), None
 
     done = in_pool(spark, listed, work, workers)
     outcomes = spark.createDataFrame([row for row, _ in done], RESULT_ROWS)

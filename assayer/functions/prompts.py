@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.rewrite import replace_computed
 from assayer.functions.textops import swap
 
 # Placeholder syntax and the headers of the instruction texts.
@@ -20,27 +22,31 @@ def reflections(instructions: Column) -> Column:
     return F.concat(swap(instructions, INSTRUCTION_HEADER, REFLECTION_HEADER), F.lit("\n"))
 
 
-def fill(template: Column, values: dict[str, Column]) -> Column:
+def fill(template: str, values: dict[str, Column]) -> Column:
     """Fill named placeholders in one pass; doubled braces stand for single ones.
 
-    Inserted values are never searched again. A name without a value is kept.
+    The template is cut at its placeholders once, so that a row only pays for a
+    concatenation. Inserted values are never searched again, and a name without
+    a value is kept as it stands.
     """
-    pairs = [part for name, value in values.items() for part in (F.lit(name), F.coalesce(value.cast("string"), F.lit("")))]
-    known = F.create_map(*pairs)
-
-    def value(name: Column) -> Column:
-        return F.coalesce(F.element_at(known, name), F.concat(F.lit("{"), name, F.lit("}")))
-
-    escaped = swap(swap(template, "{{", "\u0001"), "}}", "\u0002")
-    filled = replace_computed(escaped, PLACEHOLDER, [1], value)
-    return swap(swap(filled, "\u0001", "{"), "\u0002", "}")
-
-
-def fill_messages(template: Column, values: dict[str, Column]) -> Column:
-    """Fill every message of a JSON chat template."""
-    messages = F.from_json(template, MESSAGES)
-    return F.transform(
-        messages, lambda m: F.struct(m["role"].alias("role"), fill(m["content"], values).alias("content"))
+    pieces = []
+    for i, piece in enumerate(re.split(PLACEHOLDER, template)):
+        if i % 2 == 0:
+            pieces.append(F.lit(piece.replace("{{", "{").replace("}}", "}")))
+        elif piece in values:
+            pieces.append(F.coalesce(values[piece].cast("string"), F.lit("")))
+        else:
+            pieces.append(F.lit("{" + piece + "}"))
+    return F.concat(*pieces)
+
+
+def fill_messages(template: str, values: dict[str, Column]) -> Column:
+    """Fill every message of a JSON chat template; an array of (role, content)."""
+    return F.array(
+        *[
+            F.struct(F.lit(m["role"]).alias("role"), fill(m["content"], values).alias("content"))
+            for m in json.loads(template)
+        ]
     )
 
 
@@ -50,11 +56,9 @@ def render_prompts(questions: DataFrame, templates: dict[str, str], values: dict
     A template whose text starts with ``[`` is a JSON list of messages; its
     prompt is the filled list as JSON.
     """
-    listed = F.array(
-        *[F.struct(F.lit(name).alias("template"), F.lit(body).alias("body")) for name, body in templates.items()]
-    )
-    rows = questions.withColumn("_t", F.explode(listed))
-    body = F.col("_t.body")
-    chat = F.to_json(fill_messages(body, values))
-    prompt = F.when(body.startswith("["), chat).otherwise(fill(body, values))
-    return rows.withColumns({"template": F.col("_t.template"), "prompt": prompt}).drop("_t")
+
+    def prompt(body: str) -> Column:
+        return F.to_json(fill_messages(body, values)) if body.startswith("[") else fill(body, values)
+
+    listed = [F.struct(F.lit(name).alias("template"), prompt(body).alias("prompt")) for name, body in templates.items()]
+    return questions.select("*", F.inline(F.array(*listed)))

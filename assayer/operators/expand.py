@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.bind import let
 from assayer.functions.textops import strip
 
 # The repeat mark behind a brace group, and what the percent
@@ -37,23 +38,32 @@ def subsets(items: Column) -> Column:
     def chosen(mask: Column) -> Column:
         return F.filter(places, lambda i: F.call_function("shiftright", mask, i) % 2 == 1)
 
-    keyed = F.array_sort(F.transform(masks, lambda m: F.struct(F.size(chosen(m)).alias("n"), chosen(m).alias("at"))))
-    return F.transform(keyed, lambda k: F.transform(k["at"], lambda i: F.get(items, i)))
+    keyed = F.transform(F.transform(masks, chosen), lambda at: F.struct(F.size(at).alias("n"), at.alias("at")))
+    return F.transform(F.array_sort(keyed), lambda k: F.transform(k["at"], lambda i: F.get(items, i)))
 
 
 def variants(statement: Column) -> Column:
     """The statement with its first brace group replaced by each subset of it."""
-    span = brace_span(statement)
-    left = F.substring(statement, F.lit(1), span["start"])
-    group = F.substring(statement, span["start"] + 2, span["end"] - span["start"] - 1)
-    right = F.substring(statement, span["end"] + 2, F.length(statement))
 
-    def filled(subset: Column) -> Column:
-        columns = F.array_join(subset, ", ")
-        return F.concat(left, columns, F.replace(right, F.lit(GROUP_BY_SLOT), F.concat(F.lit(GROUP_BY), columns)))
+    def expanded(parts: Column) -> Column:
+        def filled(subset: Column) -> Column:
+            columns = F.array_join(subset, ", ")
+            slot = F.concat(F.lit(GROUP_BY), columns)
+            return F.concat(parts["head"], columns, F.replace(parts["tail"], F.lit(GROUP_BY_SLOT), slot))
 
-    expanded = F.transform(subsets(F.split(group, ",")), filled)
-    return F.when(span["start"] < 0, F.array(statement)).otherwise(expanded)
+        return F.transform(let(parts["options"], subsets), filled)
+
+    def parts(span: Column) -> Column:
+        return F.struct(
+            F.substring(statement, F.lit(1), span["start"]).alias("head"),
+            F.split(F.substring(statement, span["start"] + 2, span["end"] - span["start"] - 1), ",").alias("options"),
+            F.substring(statement, span["end"] + 2, F.length(statement)).alias("tail"),
+        )
+
+    def by_span(span: Column) -> Column:
+        return F.when(span["start"] < 0, F.array(statement)).otherwise(let(parts(span), expanded))
+
+    return let(brace_span(statement), by_span)
 
 
 def acceptable_statements(text: Column) -> Column:

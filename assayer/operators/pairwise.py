@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell, cell_parts, content_sums, tag_of
+from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell_parts, content_sums, digest, tag_of
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import long_rows, outcome_row, unique_labels
 from assayer.operators.ordered import ranked
@@ -81,50 +81,48 @@ def _order_of(spark, category, question, sql, order_parse="faithful"):
     return row.intent, row.o.stated, list(dict.fromkeys(row.o["keys"])), row.o.descending
 
 
-def _comparable(df: DataFrame, name: str, other_tag: str) -> Column:
-    """A column in the form in which it compares by value with one of ``other_tag``."""
-    dtype = df.schema[name].dataType
-    tag, value = tag_of(dtype), F.col(name)
-    if tag == other_tag == "f":
-        return F.nanvl(value.cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
-    if tag == other_tag == "n":
-        return value.cast("bigint")
-    if tag == other_tag and tag in ("s", "d", "b"):
-        return value
-    # Other kinds meet as uniform cells; two missing cells are equal.
-    return cell(value, dtype)
-
-
 def _tags(df: DataFrame) -> dict[str, str]:
     return {f.name: tag_of(f.dataType) for f in df.schema.fields}
 
 
+def _parts(df: DataFrame, name: str) -> list[Column]:
+    """The cell of a column as separate native columns, without parts it never has."""
+    return [part for part in cell_parts(F.col(name), df.schema[name].dataType) if part is not None]
+
+
 def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: list[str]) -> DataFrame:
-    """One row: do the paired columns hold the same set of distinct rows?"""
-    gold_tags, gen_tags = _tags(gold), _tags(gen)
+    """One row: do the paired columns hold the same set of distinct rows?
+
+    Only digests of the rows are shuffled.
+    """
 
-    def side(df, cols, other_tags, flag):
-        picked = [_comparable(df, c, t).alias(f"c{i}") for i, (c, t) in enumerate(zip(cols, other_tags))]
-        return df.select(*picked, F.lit(flag).alias("in_gold"), F.lit(not flag).alias("in_gen"))
+    def side(df, cols, flag):
+        parts = [part for c in cols for part in _parts(df, c)]
+        return df.select(*digest(parts), F.lit(flag).alias("in_gold"), F.lit(not flag).alias("in_gen"))
 
-    both = side(gold, gold_cols, [gen_tags[c] for c in gen_cols], True).unionByName(
-        side(gen, gen_cols, [gold_tags[c] for c in gold_cols], False)
-    )
-    keys = [f"c{i}" for i in range(len(gold_cols))]
-    seen = both.groupBy(*keys).agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_gen").alias("in_gen"))
+    both = side(gold, gold_cols, True).unionByName(side(gen, gen_cols, False))
+    seen = both.groupBy("d0", "d1").agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_gen").alias("in_gen"))
     return seen.agg(F.coalesce(F.bool_and(F.col("in_gold") & F.col("in_gen")), F.lit(True)).alias("same"))
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Deal a frame that lies in fewer partitions than there are cores over all of them.
+
+    Only inputs too small to have been split are moved; large ones stay as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *df.columns) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def frame_profile(df: DataFrame, pos: str | None = None) -> DataFrame:
     """One row: the row count and, per column, sums that identify its values."""
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(f for f in df.schema.fields if f.name != pos):
-        kind, num, txt = cell_parts(F.col(f.name), f.dataType)
-        parts = [kind, *[part for part in (num, txt) if part is not None]]
+        parts = _parts(df, f.name)
         aggregates += content_sums(parts, f"m{i}_")
-        aggregates.append(F.count(F.when(kind == MISSING, 1)).alias(f"x{i}"))
+        aggregates.append(F.count(F.when(parts[0] == MISSING, 1)).alias(f"x{i}"))
         if tag_of(f.dataType) == "f":
-            aggregates += [F.min(num).alias(f"lo{i}"), F.max(num).alias(f"hi{i}")]
+            aggregates += [F.min(parts[1]).alias(f"lo{i}"), F.max(parts[1]).alias(f"hi{i}")]
         if pos:
             aggregates += content_sums([F.col(pos), *parts], f"p{i}_")
     return df.agg(*aggregates)
@@ -161,6 +159,7 @@ def compare_frames(
     if intent:
         return _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
     gold_tags, gen_tags = _tags(gold), _tags(gen)
+    gold, gen = widened(gold), widened(gen)
     same_width = len(gold_cols) == len(gen_cols)
     passes = [frame_profile(gold, pos), frame_profile(gen, pos)]
     if same_width:

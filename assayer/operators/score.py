@@ -20,6 +20,7 @@ from assayer.functions.cells import (
     RTOL,
     UNEQUAL_NULL_TAGS,
     content_sums,
+    digest,
     is_close,
     is_missing,
     sort_cell,
@@ -94,18 +95,28 @@ def _places(names: Column, wanted: Column) -> Column:
 def placed_rows(result_rows: DataFrame, plan: DataFrame, gold_places: str = "gold_places", gen_places: str = "gen_places") -> DataFrame:
     """Rows of the planned pairs with ``canon``, their cells in comparison order.
 
-    Generated rows are repeated for every planned alternative.
+    Generated rows are repeated for every planned alternative. Where a result
+    has all its columns in order already, its cells are passed through.
     """
 
     def routes(side: str, number: Column, places: str) -> DataFrame:
-        return plan.select("pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt", F.col(places).alias("_places"))
+        unchanged = F.col(places) == F.transform(f"{side}_tags", lambda _, i: i)
+        return plan.select(
+            "pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt", F.when(~unchanged, F.col(places)).alias("_places")
+        )
 
     both = routes("gold", F.col("alt"), gold_places).unionByName(routes("gen", F.lit(-1), gen_places))
-    body = result_rows.filter(F.col("pos").isNotNull()).select(
+    moved = F.transform("_places", lambda i: F.get("vals", i))
+    cells = F.when(F.col("_places").isNull(), F.col("vals")).otherwise(moved)
+    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"]).select(
+        *PAIR, "side", "pos", cells.alias("canon")
+    )
+
+
+def _body(result_rows: DataFrame) -> DataFrame:
+    return result_rows.filter(F.col("pos").isNotNull()).select(
         "pair_id", "side", "pos", "vals", F.coalesce("alt", F.lit(-1)).alias("_alt")
     )
-    cells = F.transform("_places", lambda i: F.get("vals", i))
-    return attach(body, both, ["pair_id", "side", "_alt"], by=["pos"]).select(*PAIR, "side", "pos", cells.alias("canon"))
 
 
 def planned_rows(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -115,16 +126,22 @@ def planned_rows(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
         return plan.select("pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt")
 
     both = routes("gold", F.col("alt")).unionByName(routes("gen", F.lit(-1)))
-    body = result_rows.filter(F.col("pos").isNotNull()).select(
-        "pair_id", "side", "pos", "vals", F.coalesce("alt", F.lit(-1)).alias("_alt")
-    )
-    return attach(body, both, ["pair_id", "side", "_alt"], by=["pos"]).drop("_alt")
+    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"]).drop("_alt")
+
+
+def distinct_digests(rows: DataFrame) -> DataFrame:
+    """One row per distinct content, known by its digest, with its first place on each side."""
+    return _first_places(rows.select(*PAIR, "side", "pos", *digest([F.col("canon")])), ["d0", "d1"])
 
 
 def distinct_rows(rows: DataFrame) -> DataFrame:
     """One row per distinct content with its first place on each side."""
+    return _first_places(rows, ["canon"])
+
+
+def _first_places(rows: DataFrame, content: list[str]) -> DataFrame:
     gold, gen = F.col("side") == "gold", F.col("side") == "gen"
-    return rows.groupBy(*PAIR, "canon").agg(
+    return rows.groupBy(*PAIR, *content).agg(
         F.min(F.when(gold, F.col("pos"))).alias("gold_pos"), F.min(F.when(gen, F.col("pos"))).alias("gen_pos")
     )
 
@@ -178,7 +195,7 @@ def exact_matches(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
         & (F.col("gold_desc") == F.col("gen_desc"))
     )
     comparable = plan.filter(F.col("gold_cols") == F.col("gen_cols"))
-    content = distinct_rows(placed_rows(result_rows, comparable))
+    content = distinct_digests(placed_rows(result_rows, comparable))
     verdict = materialise(
         plan.join(_set_verdict(content), PAIR, "left")
         .fillna({"gold_distinct": 0, "gen_distinct": 0, "same_rows": True})
@@ -383,9 +400,9 @@ def subset_matches(result_rows: DataFrame, rows: DataFrame, profiles: DataFrame,
                 "gold_at", "gen_at", lambda i, j: (F.get("gold_tags", i) == "f") & (F.get("gen_tags", j) == "f")
             ),
         )
-        .select(*PAIR, "intent", "gold_at", "gen_at", "floating")
+        .select(*PAIR, "intent", "gold_at", "gen_at", "gold_tags", "gen_tags", "floating")
     )
-    content = distinct_rows(placed_rows(result_rows, found, "gold_at", "gen_at"))
+    content = distinct_digests(placed_rows(result_rows, found, "gold_at", "gen_at"))
     sets = materialise(
         _set_verdict(content)
         .join(found, PAIR)

@@ -115,21 +115,21 @@ def is_close(a: Column, b: Column) -> Column:
 _PART_BITS = 21
 
 
-def content_sums(values: list[Column], prefix: str) -> list[Column]:
-    """Six order-free sums that identify a multiset of rows."""
+def content_sums(columns: list[str], prefix: str) -> list[Column]:
+    """Six order-free sums that identify the multiset of rows of the named columns."""
     sums = []
     for seed in range(2):
-        hashed = F.xxhash64(F.lit(seed * 7919 + 17), *values)
+        hashed = f"xxhash64({seed * 7919 + 17}, {', '.join(columns)})"
         for part in range(3):
-            piece = F.shiftrightunsigned(hashed, part * _PART_BITS).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
-            sums.append(F.coalesce(F.sum(piece), F.lit(0)).alias(f"{prefix}{seed}{part}"))
+            piece = f"shiftrightunsigned({hashed}, {part * _PART_BITS}) & {(1 << _PART_BITS) - 1}L"
+            sums.append(F.expr(f"coalesce(sum({piece}), 0L) AS {prefix}{seed}{part}"))
     return sums
 
 
-def digest(values: list[Column]) -> list[Column]:
-    """Two independent 64-bit hashes that together stand for the values of a row.
+def digest(columns: list[str]) -> list[Column]:
+    """Two independent 64-bit hashes that together stand for the named columns of a row.
 
     Cells hash without ambiguity, as each begins with its kind. Shuffling the
     digest in place of the row keeps the set comparison of wide results narrow.
     """
-    return [F.xxhash64(F.lit(seed * 7919 + 17), *values).alias(f"d{seed}") for seed in range(2)]
+    return [F.expr(f"xxhash64({seed * 7919 + 17}, {', '.join(columns)}) AS d{seed}") for seed in range(2)]

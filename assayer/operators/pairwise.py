@@ -85,9 +85,15 @@ def _tags(df: DataFrame) -> dict[str, str]:
     return {f.name: tag_of(f.dataType) for f in df.schema.fields}
 
 
-def _parts(df: DataFrame, name: str) -> list[Column]:
-    """The cell of a column as separate native columns, without parts it never has."""
-    return [part for part in cell_parts(F.col(name), df.schema[name].dataType) if part is not None]
+def _with_parts(df: DataFrame, columns: list[str], keep: list[str]) -> tuple[DataFrame, list[list[str]]]:
+    """The cells of the columns as native columns k, v, t, without parts a type never has."""
+    picked, names = [], []
+    for i, c in enumerate(columns):
+        parts = zip("kvt", cell_parts(F.col(c), df.schema[c].dataType))
+        present = [(f"{letter}{i}", part) for letter, part in parts if part is not None]
+        picked += [part.alias(name) for name, part in present]
+        names.append([name for name, _ in present])
+    return df.select(*picked, *keep), names
 
 
 def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: list[str]) -> DataFrame:
@@ -97,8 +103,9 @@ def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: l
     """
 
     def side(df, cols, flag):
-        parts = [part for c in cols for part in _parts(df, c)]
-        return df.select(*digest(parts), F.lit(flag).alias("in_gold"), F.lit(not flag).alias("in_gen"))
+        cells, names = _with_parts(df, cols, [])
+        flat = [n for part in names for n in part]
+        return cells.select(*digest(flat), F.lit(flag).alias("in_gold"), F.lit(not flag).alias("in_gen"))
 
     both = side(gold, gold_cols, True).unionByName(side(gen, gen_cols, False))
     seen = both.groupBy("d0", "d1").agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_gen").alias("in_gen"))
@@ -108,24 +115,28 @@ def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: l
 def widened(df: DataFrame) -> DataFrame:
     """Deal a frame that lies in fewer partitions than there are cores over all of them.
 
-    Only inputs too small to have been split are moved; large ones stay as read.
+    Only inputs too small to have been split are moved, and then kept for the
+    several passes of a comparison; large ones are read in place each time.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if 2 * df.rdd.getNumPartitions() <= cores else df
+    if 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return materialise(df.repartition(cores, *df.columns))
 
 
 def frame_profile(df: DataFrame, pos: str | None = None) -> DataFrame:
     """One row: the row count and, per column, sums that identify its values."""
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(f for f in df.schema.fields if f.name != pos):
-        parts = _parts(df, f.name)
-        aggregates += content_sums(parts, f"m{i}_")
-        aggregates.append(F.count(F.when(parts[0] == MISSING, 1)).alias(f"x{i}"))
-        if tag_of(f.dataType) == "f":
-            aggregates += [F.min(parts[1]).alias(f"lo{i}"), F.max(parts[1]).alias(f"hi{i}")]
+    columns = [c for c in df.columns if c != pos]
+    cells, names = _with_parts(df, columns, [pos] if pos else [])
+    tags = _tags(df)
+    aggregates = [F.expr("count(1) AS n")]
+    for i, (c, parts) in enumerate(zip(columns, names)):
+        aggregates += [F.expr(f"count(CASE WHEN k{i} = '{MISSING}' THEN 1 END) AS x{i}"), *content_sums(parts, f"m{i}_")]
+        if tags[c] == "f":
+            aggregates += [F.expr(f"min(v{i}) AS lo{i}"), F.expr(f"max(v{i}) AS hi{i}")]
         if pos:
-            aggregates += content_sums([F.col(pos), *parts], f"p{i}_")
-    return df.agg(*aggregates)
+            aggregates += content_sums([pos, *parts], f"p{i}_")
+    return cells.agg(*aggregates)
 
 
 def _sums(row, prefix: str, i: int) -> tuple:

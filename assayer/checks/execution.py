@@ -18,7 +18,7 @@ FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegme
 """
 
 
-@check("s6_run_on_database", _SEGMENTS.replace("max(o.o_totalprice)", "round(max(o.o_totalprice), 1)"))
+@check("s6_run_on_database", _SEGMENTS.replace("max(o.o_totalprice)", "round_even(max(o.o_totalprice) * 10, 0) / 10"))
 def run_on_database(spark, sf_dir):
     load_database(spark, sf_dir, ["customer", "orders"])
     return run_query(spark, _SEGMENTS + ";", decimals=1)

@@ -35,17 +35,25 @@ def spread_join(
 
 
 # A side is broadcast only after its rows were measured to stay below this size.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def fits_broadcast(small: DataFrame) -> bool:
+    """Measure materialised rows: do they stay within ``BROADCAST_BYTES``?"""
+    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns)))).alias("bytes")).first().bytes or 0
+    return size <= BROADCAST_BYTES
+
+
+def attach(
+    big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", fits: bool | None = None
+) -> DataFrame:
     """Join per-key attributes that were materialised before.
 
-    The attributes are measured: within ``BROADCAST_BYTES`` they go to every
-    task and ``big`` is not shuffled; beyond that the salted join takes over.
+    The attributes are measured, unless the caller has measured the rows they
+    were cut from: within ``BROADCAST_BYTES`` they go to every task and ``big``
+    is not shuffled; beyond that the salted join takes over.
     """
-    size = small.agg(F.sum(F.length(F.to_json(F.struct(*small.columns)))).alias("bytes")).first().bytes or 0
-    if size <= BROADCAST_BYTES:
+    if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), keys, how)
     return spread_join(big, small, keys, by, how)
 

@@ -27,7 +27,7 @@ from assayer.functions.cells import (
 )
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import unique_names
-from assayer.operators.ordered import attach, lowest_running_sum, ranked
+from assayer.operators.ordered import attach, fits_broadcast, lowest_running_sum, ranked
 from assayer.session import materialise
 
 PAIR = ["pair_id", "alt"]
@@ -92,7 +92,13 @@ def _places(names: Column, wanted: Column) -> Column:
     return F.transform(wanted, lambda n: (F.array_position(names, n) - 1).cast("int"))
 
 
-def placed_rows(result_rows: DataFrame, plan: DataFrame, gold_places: str = "gold_places", gen_places: str = "gen_places") -> DataFrame:
+def placed_rows(
+    result_rows: DataFrame,
+    plan: DataFrame,
+    gold_places: str = "gold_places",
+    gen_places: str = "gen_places",
+    fits: bool | None = None,
+) -> DataFrame:
     """Rows of the planned pairs with ``canon``, their cells in comparison order.
 
     Generated rows are repeated for every planned alternative. Where a result
@@ -108,7 +114,7 @@ def placed_rows(result_rows: DataFrame, plan: DataFrame, gold_places: str = "gol
     both = routes("gold", F.col("alt"), gold_places).unionByName(routes("gen", F.lit(-1), gen_places))
     moved = F.transform("_places", lambda i: F.get("vals", i))
     cells = F.when(F.col("_places").isNull(), F.col("vals")).otherwise(moved)
-    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"]).select(
+    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"], fits=fits).select(
         *PAIR, "side", "pos", cells.alias("canon")
     )
 
@@ -119,14 +125,14 @@ def _body(result_rows: DataFrame) -> DataFrame:
     )
 
 
-def planned_rows(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
+def planned_rows(result_rows: DataFrame, plan: DataFrame, fits: bool | None = None) -> DataFrame:
     """Rows of the planned pairs with their cells as returned."""
 
     def routes(side: str, number: Column) -> DataFrame:
         return plan.select("pair_id", F.lit(side).alias("side"), number.alias("_alt"), "alt")
 
     both = routes("gold", F.col("alt")).unionByName(routes("gen", F.lit(-1)))
-    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"]).drop("_alt")
+    return attach(_body(result_rows), both, ["pair_id", "side", "_alt"], by=["pos"], fits=fits).drop("_alt")
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def _same_sequence(sides: DataFrame, tolerant: bool) -> DataFrame:
     return facing.groupBy(*PAIR).agg(F.bool_and(same).alias("same_order"))
 
 
-def exact_matches(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
+def exact_matches(result_rows: DataFrame, plan: DataFrame, fits: bool | None = None) -> DataFrame:
     """The plan with ``normal_equal``, normalised equality, pinned in the shared folder.
 
     Where both sides sort by the same rule, equality of the distinct rows
@@ -193,7 +199,7 @@ def exact_matches(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
         & (F.col("gold_desc") == F.col("gen_desc"))
     )
     comparable = plan.filter(F.col("gold_cols") == F.col("gen_cols"))
-    content = distinct_digests(placed_rows(result_rows, comparable))
+    content = distinct_digests(placed_rows(result_rows, comparable, fits=fits))
     verdict = materialise(
         plan.join(_set_verdict(content), PAIR, "left")
         .fillna({"gold_distinct": 0, "gen_distinct": 0, "same_rows": True})
@@ -205,8 +211,8 @@ def exact_matches(result_rows: DataFrame, plan: DataFrame) -> DataFrame:
     if pending.isEmpty():
         return verdict
     specs = [f"{s}_{c}" for s in ("gold", "gen") for c in ("keyed", "keys", "desc")]
-    open_content = distinct_rows(placed_rows(result_rows, pending))
-    open_rows = attach(open_content, pending.select(*PAIR, *specs, "gold_distinct"), PAIR, by=["gold_pos"])
+    open_content = distinct_rows(placed_rows(result_rows, pending, fits=fits))
+    open_rows = attach(open_content, pending.select(*PAIR, *specs, "gold_distinct"), PAIR, by=["gold_pos"], fits=fits)
     sides = reduce(DataFrame.unionByName, [_side_keys(open_rows, side) for side in ("gold", "gen")])
     order = _same_sequence(sides, tolerant=False)
     joined = materialise(verdict.join(order, PAIR, "left"))
@@ -379,7 +385,9 @@ def assign_columns(matches: DataFrame) -> DataFrame:
     return lists.select(*PAIR, F.aggregate("wanted", F.array().cast("array<int>"), take).alias("taken"))
 
 
-def subset_matches(result_rows: DataFrame, rows: DataFrame, profiles: DataFrame, plan: DataFrame) -> DataFrame:
+def subset_matches(
+    result_rows: DataFrame, rows: DataFrame, profiles: DataFrame, plan: DataFrame, fits: bool | None = None
+) -> DataFrame:
     """(pair, alternative) whose gold columns are all contained in the generated result.
 
     Where every open column has one possible partner, the row comparison at the
@@ -412,7 +420,7 @@ def subset_matches(result_rows: DataFrame, rows: DataFrame, profiles: DataFrame,
         )
         .select(*PAIR, "intent", "gold_at", "gen_at", "gold_tags", "gen_tags", "floating", "gold_rows", "deferred")
     )
-    content = distinct_digests(placed_rows(result_rows, found, "gold_at", "gen_at"))
+    content = distinct_digests(placed_rows(result_rows, found, "gold_at", "gen_at", fits))
     sets = materialise(
         _set_verdict(content)
         .join(found, PAIR)
@@ -435,9 +443,13 @@ def subset_matches(result_rows: DataFrame, rows: DataFrame, profiles: DataFrame,
     pending = sets.filter("by_sequence")
     if pending.isEmpty():
         return settled
-    open_content = distinct_rows(placed_rows(result_rows, pending, "gold_at", "gen_at"))
+    open_content = distinct_rows(placed_rows(result_rows, pending, "gold_at", "gen_at", fits))
     open_rows = attach(
-        open_content, pending.select(*PAIR, "intent", "floating", "gold_distinct"), PAIR, by=["gold_pos", "gen_pos"]
+        open_content,
+        pending.select(*PAIR, "intent", "floating", "gold_distinct"),
+        PAIR,
+        by=["gold_pos", "gen_pos"],
+        fits=fits,
     )
 
     def side_rows(side: str) -> Column:
@@ -475,7 +487,9 @@ def score_alternatives(
     The subset test of an exact alternative does not change its score and is
     only made with ``skip_exact=False``.
     """
-    verdict = exact_matches(result_rows, plan)
+    # What later stages send to the rows is cut from the plan and no larger.
+    fits = fits_broadcast(plan)
+    verdict = exact_matches(result_rows, plan, fits)
     if numpy_broadcast:
         verdict = _with_broadcast_shapes(result_rows, verdict)
     decided = F.col("normal_equal") if skip_exact else F.lit(False)
@@ -484,10 +498,10 @@ def score_alternatives(
     ).select(*plan.columns)
     if undecided.isEmpty():
         return verdict.select(*PAIR, F.col("normal_equal").alias("exact"), F.lit(False).alias("subset"))
-    rows = planned_rows(result_rows, undecided)
+    rows = planned_rows(result_rows, undecided, fits)
     profiles = materialise(column_profiles(rows, undecided))
     in_place = positional_matches(profiles)
-    subset = subset_matches(result_rows, rows, profiles, undecided).withColumn("subset", F.lit(True))
+    subset = subset_matches(result_rows, rows, profiles, undecided, fits).withColumn("subset", F.lit(True))
     scored = verdict.join(in_place, PAIR, "left").join(subset, PAIR, "left")
     placed = F.col("same_shape") & F.coalesce("same_places", F.lit(False))
     return scored.select(

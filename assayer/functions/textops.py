@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators.ordered import spread_join
+from assayer.operators.ordered import attach
+from assayer.session import materialise
 
 # Code fences, answer markers and the texts the fix-ups replace.
 SQL_FENCE = "```sql"
@@ -139,28 +140,24 @@ def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
     A model is priced by its exact name, else by the longest listed name its own
     name contains; without any the cost is NULL. Names are matched once per
-    distinct model, so the calls themselves never meet the price list pairwise.
+    distinct model, and the measured result goes to the calls, which are not
+    shuffled for it.
     """
     models = calls.select("model").distinct()
-    listed = prices.select(
-        F.col("model").alias("priced_as"), "input_cost_per1k", "output_cost_per1k"
-    )
+    listed = prices.select(F.col("model").alias("priced_as"), "input_cost_per1k", "output_cost_per1k")
     rank = F.struct(F.length("priced_as"), F.col("priced_as"))
-    best = (
+    best = materialise(
         models.join(listed, F.expr("contains(model, priced_as)"))
         .groupBy("model")
         .agg(F.max_by(F.struct("priced_as", "input_cost_per1k", "output_cost_per1k"), rank).alias("price"))
+        .select("model", "price.*")
     )
     cents = (
-        F.col("input_tokens") / 1000 * F.col("price.input_cost_per1k")
-        + F.col("output_tokens") / 1000 * F.col("price.output_cost_per1k")
+        F.col("input_tokens") / 1000 * F.col("input_cost_per1k")
+        + F.col("output_tokens") / 1000 * F.col("output_cost_per1k")
     ) * 100
-    return (
-        spread_join(calls, best, ["model"], by=["call_id"], how="left")
-        .withColumn("priced_as", F.col("price.priced_as"))
-        .withColumn("cost_in_cents", cents)
-        .drop("price")
-    )
+    priced = attach(calls, best, ["model"], by=["call_id"], how="left")
+    return priced.withColumn("cost_in_cents", cents).drop("input_cost_per1k", "output_cost_per1k")
 
 
 def with_usage(calls: DataFrame) -> DataFrame:

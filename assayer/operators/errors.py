@@ -29,13 +29,14 @@ def valid_but_wrong(runs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def recurring(runs: DataFrame, by: list[str], keys: list[str] = QUESTION_KEYS) -> DataFrame:
-    """All rows of the groups that have more than one row.
+    """All rows of the groups that have more than one row, NULL keys included.
 
     Counted first and joined back with salt, so a question that recurs in most
     rows does not gather them in one task.
     """
-    counted = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return spread_join(runs, counted.filter("_n > 1").select(*keys), keys, by=by, how="left_semi")
+    keyed = runs.withColumn("_key", F.to_json(F.struct(*keys)))
+    counted = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    return spread_join(keyed, counted.filter("_n > 1").select("_key"), ["_key"], by=by, how="left_semi").drop("_key")
 
 
 def distinct_questions(runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import prompts, rewrite
 from assayer.functions.ordering import stated_order, wants_order
-from assayer.operators import expand, pairwise, score
+from assayer.operators import errors, expand, ordered, pairwise, score
 from assayer.operators.capture import RESULT_ROWS, capture
 from assayer.plans import execute
 from assayer.session import scratch
@@ -153,3 +153,17 @@ def test_statement_errors_are_kept(spark, sf_dir):
     captured = execute.run_statements(spark, statements)
     assert captured.filter("err IS NOT NULL").count() == 1
     assert sorted(r.pos for r in captured.filter("pos IS NOT NULL").collect()) == [0, 1, 2]
+
+
+def test_recurring_rows_with_null_keys(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", "q"), (4, None, "q"), (5, None, "q")]
+    runs = spark.createDataFrame(rows, "id int, db_name string, question string")
+    assert sorted(r.id for r in errors.recurring(runs, by=["id"]).collect()) == [1, 2, 4, 5]
+
+
+def test_beyond_the_broadcast_limit_the_salted_join_takes_over(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BROADCAST_BYTES", 0)
+    base = spark.createDataFrame([(1, 4), (2, 5), (3, 6)], "a int, b int")
+    more = spark.createDataFrame([(6, 3, 0), (4, 1, 0), (5, 2, 0)], "y int, x int, z int")
+    row = _fold(spark, [base], more)
+    assert (row.exact, row.correct) == (False, True)

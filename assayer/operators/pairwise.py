@@ -16,7 +16,14 @@ from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import long_rows, outcome_row, unique_labels
 from assayer.operators.ordered import ranked
-from assayer.operators.score import comparison_plan, result_heads, score_alternatives
+from assayer.operators.score import (
+    column_profiles,
+    comparison_plan,
+    planned_rows,
+    result_heads,
+    score_alternatives,
+    subset_matches,
+)
 from assayer.session import in_pool, materialise
 
 
@@ -168,7 +175,8 @@ def compare_frames(
     gold_cols = [c for c in gold.columns if c != pos]
     gen_cols = [c for c in gen.columns if c != pos]
     if intent:
-        return _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
+        long, plan = _long_form(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
+        return score_alternatives(long, plan, skip_exact=False).select("exact", "subset")
     gold_tags, gen_tags = _tags(gold), _tags(gen)
     gold, gen = widened(gold), widened(gen)
     same_width = len(gold_cols) == len(gen_cols)
@@ -214,8 +222,10 @@ def compare_frames(
             return verdict(exact, True)
         if not any(gold_tags[c] == gen_tags[gen_cols[j]] == "f" for c, j in zip(gold_cols, taken)):
             return verdict(exact, False)
-    long = _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
-    return long.select((F.col("exact") | F.lit(exact)).alias("exact"), "subset")
+    long, plan = _long_form(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
+    rows = planned_rows(long, plan)
+    profiles = materialise(column_profiles(rows, plan))
+    return verdict(exact, not subset_matches(long, rows, profiles, plan).isEmpty())
 
 
 def _may_be_close(g, i: int, n, j: int) -> bool:
@@ -227,7 +237,8 @@ def _may_be_close(g, i: int, n, j: int) -> bool:
     return g[f"x{i}"] == n[f"x{j}"] and near(g[f"lo{i}"], n[f"lo{j}"]) and near(g[f"hi{i}"], n[f"hi{j}"])
 
 
-def _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse) -> DataFrame:
+def _long_form(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse) -> tuple[DataFrame, DataFrame]:
+    """The long rows of both frames and their comparison plan."""
     spark = gold.sparkSession
 
     def rows(df, side, alt):
@@ -241,5 +252,4 @@ def _compare_long(gold, gen, category, question, gold_sql, gen_sql, pos, order_p
         "pair_id bigint, query_category string, question string, sql_gold string, sql_gen string",
     )
     long = rows(gold, "gold", 0).unionByName(rows(gen, "gen", None))
-    plan = materialise(comparison_plan(result_heads(long), asked, order_parse))
-    return score_alternatives(long, plan, skip_exact=False).select("exact", "subset")
+    return long, materialise(comparison_plan(result_heads(long), asked, order_parse))

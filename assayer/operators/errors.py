@@ -65,7 +65,7 @@ def first_of_each(runs: DataFrame, order: list[str], keys: list[str] = QUESTION_
 # whether it occurs.
 COUNTED_FEATURES = {
     "sql_num_tables": r"(?i)\b(?:FROM|JOIN)\s+[A-Za-z_]",
-    "sql_num_columns": r"(?i)\b[a-z_]\w*\.[a-z_]\w*",
+    "sql_num_columns": r"(?i)\b[a-z_]\w*+\.[a-z_]",
     "sql_joins": r"(?i)\bJOIN\b",
 }
 FLAGGED_FEATURES = {

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, exact_dedup, token_counts
-from assayer.llm.common import documents
+from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, licenses, token_counts, toxicity
+from assayer.llm.common import documents, in_fold
+from assayer.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,16 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), in_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scored(docs, model).select("row.doc_id", "score", "predicted").withColumn("held_out", held_out)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, pattern)
@@ -36,6 +47,29 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op7_chat_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations GROUP BY ALL
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+  FROM turns GROUP BY conv_id
+), single AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies, rendered FROM whole GROUP BY n_turns, rendered
+)
+SELECT * FROM single s WHERE NOT EXISTS (
+  SELECT 1 FROM single l WHERE l.n_turns > s.n_turns AND starts_with(l.rendered, s.rendered))
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -45,9 +79,13 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op3_toxicity,
+        op4_license_scan,
         op5_byte_bpe,
+        op6_decontaminate,
+        op7_chat_texts,
         op10_token_counts,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL}

@@ -36,24 +36,27 @@ def in_fold(id_column: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def with_class(members: DataFrame, keys: list[str], id_col: str, least: str, repeated_only: bool = False, slices: int = 1000) -> DataFrame:
+def with_class(members: DataFrame, keys: list[str], id_col: str, least: str, repeated_only: bool = False) -> DataFrame:
     """Attach the least id of all members with equal keys, however many share them.
 
-    The classes come from a grouping with map-side merging. Classes with more than
-    1/``slices`` of all members (there are at most ``slices``) are broadcast, so
-    their members are not gathered; the others are joined by shuffle.
     ``repeated_only`` leaves out members whose class has one id only. ``members``
     should be stored, it is read several times.
     """
-    total = members.count()
     classes = members.groupBy(*keys).agg(F.min(id_col).alias(least), F.max(id_col).alias("_most"), F.count(F.lit(1)).alias("_n"))
     if repeated_only:
         classes = classes.where(F.col(least) < F.col("_most"))
-    stored = pinned(classes.drop("_most"), "classes")
-    heavy = (F.col("_n") * slices > total) & (F.col("_n") > 64)
-    hot = F.broadcast(stored.where(heavy).select(*keys, least))
-    warm = members.join(hot, keys)
-    cold = members.join(F.broadcast(stored.where(heavy).select(*keys)), keys, "left_anti").join(
-        stored.where(~heavy).select(*keys, least), keys
-    )
+    return attached(members, pinned(classes.drop("_most"), "classes"), keys, "_n")
+
+
+def attached(members: DataFrame, classes: DataFrame, keys: list[str], size: str, slices: int = 1000) -> DataFrame:
+    """Members with the columns of their class; members without a class are left out.
+
+    Classes whose ``size`` is more than 1/``slices`` of all members (there are at
+    most ``slices``) are broadcast, so their members are not gathered; the others
+    are joined by shuffle. Both sides should be stored.
+    """
+    total = members.count()
+    heavy = (F.col(size) * slices > total) & (F.col(size) > 64)
+    warm = members.join(F.broadcast(classes.where(heavy).drop(size)), keys)
+    cold = members.join(F.broadcast(classes.where(heavy).select(*keys)), keys, "left_anti").join(classes.where(~heavy).drop(size), keys)
     return warm.unionByName(cold)

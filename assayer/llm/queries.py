@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, licenses, substring_dedup, token_counts, toxicity
+from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, substring_dedup, token_counts, toxicity
 from assayer.llm.common import documents, in_fold
 from assayer.session import table
 
@@ -70,6 +70,10 @@ SELECT * FROM single s WHERE NOT EXISTS (
 """
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(documents(spark, sf_dir), percent=85, width=4)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.kept_texts(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op5_byte_bpe,
         op6_decontaminate,
         op7_chat_texts,
+        op8_jaccard_join,
         op9_substring_dedup,
         op10_token_counts,
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, substring_dedup, token_counts, toxicity
+from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, substring_dedup, token_counts, toxicity
 from assayer.llm.common import documents, in_fold
 from assayer.session import table
 
@@ -26,6 +26,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(documents(spark, sf_dir), in_fold(F.col("doc_id"), 7, 2))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), in_fold(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_context_mixing,
         op3_toxicity,
         op4_license_scan,
         op5_byte_bpe,

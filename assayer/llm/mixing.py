@@ -243,10 +243,12 @@ class Weights:
 class Scorer:
     """Total bits of each text of a portion; with ``fit`` the weights move along and own bits are taken out of the slots."""
 
-    RATE, OWN_RATE, REFINE_RATE = 0.002, 0.0015, 0.3
+    #: Of the fitted weights in one pass after the other, of a text's own correction, of its own refinement.
+    RATES, OWN_RATE, REFINE_RATE = (0.01, 0.003), 0.0015, 0.3
 
     def __init__(self, corpus: Corpus, slots: Slots, weights: Weights, slot_bits: int, fit: bool = False):
         self.corpus, self.slots, self.weights, self.slot_bits, self.fit = corpus, slots, weights, slot_bits, fit
+        self.rate = self.RATES[0]
 
     def cost(self, words: Words, tokens: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         texts = len(words.firsts) - 1
@@ -312,7 +314,7 @@ class Scorer:
             if self.fit:
                 for k in range(CONTEXTS + 1):
                     sums, seen = np.bincount(g, wrong * x[k], GATES), np.bincount(g, minlength=GATES)
-                    self.weights.mixing[kind][:, k] += self.RATE * sums / np.sqrt(1 + seen)
+                    self.weights.mixing[kind][:, k] += self.rate * sums / np.sqrt(1 + seen)
                 seen = np.bincount(where, minlength=GATES * INTERVALS)
                 self.weights.refining[kind] += 0.05 * np.bincount(where, missed, GATES * INTERVALS) / (4 + seen)
 
@@ -434,18 +436,21 @@ def _added(tables: DataFrame, pieces: int) -> np.ndarray:
 
 
 def fitted_weights(rows: DataFrame, corpus, counts, size: Size) -> Weights:
-    """Weights after one online pass over at most ``size.fit_texts`` training texts, chosen by a hash of the text."""
+    """Weights after online passes over at most ``size.fit_texts`` training texts, chosen by a hash of the text."""
     texts = rows.where("not held").select("text", F.xxhash64("text").alias("h")).where(F.length("text") < size.fit_bytes // 20)
     sample = texts.orderBy("h").limit(size.fit_texts).select("text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(corpus.value, Slots.of(counts.value), Weights.first(), size.slot_bits, fit=True)
-        seen = 0
-        for some, words in portions(batches):
+        held, seen = [], 0
+        for _, words in portions(batches):
             seen += len(words.data)
             if seen > size.fit_bytes:
                 break
-            scorer.cost(words, _with_ends(words))
+            held.append(words)
+        for scorer.rate in Scorer.RATES:
+            for words in held:
+                scorer.cost(words, _with_ends(words))
         w = scorer.weights
         yield pa.RecordBatch.from_arrays([pa.array([w.mixing.tobytes()]), pa.array([w.refining.tobytes()])], ["mixing", "refining"])
 

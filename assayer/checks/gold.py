@@ -242,7 +242,7 @@ def null_order(spark, sf_dir):
 
 @check("g16_month_forms", """
 SELECT strftime(make_date(year(ts)::BIGINT, month(ts)::BIGINT, 1), '%Y-%m-%d') AS month_date, strftime(ts, '%Y-%m') AS month_name,
-       event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type LIMIT 4
+       event_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, event_type, month_date LIMIT 4
 """)
 def month_forms(spark, sf_dir):
     (events,) = _t(spark, sf_dir, "events")
@@ -250,7 +250,7 @@ def month_forms(spark, sf_dir):
         events.select(
             gold.month_from_parts("ts").cast("string").alias("month_date"), gold.month_text("ts").alias("month_name"), "event_type"
         ),
-        ["month_date", "month_name", "event_type"], {"n": F.count(F.lit(1))}, [F.desc("n"), F.asc("event_type")], 4,
+        ["month_date", "month_name", "event_type"], {"n": F.count(F.lit(1))}, [F.desc("n"), F.asc("event_type"), F.asc("month_date")], 4,
     )
 
 

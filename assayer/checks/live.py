@@ -20,12 +20,13 @@ def _arrived(spark, sf_dir, fmt="parquet"):
     """A fresh folder with the evaluated rows in four files."""
     folder = scratch(spark, "arrived")
     columns = [f.strip().split(" ")[0] for f in _FIELDS.split(",")]
-    rows = runs(spark, sf_dir).select(*columns).repartition(4, "event_id")
-    rows.write.option("header", True).format(fmt).save(folder)
+    # Questions of two lines: generated texts nearly always break lines.
+    rows = runs(spark, sf_dir).select(*columns).withColumn("question", F.concat("question", F.lit("\n"), "model")).repartition(4, "event_id")
+    rows.write.options(header=True, escape='"').format(fmt).save(folder)
     return folder
 
 
-@check("st1_watch_results", f"SELECT event_id, query_category, correct, latency_seconds FROM ({RUNS_DUCK})")
+@check("st1_watch_results", f"SELECT event_id, query_category, question || chr(10) || model AS question, correct, latency_seconds FROM ({RUNS_DUCK})")
 def watch_results(spark, sf_dir):
     folder, done = _arrived(spark, sf_dir, "csv"), scratch(spark, "collected")
     rows = live.watch_results(
@@ -33,7 +34,7 @@ def watch_results(spark, sf_dir):
     )
     live.collect_results(rows, done, scratch(spark, "checkpoint")).awaitTermination()
     stored = spark.read.schema(_FIELDS.replace("TIMESTAMP_NTZ", "STRING")).parquet(done)
-    return stored.select("event_id", "query_category", "correct", "latency_seconds")
+    return stored.select("event_id", "query_category", "question", "correct", "latency_seconds")
 
 
 @check("st2_live_accuracy", f"""
@@ -59,10 +60,9 @@ def hourly_accuracy(spark, sf_dir):
     rows = live.watch_results(spark, _arrived(spark, sf_dir), fields, "parquet", files_per_batch=100)
     stamped = rows.withColumn("ts", F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss"))
     path = scratch(spark, "report")
-    live.publish(live.hourly_accuracy(stamped, "ts"), path, scratch(spark, "checkpoint")).awaitTermination()
+    live.publish(live.hourly_accuracy(stamped, "ts"), path, scratch(spark, "checkpoint"), "update").awaitTermination()
     batches = spark.read.schema("hour TIMESTAMP, tried BIGINT, mean_correct DOUBLE, batch BIGINT").parquet(path)
-    last = batches.agg(F.max("batch").alias("batch"))
-    final = batches.join(F.broadcast(last), "batch")
+    final = batches.groupBy("hour").agg(F.max_by("tried", "batch").alias("tried"), F.max_by("mean_correct", "batch").alias("mean_correct"))
     return final.select(
         F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "tried", F.round("mean_correct", 9).alias("mean_correct")
     )
@@ -86,3 +86,21 @@ def append_to_store(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("correct").cast("bigint")).alias("n_correct")
     )
     return counted.join(rows_of, "prompt_id")
+
+
+@check("st3_two_streams_and_a_run", f"""
+SELECT run_id, count(*) AS n_rows, (SELECT count(DISTINCT model) FROM ({RUNS_DUCK})) AS n_prompts
+FROM ({RUNS_DUCK}), (VALUES ('one/a'), ('two'), ('batch')) v(run_id) GROUP BY run_id
+""")
+def two_streams_and_a_run(spark, sf_dir):
+    """Streams that begin anew and a batch run write into one store, and nothing is lost."""
+    evals, prompts = scratch(spark, "eval"), scratch(spark, "prompt")
+    store.create_store(spark, evals, prompts)
+    extra = {"prompt_id": F.concat(F.lit("p-"), "model"), "prompt": F.concat(F.lit("prompt of "), "model"), "query": F.lit("SELECT 1")}
+    store.append_run(runs(spark, sf_dir).withColumns(extra), evals, {"run_id": "batch"})
+    for run in ("one/a", "two"):
+        rows = live.watch_results(spark, _arrived(spark, sf_dir), _FIELDS, "parquet", files_per_batch=2).withColumns(extra)
+        live.append_to_store(rows, evals, prompts, scratch(spark, "checkpoint"), {"run_id": run}).awaitTermination()
+    known = spark.read.schema(store.PROMPT_FIELDS).parquet(prompts).agg(F.count("prompt_id").alias("n_prompts"))
+    stored = spark.read.schema(store.EVAL_FIELDS).parquet(evals).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return stored.crossJoin(F.broadcast(known))

@@ -62,7 +62,7 @@ def recurring_questions(spark, sf_dir):
 
 @check("e4_bullets", _WITH + f"""
 , n AS (SELECT {_SHORT} AS m, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM r WHERE error_db_exec = 1)
-SELECT rn // 1000 AS chunk, string_agg('- ' || m, chr(10) ORDER BY rn) AS bullets FROM n GROUP BY 1
+SELECT rn AS place, '- ' || m AS line FROM n
 """)
 def bullet_texts(spark, sf_dir):
     failed = errors.execution_errors(runs(spark, sf_dir), ["db_name", "question", "o_orderkey", "error_msg_short"])

@@ -63,7 +63,7 @@ def overall_rate(spark, sf_dir):
 
 @check("m4_running_accuracy", _WITH + """
 SELECT model, event_id, sum(correct) OVER w::BIGINT AS correct_so_far, count(*) OVER w AS tried_so_far,
-       round(100 * sum(correct) OVER w / count(*) OVER w, 2) AS percent
+       CAST(printf('%.2f', 100 * sum(correct) OVER w / count(*) OVER w) AS DOUBLE) AS percent
 FROM r WINDOW w AS (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 """.replace("sum(correct) OVER w::BIGINT", "CAST(sum(correct) OVER w AS BIGINT)"))
 def running_accuracy(spark, sf_dir):
@@ -174,10 +174,16 @@ def report_order(spark, sf_dir):
     return number_rows(ordered, into="place").select("event_id", "place")
 
 
-@check("m11_run_stamp")
+@check("m11_run_stamp", _WITH + """
+SELECT 32::BIGINT AS id_length, true AS id_is_hex, true AS just_now, count(*) AS n_rows FROM r
+""")
 def run_stamp(spark, sf_dir):
     rows = runs(spark, sf_dir).select("question", "query_category", "correct", "error_db_exec", "latency_seconds")
-    return store_rows(rows, stamp()).groupBy("run_id", "created_at").agg(F.count(F.lit(1)).alias("n_rows"))
+    stamped = store_rows(rows, stamp()).groupBy("run_id", "created_at").agg(F.count(F.lit(1)).alias("n_rows"))
+    age = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("created_at"))
+    return stamped.select(
+        F.length("run_id").cast("bigint").alias("id_length"), F.col("run_id").rlike("^[0-9a-f]{32}$").alias("id_is_hex"), (age < 3600).alias("just_now"), "n_rows"
+    )
 
 
 @check("s10_stored_rows", _WITH + """

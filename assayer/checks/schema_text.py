@@ -155,6 +155,22 @@ def referenced_tables(spark, sf_dir):
     )
 
 
+@check("d7_tables_of_lists", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('orders_', p_partkey, '|customer') WHEN 1 THEN 'events|nation'
+       WHEN 2 THEN 'orders|region' ELSE 'lineitem|part' END AS names FROM part
+""")
+def tables_of_lists(spark, sf_dir):
+    """Comma joins, a FROM inside a function, names that WITH defines, schemas and quotes."""
+    key = F.col("p_partkey")
+    sql = (
+        F.when(key % 4 == 0, F.concat(F.lit("SELECT EXTRACT(YEAR FROM o.created) FROM orders_"), key.cast("string"), F.lit(" AS o , customer c WHERE o.k = c.k")))
+        .when(key % 4 == 1, F.lit("SELECT substring(e.name FROM 2), trim(both FROM x) FROM shop.events e,\n  shop.\"nation\" WHERE 1 = 1"))
+        .when(key % 4 == 2, F.lit("WITH big AS (SELECT * FROM orders), few (a, b) AS (SELECT 1, 2) SELECT * FROM big, few JOIN region ON true"))
+        .otherwise(F.lit("select * from lineitem l left join part on p = l, (select 1) x"))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(md.referenced_tables(sql), "|").alias("names"))
+
+
 @check("d8_known_references", """
 SELECT p_partkey, concat('part_', p_partkey, CASE WHEN p_partkey % 50 = p_size THEN concat('|LOOKUP_', p_size) ELSE '' END) AS names FROM part
 """)

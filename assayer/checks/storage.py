@@ -38,6 +38,19 @@ def first_questions(spark, sf_dir):
     return qs.read_questions(spark, path, first=half)
 
 
+@check("s1_first_of_several_files", _QUESTIONS + " WHERE o_orderkey < 12")
+def first_of_several_files(spark, sf_dir):
+    """Files of unequal size, the smallest first: the first rows are those of the first files."""
+    path = scratch(spark, "questions")
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    ordered = spark.sql(_QUESTIONS)
+    for i, (first, end) in enumerate(((0, 2), (2, 7), (7, 1_000_000_000))):
+        part = ordered.where(F.substring_index(F.col("query"), "= ", -1).cast("bigint").between(first, end - 1))
+        part.coalesce(1).orderBy(F.substring_index(F.col("query"), "= ", -1).cast("bigint")).write.option("header", True).option("escape", '"').mode("append").csv(f"{path}/{i}")
+    wanted = table(spark, sf_dir, "orders").where("o_orderkey < 12").count()
+    return qs.read_questions(spark, f"{path}/*", first=wanted)
+
+
 @check("s2_metric_columns", """
 SELECT o_orderkey, 'postgres' AS db_type, '' AS generated_query, '' AS reason, '' AS error_msg, 0 AS exact_match, 0 AS correct,
        0 AS error_query_gen, 0 AS error_db_exec, 0 AS timeout, 0.0::DOUBLE AS latency_seconds, 0::BIGINT AS tokens_used FROM orders
@@ -112,6 +125,16 @@ def result_sink(spark, sf_dir):
     return spark.read.option("header", True).option("escape", '"').schema(fields).csv(path)
 
 
+@check("s8_exact_rounding", """
+SELECT o_orderkey, printf('%.2f', o_orderkey / 8.0::DOUBLE) AS eighths, printf('%.2f', -o_orderkey / 1000.0::DOUBLE) AS thousandths FROM orders
+""")
+def exact_rounding(spark, sf_dir):
+    """Values with three decimals, of which some lie exactly between two texts and some only seem to."""
+    key = F.col("o_orderkey").cast("double")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (key / 8).alias("eighths"), ((-F.col("o_orderkey")).cast("double") / 1000).alias("thousandths"))
+    return results.with_two_decimals(rows)
+
+
 @check("s9_record_sink", f"SELECT event_id, model, question, correct, latency_seconds FROM ({RUNS_DUCK})")
 def record_sink(spark, sf_dir):
     path = scratch(spark, "records")

@@ -167,13 +167,19 @@ def same_row(spark, sf_dir):
     return wf.same_row(left, sibling, "row_id", {"query": "original"})
 
 
-@check("w12_sample_one")
+@check("w12_sample_one", "SELECT 1::BIGINT AS n_rows, 1::BIGINT AS n_members, 1::BIGINT AS n_repeated")
 def sample_one(spark, sf_dir):
-    return wf.sample_one(table(spark, sf_dir, "orders"), "o_orderkey", seed=11)
+    """One row, a row of the table, and the same one again."""
+    orders = table(spark, sf_dir, "orders")
+    picked, again = (wf.sample_one(orders, "o_orderkey", seed=11) for _ in range(2))
+    members = picked.join(orders, orders.columns, "left_semi").agg(F.count(F.lit(1)).alias("n_members"))
+    repeated = picked.join(again, orders.columns, "left_semi").agg(F.count(F.lit(1)).alias("n_repeated"))
+    counted = picked.agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.crossJoin(F.broadcast(members)).crossJoin(F.broadcast(repeated))
 
 
 @check("w13_distinct_values", "SELECT lang AS value, (SELECT count(DISTINCT lang) FROM documents) AS n_values FROM documents GROUP BY lang")
 def distinct_values(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     counted = documents.agg(F.count_distinct("lang").alias("n_values"))
-    return documents.select(F.col("lang").alias("value")).distinct().join(counted)
+    return documents.select(F.col("lang").alias("value")).distinct().crossJoin(F.broadcast(counted))

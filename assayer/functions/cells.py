@@ -105,9 +105,38 @@ def sort_cell(c: Column, descending: Column) -> Column:
 
 
 def is_close(a: Column, b: Column) -> Column:
-    """Symmetric relative or absolute closeness of two non-null doubles."""
+    """Symmetric relative or absolute closeness of two non-null doubles; an infinity is close to itself only."""
     widest = F.greatest(F.abs(a), F.abs(b))
-    return (a == b) | (F.abs(a - b) <= F.greatest(F.lit(RTOL) * widest, F.lit(ATOL)))
+    near = F.abs(a - b) <= F.greatest(F.lit(RTOL) * widest, F.lit(ATOL))
+    return (a == b) | ((widest < F.lit(float("inf"))) & near)
+
+
+def exact_hundredths(value: Column) -> Column:
+    """A finite double below 2**53 in hundredths, rounded from its exact binary value, ties to even.
+
+    The fraction times 2**60 is a whole number wherever it can matter (a fraction
+    with smaller bits is less than half a hundredth), so decimals hold it exactly.
+    """
+    scale = 1 << 60
+    size = F.abs(value)
+    whole = F.floor(size).cast("decimal(38,0)")
+    bits = ((size - F.floor(size)) * float(scale)).cast("bigint").cast("decimal(38,0)") * 100
+    cents = F.floor(bits / F.lit(scale).cast("decimal(38,0)")).cast("decimal(38,0)")
+    cents = F.expr("cast(0 as decimal(38,0))") + cents
+    rest = bits - cents * F.lit(scale).cast("decimal(38,0)")
+    total = whole * 100 + cents
+    up = (rest > scale // 2) | ((rest == scale // 2) & (total % 2 == 1))
+    return total + up.cast("int")
+
+
+def two_decimals(value: Column) -> Column:
+    """The text of a double with two decimals, from its exact binary value."""
+    cents = exact_hundredths(value)
+    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("int").cast("string"), 2, "0"))
+    odd = F.abs(value) >= float(1 << 53)
+    special = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), special).when(odd, F.format_string("%.2f", value)).otherwise(text)
 
 
 # The 126 bits of two hashes, cut into six parts whose sums cannot overflow a

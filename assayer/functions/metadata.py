@@ -108,11 +108,31 @@ def without_schemas(text: Column, ddl: Column) -> Column:
     return _fold_names(schema_names(ddl), text, lambda t, s: F.replace(t, F.concat(s, F.lit(".")), F.lit("")))
 
 
+NAME = r'[A-Za-z_"`][\w."`]*'
+# Words that end an item of a FROM list instead of naming it.
+CLAUSE_WORDS = (
+    "WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|OUTER|SEMI|ANTI|LATERAL|ON|USING|GROUP|ORDER|HAVING|LIMIT|OFFSET|FETCH|"
+    "UNION|EXCEPT|INTERSECT|WINDOW|QUALIFY|TABLESAMPLE|FOR|AS"
+)
+_ITEM = rf"{NAME}(?:\s+(?:AS\s+)?(?!(?:{CLAUSE_WORDS})\b)[A-Za-z_]\w*)?"
+FROM_LIST = rf"(?i)\b(?:FROM|JOIN)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
+FUNCTION_FROM = r"(?i)\b((?:EXTRACT|SUBSTRING|TRIM|OVERLAY)\s*\([^()]*?)\bFROM\b"
+WITH_NAME = r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
+
+
 def referenced_tables(sql: Column) -> Column:
-    """Distinct table names after FROM and JOIN, schema removed, longer than one letter."""
-    names = F.regexp_extract_all(sql, F.lit(r'(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][\w."`]*)'), F.lit(1))
+    """Distinct table names in FROM lists and after JOIN, schema removed, longer than one letter.
+
+    The FROM inside EXTRACT, SUBSTRING, TRIM and OVERLAY names no table, and a
+    name that WITH defines is none.
+    """
+    plain = F.regexp_replace(sql, FUNCTION_FROM, "$1,")
+    lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
+    items = F.flatten(F.transform(lists, lambda l: F.split(l, r"\s*,\s*")))
+    names = F.transform(items, lambda i: F.regexp_extract(i, NAME, 0))
     bare = F.transform(names, lambda n: F.regexp_replace(F.substring_index(n, ".", -1), r'["`]', ""))
-    return F.array_distinct(F.filter(bare, lambda n: F.length(n) > 1))
+    defined = F.transform(F.regexp_extract_all(plain, F.lit(WITH_NAME), F.lit(1)), F.lower)
+    return F.array_distinct(F.filter(bare, lambda n: (F.length(n) > 1) & ~F.array_contains(defined, F.lower(n))))
 
 
 def known_references(sql: Column, ddl: Column) -> Column:

@@ -122,7 +122,12 @@ def token_probabilities(logprobs: Column) -> Column:
         )
 
     def flat(token: Column) -> Column:
-        entries = F.map_values(token)
+        listed = F.map_values(token)
+        # Of two entries with one rank the later one counts.
+        entries = F.filter(
+            listed,
+            lambda e, i: ~F.exists(F.slice(listed, i + 2, F.size(listed)), lambda later: later["rank"] == e["rank"]),
+        )
         record = F.map_from_entries(F.flatten(F.transform(entries, fields)))
 
         def prob(rank: int) -> Column:
@@ -156,7 +161,7 @@ def with_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
         F.col("input_tokens") / 1000 * F.col("input_cost_per1k")
         + F.col("output_tokens") / 1000 * F.col("output_cost_per1k")
     ) * 100
-    priced = attach(calls, best, ["model"], by=["call_id"], how="left")
+    priced = attach(calls, best, ["model"], by=["input_tokens", "output_tokens"], how="left")
     return priced.withColumn("cost_in_cents", cents).drop("input_cost_per1k", "output_cost_per1k")
 
 

@@ -43,15 +43,10 @@ def distinct_questions(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count_distinct("question").alias("n_questions"))
 
 
-def bullets(df: DataFrame, col: str, order: list[str], size: int = 1000) -> DataFrame:
-    """Bullet lists of all values in order, ``size`` per row so that no row outgrows a task."""
+def bullets(df: DataFrame, col: str, order: list[str]) -> DataFrame:
+    """The lines of a bullet list of all values: place (from 0, in order) and line. A writer joins them."""
     numbered = ranked(df, [], order, into="_rank")
-    line = F.concat(F.lit("- "), F.col(col).cast("string"))
-    lines = numbered.select(
-        F.floor((F.col("_rank") - 1) / size).cast("bigint").alias("chunk"), F.struct("_rank", line.alias("line")).alias("item")
-    )
-    listed = F.transform(F.array_sort(F.collect_list("item")), lambda i: i["line"])
-    return lines.groupBy("chunk").agg(F.array_join(listed, "\n").alias("bullets"))
+    return numbered.select((F.col("_rank") - 1).alias("place"), F.concat(F.lit("- "), F.col(col).cast("string")).alias("line"))
 
 
 def first_of_each(runs: DataFrame, order: list[str], keys: list[str] = QUESTION_KEYS) -> DataFrame:

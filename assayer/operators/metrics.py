@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.cells import exact_hundredths
 from assayer.operators.ordered import running_totals
 
 # The evaluation sets in report order, and the file-name patterns.
@@ -38,7 +39,8 @@ def running_accuracy(runs: DataFrame, run: list[str], order: list[str]) -> DataF
     summed = running_totals(
         runs, run, order, {"correct_so_far": F.col("correct").cast("bigint"), "tried_so_far": F.lit(1).cast("bigint")}
     )
-    return summed.withColumn("percent", F.round(100 * F.col("correct_so_far") / F.col("tried_so_far"), 2))
+    percent = 100 * F.col("correct_so_far") / F.col("tried_so_far")
+    return summed.withColumn("percent", exact_hundredths(percent).cast("double") / 100)
 
 
 def total_cost(runs: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def canonical_order(df: DataFrame, keys: list[str], descending: bool = False, po
     placed = ranked(marked, [], order, into=pos)
     if descending:
         total = marked.agg(F.count(F.lit(1)).alias("_total"))
-        placed = placed.join(total).withColumn(pos, F.col("_total") + 1 - F.col(pos))
+        placed = placed.crossJoin(F.broadcast(total)).withColumn(pos, F.col("_total") + 1 - F.col(pos))
     return placed.select(*others, *keys, (F.col(pos) - 1).alias(pos))
 
 

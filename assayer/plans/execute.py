@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from assayer.functions.cells import tag_of
 from assayer.operators.capture import RESULT_ROWS, long_rows
 from assayer.operators.ordered import attach
-from assayer.session import in_pool, materialise, scratch
-from assayer.sources.database import empty_database, run_query
+from assayer.session import in_pool, materialise, pooled, scratch, written_in_parts  # noqa: F401
+from assayer.sources.database import run_query, schema_session
 
 # The default time limit in seconds and the message for no rows.
 STATEMENT_SECONDS = 10.0
@@ -26,28 +26,43 @@ class StatementTimeout(Exception):
 
 
 def run_limited(spark: SparkSession, action: Callable[[], object], seconds: float | None = STATEMENT_SECONDS):
-    """Run an action; when the time is up, cancel the jobs it started."""
+    """Run an action, planning included, in a scheduling pool of its own.
+
+    When the time is up, the jobs it has started are cancelled, and again those it
+    starts after that, until it returns; whatever it returns then is too late.
+    """
     if not seconds:
         return action()
     context, tag = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
-    late = threading.Event()
+    over, late = threading.Event(), threading.Event()
 
-    def cancel() -> None:
+    def watch() -> None:
+        if over.wait(seconds):
+            return
         late.set()
-        context.cancelJobsWithTag(tag)
+        while not over.is_set():
+            context.cancelJobsWithTag(tag)
+            over.wait(0.1)
 
-    timer = threading.Timer(seconds, cancel)
+    watcher = threading.Thread(target=watch, daemon=True)
+    earlier_pool = context.getLocalProperty("spark.scheduler.pool")
     context.addJobTag(tag)
-    timer.start()
+    context.setLocalProperty("spark.scheduler.pool", tag)
+    watcher.start()
     try:
-        return action()
+        found = action()
     except Exception as exc:
         if late.is_set():
             raise StatementTimeout(f"statement exceeded {seconds} s") from exc
         raise
     finally:
-        timer.cancel()
+        over.set()
+        watcher.join()
         context.removeJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", earlier_pool)
+    if late.is_set():
+        raise StatementTimeout(f"statement exceeded {seconds} s")
+    return found
 
 
 def reason(exc: Exception) -> str:
@@ -87,15 +102,16 @@ def validate_sql(
     """(id, valid, err) for rows (id, sql).
 
     With a DDL text the statements are only analysed, on empty tables made from
-    it. The statements reach the driver, as each has to be submitted from there.
+    it in a session of their own. Each statement has to be submitted from the
+    driver; it takes a few at a time and writes the outcomes in parts.
     """
-    rows = list(statements.select("id", "sql").toLocalIterator())
+    rows = statements.select("id", "sql").toLocalIterator()
     if ddl is None:
-        found = in_pool(spark, rows, lambda r: (r.id, *check_statement(spark, r.sql, seconds)), workers)
+        found = pooled(spark, rows, lambda r: (r.id, *check_statement(spark, r.sql, seconds)), workers)
     else:
-        with empty_database(spark, ddl):
-            found = in_pool(spark, rows, lambda r: (r.id, *check_analysis(spark, r.sql)), workers)
-    return spark.createDataFrame(found, "id bigint, valid boolean, err string")
+        schema_only = schema_session(spark, ddl)
+        found = pooled(spark, rows, lambda r: (r.id, *check_analysis(schema_only, r.sql)), workers)
+    return written_in_parts(spark, found, "id bigint, valid boolean, err string", "validity")
 
 
 def run_statements(
@@ -104,35 +120,43 @@ def run_statements(
     decimals: int | None = None,
     seconds: float | None = STATEMENT_SECONDS,
     workers: int = 5,
+    sessions: dict[str, SparkSession] | None = None,
 ) -> DataFrame:
     """``result_rows`` of many statements (pair_id, side, alt, sql), each run once.
 
-    Each result is written below the shared folder by its own jobs; only the
-    statement texts and the errors pass through the driver.
+    ``sessions`` holds the session of each database that a statement may name in
+    ``db_name``; other statements run in ``spark``. Each result is written below
+    the shared folder by its own jobs. Statement texts and errors pass through the
+    driver, a few at a time.
     """
     root = scratch(spark, "results")
-    listed = list(enumerate(statements))
 
     def work(item):
         number, s = item
-        path = f"{root}/statement={number}"
-        try:
-            df = run_query(spark, s.sql, decimals)
+        own = (sessions or {}).get(getattr(s, "db_name", None), spark)
+
+        def run():
+            df = run_query(own, s.sql, decimals)
             plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
             at = F.monotonically_increasing_id()
             rows = long_rows(plain, F.lit(s.pair_id), s.side, at, plain.columns, s.alt, names=df.columns)
-            run_limited(spark, lambda: rows.write.parquet(path), seconds)
-            return (s.pair_id, s.alt, s.side, None, list(df.columns), [tag_of(f.dataType) for f in df.schema.fields], None, None), number
+            rows.write.parquet(f"{root}/statement={number}")
+            return df
+
+        try:
+            df = run_limited(spark, run, seconds)
+            return (s.pair_id, s.alt, s.side, None, list(df.columns), [tag_of(f.dataType) for f in df.schema.fields], None, None, number)
         except Exception as exc:
-            return (s.pair_id, s.alt, s.side, None, [], [], None, reason(exc)), None
+            return (s.pair_id, s.alt, s.side, None, [], [], None, reason(exc), None)
 
-    done = in_pool(spark, listed, work, workers)
-    outcomes = spark.createDataFrame([row for row, _ in done], RESULT_ROWS)
-    if all(number is None for _, number in done):
+    done = pooled(spark, enumerate(statements), work, workers)
+    outcomes = written_in_parts(spark, done, f"{RESULT_ROWS}, statement int", "outcomes")
+    finished = outcomes.select("statement").where("statement IS NOT NULL")
+    outcomes = outcomes.drop("statement")
+    if finished.isEmpty():
         return outcomes
     written = spark.read.schema(f"{RESULT_ROWS}, statement int").parquet(root)
-    kept = [number for _, number in done if number is not None]
-    return dense_positions(written.filter(F.col("statement").isin(kept))).unionByName(outcomes)
+    return dense_positions(written.join(finished, "statement", "left_semi")).unionByName(outcomes)
 
 
 def dense_positions(written: DataFrame) -> DataFrame:

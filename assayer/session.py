@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +22,17 @@ TABLES = (
 ).split()
 
 
-def build_session(app: str = "assayer", cores: str = "*") -> SparkSession:
-    """A local session with the settings the engine is tested with."""
+def build_session(app: str = "assayer", cores: str = "*", partitions: int | None = None) -> SparkSession:
+    """A local session with the settings the engine is tested with.
+
+    ``partitions`` of shuffles: as many as cores unless given. On a cluster these
+    settings are the cluster's own. Statements run in FAIR pools of their own.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions or (os.cpu_count() if cores == "*" else cores)))
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -37,6 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application, where a local master has no folder named; removed when the process ends.
+_FALLBACKS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -47,11 +62,13 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="assayer-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACKS:
+        _FALLBACKS[app] = tempfile.mkdtemp(prefix="assayer-")
+        atexit.register(shutil.rmtree, _FALLBACKS[app], ignore_errors=True)
+    return _FALLBACKS[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -73,5 +90,27 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def in_pool(spark: SparkSession, items: Iterable, work: Callable, workers: int = 5) -> list:
     """Submit one piece of work per item from a few threads; results in input order."""
+    return list(pooled(spark, items, work, workers))
+
+
+def pooled(spark: SparkSession, items: Iterable, work: Callable, workers: int = 5) -> Iterator:
+    """As ``in_pool``, result by result; no more than four items per thread are taken ahead."""
+    target, waiting = inheritable_thread_target(spark)(work), deque()
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), list(items)))
+        for item in items:
+            waiting.append(pool.submit(target, item))
+            if len(waiting) >= 4 * workers:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def written_in_parts(spark: SparkSession, rows: Iterable, schema: str, label: str, size: int = 500) -> DataFrame:
+    """A table of rows the driver makes one after the other; it never holds more than ``size`` of them."""
+    path, rows = scratch(spark, label), iter(rows)
+    spark.createDataFrame([], schema).write.parquet(f"{path}/part=-1")
+    number = 0
+    while part := list(islice(rows, size)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/part={number}")
+        number += 1
+    return spark.read.schema(schema).parquet(path).drop("part")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from assayer.functions.metadata import alias_hint
 from assayer.functions.textops import swap
-from assayer.operators.capture import number_rows
 
 # The sentences around optional texts and the mode names.
 K_SHOT_HEAD = "Adhere closely to the following correct examples as references for answering the question:\n"
@@ -27,13 +26,19 @@ QUESTION_FIELDS = "db_name STRING, query_category STRING, question STRING, query
 
 
 def read_questions(spark: SparkSession, path: str, schema: str = QUESTION_FIELDS, first: int | None = None) -> DataFrame:
-    """Read a question CSV with a declared schema, optionally only its first rows."""
+    """Read a question CSV with a declared schema, optionally only its first rows.
+
+    The rows of a folder come file by file in the order of the names, whatever
+    order the files are read in; a file of lines that break is read as a whole,
+    so its rows keep their places.
+    """
     rows = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
     )
     if first is None:
         return rows
-    return number_rows(rows, into="_row").filter(F.col("_row") < first).drop("_row")
+    placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()})
+    return placed.orderBy("_file", "_place").limit(first).drop("_file", "_place")
 
 
 def paired(questions: list[str], prompts: list[str], outputs: list[str]) -> list[tuple[str, str, str]]:

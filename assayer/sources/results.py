@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions.cells import two_decimals
 from assayer.operators.metrics import report_order
 
 # A result is one CSV file, or a folder named like one with its parts inside.
@@ -65,9 +66,9 @@ def scan_results(
 
 
 def with_two_decimals(df: DataFrame) -> DataFrame:
-    """Floating columns as texts with two decimals."""
+    """Floating columns as texts with two decimals, rounded from their exact values."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c))) for c in floats})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), two_decimals(F.col(c).cast("double"))) for c in floats})
 
 
 def write_results(runs: DataFrame, path: str) -> None:

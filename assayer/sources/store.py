@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,22 @@ def nested_rows(results: DataFrame, parameters: dict) -> DataFrame:
     return results.withColumn("run_time", F.lit(parameters.get("created_at")).cast("timestamp")).withColumn("run_params", params)
 
 
+def batch_path(path: str, run: str, batch: int) -> str:
+    """Where one batch of one run is stored; runs never share a folder."""
+    return f"{path}/run={quote(run, safe='')}/batch={batch}"
+
+
 def create_store(spark: SparkSession, eval_path: str, prompt_path: str) -> None:
     """Empty tables, so that the first append finds a schema."""
     for path, fields in ((eval_path, EVAL_FIELDS), (prompt_path, PROMPT_FIELDS)):
-        spark.createDataFrame([], fields).write.mode("ignore").parquet(f"{path}/batch=-1")
+        spark.createDataFrame([], fields).write.mode("ignore").parquet(batch_path(path, "none", -1))
 
 
 def append_run(results: DataFrame, path: str, parameters: dict, batch: int = 0) -> None:
-    store_rows(results, parameters).write.mode("append").parquet(f"{path}/batch={batch}")
+    """Store one batch of a run; a batch that is there already is an error."""
+    if not parameters.get("run_id"):
+        raise ValueError("a run needs a run_id")
+    store_rows(results, parameters).write.mode("errorifexists").parquet(batch_path(path, parameters["run_id"], batch))
 
 
 def unseen_prompts(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,7 +69,7 @@ def unseen_prompts(new: DataFrame, known: DataFrame) -> DataFrame:
     return once.join(known.select("prompt_id"), "prompt_id", "left_anti")
 
 
-def insert_prompts(spark: SparkSession, new: DataFrame, path: str, batch: int = 0) -> None:
+def insert_prompts(spark: SparkSession, new: DataFrame, path: str, batch: int = 0, run: str = "prompts") -> None:
     """Append unseen prompts to a stored prompt table."""
     known = spark.read.schema(PROMPT_FIELDS).parquet(path)
-    unseen_prompts(new, known).write.mode("append").parquet(f"{path}/batch={batch}")
+    unseen_prompts(new, known).write.mode("append").parquet(batch_path(path, run, batch))

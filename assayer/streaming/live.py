@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayer.sources.store import PROMPT_FIELDS, store_rows, unseen_prompts
+from assayer.sources.store import PROMPT_FIELDS, batch_path, store_rows, unseen_prompts
 
 
 def watch_results(
@@ -18,7 +18,7 @@ def watch_results(
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if fmt == "csv":
-        reader = reader.option("header", True).option("comment", "#").option("escape", '"')
+        reader = reader.options(header=True, multiLine=True, comment="#", escape='"')
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.format(fmt).load(folder)
@@ -44,7 +44,11 @@ def live_accuracy(rows: DataFrame) -> DataFrame:
 
 
 def hourly_accuracy(rows: DataFrame, ts: str, lateness: str = "2 hours") -> DataFrame:
-    """Rows and mean correctness per hour; an hour closes once it is late."""
+    """Rows and mean correctness per hour.
+
+    Published in ``update`` mode, every batch holds the hours it has changed, and
+    the state of an hour goes once no row of it can come any more.
+    """
     return (
         rows.withWatermark(ts, lateness)
         .groupBy(F.window(ts, "1 hour").alias("w"))
@@ -53,14 +57,14 @@ def hourly_accuracy(rows: DataFrame, ts: str, lateness: str = "2 hours") -> Data
     )
 
 
-def publish(report: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the whole report of every batch to its own folder below ``path``."""
+def publish(report: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Write the report of every batch, whole or (``update``) what has changed, to its own folder below ``path``."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        report.writeStream.outputMode("complete")
+        report.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(availableNow=True)
@@ -73,17 +77,21 @@ def append_to_store(
 ) -> StreamingQuery:
     """Append each batch to the run store and its unseen prompts to the prompt table.
 
-    A batch writes below its own number, so a batch that is repeated after a
-    failure replaces what it wrote before.
+    A batch writes below its run and its number, so a batch that is repeated after
+    a failure replaces what it wrote before, and nothing of another run. A run id
+    belongs to one stream.
     """
+    if not parameters.get("run_id"):
+        raise ValueError("a stream needs the run_id of its rows")
+    run = parameters["run_id"]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        store_rows(batch, parameters).write.mode("overwrite").parquet(f"{eval_path}/batch={number}")
-        known = spark.read.schema(f"{PROMPT_FIELDS}, batch BIGINT").parquet(prompt_path)
-        earlier = known.filter(F.col("batch") < number)
+        store_rows(batch, parameters).write.mode("overwrite").parquet(batch_path(eval_path, run, number))
+        known = spark.read.schema(f"{PROMPT_FIELDS}, run STRING, batch BIGINT").parquet(prompt_path)
+        earlier = known.filter((F.col("run") != run) | (F.col("batch") < number))
         unseen = unseen_prompts(batch.select("prompt_id", "prompt"), earlier)
-        unseen.write.mode("overwrite").parquet(f"{prompt_path}/batch={number}")
+        unseen.write.mode("overwrite").parquet(batch_path(prompt_path, run, number))
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)

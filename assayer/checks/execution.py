@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from assayer.checks import check
 from assayer.plans import execute
+from assayer.plans.benchmark import Benchmark, run_benchmark
 from assayer.plans.evaluate import RunOptions, evaluate_run
-from assayer.session import table
+from assayer.session import scratch, table
+from assayer.sources import store
 from assayer.sources.database import load_database, run_query, schema_session
+from assayer.sources.questions import QUESTION_FIELDS
 
 _SEGMENTS = """
 SELECT c.c_mktsegment AS segment, count(o.o_orderkey) AS n_orders, max(o.o_totalprice) AS top_price
@@ -195,6 +198,55 @@ def whole_run(spark, sf_dir):
     )
 
 
+@check("c20_two_databases", """
+WITH few AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0)
+SELECT 0::BIGINT AS qid, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1) IS NULL AS exact
+UNION ALL SELECT 1, (SELECT max(o_orderkey) FROM few WHERE o_orderkey % 2 = 1) IS NULL
+UNION ALL SELECT 2, (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE false)) = 0
+UNION ALL SELECT 3, false
+""")
+def two_databases(spark, sf_dir):
+    """Two databases with a table of the same name, one that only exists as a DDL text, one that isn't there."""
+    few = scratch(spark, "few")
+    table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").write.parquet(f"{few}/orders.parquet")
+    odd = "SELECT max(o_orderkey) AS m FROM orders WHERE o_orderkey % 2 = 1"
+    asked = [(0, "all", odd), (1, "few", odd), (2, "planned", "SELECT o_orderkey FROM orders"), (3, "missing", odd)]
+    questions = spark.createDataFrame(
+        [(q, d, "basic", "Which is the largest odd one?", s) for q, d, s in asked],
+        "qid bigint, db_name string, query_category string, question string, query string",
+    )
+    answers = ["SELECT CAST(NULL AS BIGINT) AS m", "SELECT CAST(NULL AS BIGINT) AS m", "SELECT o_orderkey FROM orders WHERE o_orderkey > 0", odd]
+    responses = spark.createDataFrame([(i, f"```sql\n{a}\n```") for i, a in enumerate(answers)], "qid bigint, content string")
+    databases = {"all": sf_dir, "few": few, "planned": _schema_text(spark, sf_dir, ["orders"])}
+    run = evaluate_run(spark, questions, responses, databases, RunOptions(seconds=60.0))
+    return run.select("qid", (F.col("exact_match") == 1).alias("exact"))
+
+
+@check("c20_benchmark", f"""
+WITH r AS ({_ORACLE_RUN}), c(qid, query_category) AS (VALUES {", ".join(f"({r[0]}, '{r[1]}')" for r in _RUN)})
+SELECT query_category, count(*) AS num_rows, round(avg(correct::INT), 9) AS mean_correct, count(*) AS n_written, count(*) AS n_stored, count(*) AS n_prompts
+FROM r JOIN c USING (qid) GROUP BY query_category
+""")
+def whole_benchmark(spark, sf_dir):
+    """From the question file to the report, the result file, the stored rows and the stored prompts."""
+    path, out = scratch(spark, "questions"), {n: scratch(spark, n) for n in ("result", "eval", "prompt")}
+    questions = spark.createDataFrame([("shop", c, t, g) for _, c, t, g, _, _ in _RUN], QUESTION_FIELDS)
+    questions.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    answers = spark.createDataFrame([(r[0], r[4], r[5]) for r in _RUN], "qid bigint, content string, generation_error string")
+    store.create_store(spark, out["eval"], out["prompt"])
+    plan = Benchmark(
+        path, {"shop": sf_dir}, answers, out["result"], out["eval"], out["prompt"], {"run_id": "one"}, options=RunOptions(seconds=60.0)
+    )
+    report = run_benchmark(spark, plan).select("query_category", "num_rows", F.round("mean_correct", 9).alias("mean_correct"))
+    written = spark.read.options(header=True, multiLine=True, escape='"').csv(out["result"])
+    stored = spark.read.schema(store.EVAL_FIELDS).parquet(out["eval"])
+    prompts = spark.read.schema(store.PROMPT_FIELDS).parquet(out["prompt"])
+    asked = questions.select(F.concat("question", F.lit("\n")).alias("prompt"), "query_category").join(prompts, "prompt")
+    for name, rows in (("n_written", written), ("n_stored", stored), ("n_prompts", asked)):
+        report = report.join(rows.groupBy("query_category").agg(F.count(F.lit(1)).alias(name)), "query_category")
+    return report
+
+
 def orders_without_items_scores(spark, sf_dir):
     """The flagship: a generated statement with one more column is correct but not exact."""
     questions = spark.createDataFrame(

@@ -125,7 +125,7 @@ def run_statements(
     """``result_rows`` of many statements (pair_id, side, alt, sql), each run once.
 
     ``sessions`` holds the session of each database that a statement may name in
-    ``db_name``; other statements run in ``spark``. Each result is written below
+    ``db_name``; without any, all run in ``spark``. Each result is written below
     the shared folder by its own jobs. Statement texts and errors pass through the
     driver, a few at a time.
     """
@@ -133,9 +133,11 @@ def run_statements(
 
     def work(item):
         number, s = item
-        own = (sessions or {}).get(getattr(s, "db_name", None), spark)
+        own = sessions.get(s.db_name) if sessions else spark
 
         def run():
+            if own is None:
+                raise LookupError(f"no database {s.db_name}")
             df = run_query(own, s.sql, decimals)
             plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
             at = F.monotonically_increasing_id()

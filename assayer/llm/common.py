@@ -15,9 +15,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Rows of one Arrow batch between the JVM and Python: texts are large, and a batch is held by both sides at once.
+BATCH_ROWS = 500
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering the session's size of Arrow batches to what texts allow."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones, whatever other columns there are."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:

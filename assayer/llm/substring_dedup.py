@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.bitmap import bitmap_of, may_hold, may_hold_column
+from assayer.llm.bitmap import bitmap_of, may_hold
 from assayer.llm.common import id_and_text, pinned, with_class
 from assayer.llm.wordhash import Words, mix, windows, words_of
 
@@ -243,10 +243,22 @@ def _list(first: str, end: str):
     return F.sort_array(F.collect_list(F.struct(F.col(first).alias("first"), F.col(end).alias("end"))))
 
 
-def joined_texts(rows: DataFrame, stored: DataFrame) -> DataFrame:
+def joined_texts(rows: DataFrame, stored: DataFrame, how: str = "inner") -> DataFrame:
     """The rows whose (doc_id, text_key) is in ``stored``, with its columns; only texts that a bitmap lets through are shuffled."""
     bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(stored, "text_key", stored.count()))
-    return rows.where(may_hold_column(bitmap, F.col("text_key"))).join(stored, ["doc_id", "text_key"])
+
+    def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bitmap.value, _keys(batch))))
+
+    return rows.mapInArrow(let_through, rows.schema).join(stored, ["doc_id", "text_key"], how)
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("text_key").to_numpy(zero_copy_only=False)
+
+
+_KEPT = "doc_id long, n_words long, n_removed long, text string"
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,25 +270,31 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = keyed(docs, id_col, text_col)
     spans = pinned(repeated_spans(docs, id_col, text_col), "substring-spans")
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans, "text_key", spans.count()))
-    marked = rows.withColumn("maybe", may_hold_column(bitmap, F.col("text_key")))
-    some = marked.where("maybe").join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
-    none = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,end:int>>").alias("spans"))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~may_hold(bitmap.value, _keys(batch))))
+            for at in range(0, rest.num_rows, PORTION):
+                part = rest.slice(at, PORTION)
+                yield _kept(part, [None] * part.num_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PORTION):
                 part = batch.slice(at, PORTION)
-                done = [_without(text, spans) for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                counts = ([d[k] for d in done] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([d[2] for d in done], pa.string())],
-                    ["doc_id", "n_words", "n_removed", "text"],
-                )
-
-    out = none.unionByName(some).mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
+                yield _kept(part, part.column("spans").to_pylist())
+
+    some = joined_texts(rows, spans, "left").mapInArrow(cut, _KEPT)
+    out = rows.mapInArrow(untouched, _KEPT).unionByName(some)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def _kept(part: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+    done = [_without(text, own) for text, own in zip(part.column("text").to_pylist(), spans, strict=True)]
+    counts = (pa.array([d[k] for d in done], pa.int64()) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), *counts, pa.array([d[2] for d in done], pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+
+
 def _without(text: str, spans: list[dict] | None) -> tuple[int, int, str]:
     words = text.encode("utf-8").split()  # bytes: splits at the six ASCII white space bytes only
     n = len(words)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import pinned
+from assayer.llm.common import in_small_batches, pinned
 
 FEATURES = (
     "word_density", "stem_density", "obfuscated_density", "strongest", "hits_log", "second_person_rate", "near_second_person",
@@ -155,7 +155,7 @@ def described(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     """struct ``row`` of all columns of ``docs`` and array ``features``."""
     words, stems = model.words, model.stems
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Describer(words, stems)

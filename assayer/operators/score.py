@@ -46,9 +46,14 @@ def order_specs(questions: DataFrame, order_parse: str = "faithful") -> DataFram
 
 
 def result_heads(result_rows: DataFrame) -> DataFrame:
-    """One row per result: names, tags, row count and error; reads no cells."""
-    return result_rows.groupBy("pair_id", "alt", "side").agg(
-        F.max("names").alias("names"), F.max("tags").alias("tags"), F.count("pos").alias("rows"), F.max("err").alias("err")
+    """One row per result: names, tags, row count and error; reads no cells.
+
+    Rows are counted by what they say of their result, which hashes; the largest
+    array or text is only sought among the few combinations that leaves.
+    """
+    shapes = result_rows.groupBy("pair_id", "alt", "side", "names", "tags", "err").agg(F.count("pos").alias("rows"))
+    return shapes.groupBy("pair_id", "alt", "side").agg(
+        F.max("names").alias("names"), F.max("tags").alias("tags"), F.sum("rows").alias("rows"), F.max("err").alias("err")
     )
 
 

@@ -114,4 +114,12 @@ def stay(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFr
     )
     wanted = kept.select(F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"))
     found = inner.join(wanted, inner.k_id.eqNullSafe(F.col("w_id")) & (F.col("k_digest") == F.col("w_digest")), "left_semi")
-    return found.dropDuplicates(["k_id", "k_digest"]).select("row.*")
+    repeated = pinned(inner.groupBy("k_id", "k_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "dedup-repeated")
+    if repeated.isEmpty():
+        return found.select("row.*")
+    # Only rows that repeat an id and a text completely are grouped.
+    again = repeated.select(F.col("k_id").alias("a_id"), F.col("k_digest").alias("a_digest"))
+    same = F.col("k_id").eqNullSafe(F.col("a_id")) & (F.col("k_digest") == F.col("a_digest"))
+    single = found.join(again, same, "left_anti")
+    several = found.join(again, same, "left_semi").dropDuplicates(["k_id", "k_digest"])
+    return single.unionByName(several).select("row.*")

@@ -2,17 +2,22 @@
 
 A token sequence is the BPE encoding of its bytes exactly when each token
 encodes to itself and each neighbouring pair encodes to that pair. The merges
-therefore compile into a nondeterministic transducer over bytes: a branch reads
-the bytes of one token, and may end it where the token fits to its left
-neighbour. Its subset construction is built on demand, one (state, byte) at a
-time, and a token is emitted as soon as all live branches agree on it. No branch
-outlives the longest token, which bounds the lookahead.
+therefore compile into a transducer whose states are the tokens: in the state of
+the token just read, it looks ahead through the tree of all tokens, at most as
+far as the longest one, and goes on to a token that may follow. Which pairs may
+follow each other is worked out when a pair is first met, and kept.
+
+The longest token that may follow is tried first. Every boundary inside a piece
+is reached by one token sequence at most, so a boundary from which nothing goes
+on is no boundary at all: the transducer steps back and never tries it again.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import id_and_text
 
-#: Pieces and transducer states that a Python worker remembers; what comes later is worked out each time.
-PIECES_KEPT, STATES_KEPT = 250_000, 300_000
+#: Pieces and pairs of tokens that a Python worker remembers; what comes later is worked out each time.
+PIECES_KEPT, PAIRS_KEPT = 250_000, 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,39 +41,26 @@ NEVER = 1 << 60
 
 
 class MergeTransducer:
-    """Encodes the bytes of one piece; states and transitions appear when first needed.
+    """Encodes the bytes of one piece. Tokens, and so the states, are named by their ranks; -1 is the start."""
 
-    Tokens are named by their ranks. A state is the last decided token (-1 at the
-    start) and the undecided bytes behind it, which fix the live branches: the
-    place in the tree of tokens that an unfinished token has reached (0: none
-    begun) and the undecided tokens before it.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], states_kept: int = STATES_KEPT):
+    def __init__(self, ranks: dict[bytes, int], pairs_kept: int = PAIRS_KEPT):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.states_kept = states_kept
-        #: The tree of tokens: place * 256 + byte -> place; the token that ends at a place; does a longer one go on.
+        self.pairs_kept = pairs_kept
+        #: The tree of tokens: place * 256 + byte -> place, and the token that ends at a place.
         self.child: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        self.token_at = [-1]
         for token, rank in ranks.items():
             place = 0
             for byte in token:
-                self.goes_on[place] = True
                 below = self.child.get(place << 8 | byte)
                 if below is None:
                     below = self.child[place << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.goes_on.append(False)
                 place = below
             self.token_at[place] = rank
         self.edges: dict[tuple[int, bool], list[tuple[bytes, int]] | None] = {}
         self.fits: dict[int, bool] = {}
-        self.numbers = {(-1, b""): 0}
-        self.names = [(-1, b"")]
-        #: state * 256 + byte -> next state and what is emitted, or just the next state.
-        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
-
 
     def edge(self, token: int, right: bool) -> list[tuple[bytes, int]] | None:
         """The parts on one edge of a token as its merges build it, each with the rank of the merge that uses it up.
@@ -108,88 +100,45 @@ class MergeTransducer:
                     return False
         return True
 
-    def step(self, before: int, branches: list, byte: int) -> list:
-        """All live branches after one more byte."""
-        fits, live = self.fits, []
-        for place, pending in branches:
-            place = self.child.get(place << 8 | byte)
+    def ahead(self, piece: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of all tokens that begin at ``at``, the longest last."""
+        found, place, child, token_at = [], 0, self.child.get, self.token_at
+        for end in range(at, len(piece)):
+            place = child(place << 8 | piece[end])
             if place is None:
-                continue
-            token = self.token_at[place]
-            if token >= 0:
-                left = pending[-1] if pending else before
-                pair = left << 32 | token
-                fit = fits.get(pair)
-                if fit is None:
-                    fit = self.may_follow(left, token)
-                    if len(fits) < self.states_kept:
-                        fits[pair] = fit
-                if fit:
-                    live.append((0, (*pending, token)))
-            if self.goes_on[place]:
-                live.append((place, pending))
-        return live
-
-    def move(self, number: int, at: tuple[int, bytes, list] | None, byte: int) -> tuple[int, tuple[int, ...], tuple]:
-        """Build the transition of one state on one byte: the next state's number, what is emitted, the next state.
-
-        A state that is not kept any more has the number -1 and is passed as ``at``.
-        """
-        if at is None:
-            before, undecided = self.names[number]
-            branches = [(0, ())]
-            for earlier in undecided:
-                branches = self.step(before, branches, earlier)
-        else:
-            before, undecided, branches = at
-        live = self.step(before, branches, byte)
-        emitted = live[0][1]
-        undecided += bytes((byte,))
-        if len(live) > 1 and emitted:
-            agreed = 0
-            for tokens in zip(*[pending for _, pending in live], strict=False):
-                if tokens.count(tokens[0]) < len(tokens):
-                    break
-                agreed += 1
-            emitted = emitted[:agreed]
-        if emitted:
-            before, agreed = emitted[-1], len(emitted)
-            live = [(place, pending[agreed:]) for place, pending in live]
-            undecided = undecided[sum(len(self.tokens[t]) for t in emitted) :]
-        name = (before, undecided)
-        target = self.numbers.get(name, -1)
-        if target < 0 and len(self.names) < self.states_kept:
-            target = self.numbers[name] = len(self.names)
-            self.names.append(name)
-        if number >= 0 and target >= 0:
-            self.moves[number << 8 | byte] = (target, emitted) if emitted else target
-        return target, emitted, (before, undecided, live)
+                break
+            if token_at[place] >= 0:
+                found.append((end + 1, token_at[place]))
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token is that token, reachable by merges or not
             return [whole]
         ids: list[int] = []
-        number, at, known = 0, None, self.moves.get
-        for byte in piece:
-            made = known(number << 8 | byte) if number >= 0 else None
-            if made is None:
-                number, emitted, at = self.move(number, at, byte)
-                ids += emitted
-            elif made.__class__ is int:
-                number, at = made, None
+        state, at, size, fits = -1, 0, len(piece), self.fits
+        begun: list[int] = []
+        closed: set[int] = set()
+        while at < size:
+            for end, token in reversed(self.ahead(piece, at)):
+                if end in closed:
+                    continue
+                pair = state << 32 | token
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = self.may_follow(state, token)
+                    if len(fits) < self.pairs_kept:
+                        fits[pair] = fit
+                if fit:
+                    begun.append(at)
+                    ids.append(token)
+                    state, at = token, end
+                    break
             else:
-                number, emitted = made
-                at = None
-                ids += emitted
-        if at is None:
-            before, undecided = self.names[number]
-            branches = [(0, ())]
-            for earlier in undecided:
-                branches = self.step(before, branches, earlier)
-        else:
-            branches = at[2]
-        ids += next(pending for place, pending in branches if not place)
+                closed.add(at)
+                at = begun.pop()
+                ids.pop()
+                state = ids[-1] if ids else -1
         return ids
 
 
@@ -232,15 +181,13 @@ class Utf8Stream:
         return open_at_end
 
 
-class Codec:
-    """Encoding of whole texts and streaming decoding, with the pieces of a worker remembered."""
+class Encoder:
+    """Encoding of whole texts, with the pieces of a worker remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.texts = {rank: _text_or_none(token) for token, rank in ranks.items()}
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -254,6 +201,14 @@ class Codec:
             ids += found
         return ids
 
+
+class Decoder:
+    """Streaming decoding; tokens that are whole characters skip the state machine while nothing is open."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.texts = {rank: _text_or_none(token) for token, rank in ranks.items()}
+
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
 
@@ -273,9 +228,24 @@ def _text_or_none(token: bytes) -> str | None:
         return None
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(read_ranks(path), pattern)
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(read_ranks(path), pattern)
+
+
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without cyclic garbage collection: the many small objects kept have no cycles, and each pass would visit them all."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,11 +257,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                lists = [np.array(own.encode(text), np.int32) for text in some.column(1).to_pylist()]
+                with uncollected():
+                    lists = [np.array(own.encode(text), np.int32) for text in some.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
                 yield pa.RecordBatch.from_arrays([some.column(0), ids], ["doc_id", "ids"])
@@ -300,11 +271,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(encoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded_docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids and text of rows with ids. A null array counts as empty; an id outside the ranks is an error."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = decoder(ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)

@@ -32,9 +32,9 @@ def test_encoding_is_the_librarys(ranks):
         assert own.encode(text) == lib.encode_ordinary(text)
 
 
-def test_encoding_with_hardly_any_states_kept(ranks):
+def test_encoding_with_hardly_any_pairs_kept(ranks):
     lib, own = library(ranks), Encoder(ranks, PATTERN)
-    own.transducer = MergeTransducer(ranks, states_kept=3)
+    own.transducer = MergeTransducer(ranks, pairs_kept=3)
     for text in texts(2, 100):
         assert own.encode(text) == lib.encode_ordinary(text)
 

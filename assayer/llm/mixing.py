@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import pinned
+from assayer.llm.common import in_small_batches, pinned
 from assayer.llm.wordhash import Words, mix, words_of
 
 
@@ -52,7 +52,7 @@ GATES = 9
 #: So many of the most frequent words count as very common.
 COMMON = 128
 #: Portions of texts and chunks of symbols handled at once, bits between two adaptations, tables added at once.
-PORTION_BYTES, CHUNK, BLOCK, ADDED = 400_000, 150_000, 1024, 32
+PORTION_BYTES, CHUNK, BLOCK, EARLY, ADDED = 400_000, 150_000, 1024, 16, 32
 INTERVALS = 32
 END = 0x0E0D0E0D0E0D0E0D
 _U, _U32 = np.uint64, np.uint32
@@ -100,12 +100,24 @@ class Corpus:
     words: Code
     letters: Code
 
+    def __post_init__(self) -> None:
+        #: Where the hashes with the same first bits begin; there is about one word for each beginning.
+        self.shift = np.uint64(64 - min(20, max(1, len(self.hashes).bit_length())))
+        self.begins = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
     def place(self, hashes: np.ndarray) -> np.ndarray:
         """Where the hashes stand among the counted words, -1 for others."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1, np.int64)
+        beginning = (hashes >> self.shift).astype(np.intp)
+        at, end = self.begins.take(beginning), self.begins.take(beginning + 1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            same = self.hashes.take(here) == hashes[left]
+            out[left[same]] = here[same]
+            at[left] += 1
+            left = left[~same & (here + 1 < end[left])]
+        return out
 
 
 @dataclass
@@ -240,6 +252,11 @@ class Weights:
         return cls(np.full((2, GATES, CONTEXTS + 1), 0.35, np.float32), np.zeros((2, GATES * INTERVALS), np.float32))
 
 
+def block_of(bit: np.ndarray) -> np.ndarray:
+    """The block a bit of a text falls in: EARLY of BLOCK bits, then longer ones, as a text's correction settles."""
+    return np.where(bit < EARLY * BLOCK, bit // BLOCK, EARLY + (bit - EARLY * BLOCK) // (8 * BLOCK))
+
+
 class Scorer:
     """Total bits of each text of a portion; with ``fit`` the weights move along and own bits are taken out of the slots."""
 
@@ -262,7 +279,7 @@ class Scorer:
             if not len(sums):
                 continue
             begins = np.flatnonzero(np.concatenate(([True], stream.owner[1:] != stream.owner[:-1])))
-            block = (sums - np.repeat(sums[begins], np.diff(np.append(begins, len(sums))))) // BLOCK
+            block = block_of(sums - np.repeat(sums[begins], np.diff(np.append(begins, len(sums)))))
             order = np.argsort(block, kind="stable")
             edges = np.searchsorted(block[order], np.arange(int(block.max()) + 2))
             at = 0
@@ -287,7 +304,7 @@ class Scorer:
             else:
                 inputs[k] = self.slots.odds[kind, k].take(slot)
         inputs[CONTEXTS] = 0.3
-        gate = self.slots.known[kind, 2].take(slots[2]) * 3 + self.slots.known[kind, 3].take(slots[3])
+        gate = (self.slots.known[kind, 2].take(slots[2]) * 3 + self.slots.known[kind, 3].take(slots[3])).astype(np.intp)
         sign = bits.astype(np.float32) * 2 - 1
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a == b:
@@ -295,32 +312,33 @@ class Scorer:
             x, g, s = inputs[:, a:b], gate[a:b], sign[a:b]
             starts = np.concatenate(([0], np.flatnonzero(owner[a + 1 : b] != owner[a : b - 1]) + 1))
             who, sizes = owner[a:b][starts], np.diff(np.append(starts, b - a))
+            # The weights of every text and gate side by side: one look-up for each input.
+            row = np.repeat(np.arange(len(who), dtype=np.intp) * GATES, sizes) + g
             mixed = np.zeros(b - a, np.float32)
             for k in range(CONTEXTS + 1):
-                mixed += (self.weights.mixing[kind][:, k].take(g) + np.repeat(own[who, k], sizes)) * x[k]
+                table = own[who, k][:, None] + self.weights.mixing[kind][:, k]
+                mixed += table.ravel().take(row) * x[k]
             np.clip(mixed, -14, 14, out=mixed)
-            interval = np.clip((mixed + 8) * 2, 0, INTERVALS - 1).astype(np.int32)
-            place = np.repeat((who * INTERVALS).astype(np.int32), sizes) + interval
-            where = g.astype(np.int32) * INTERVALS + interval
+            interval = np.clip((mixed + 8) * 2, 0, INTERVALS - 1).astype(np.intp)
+            where = g * INTERVALS + interval
+            place = np.repeat(who * INTERVALS, sizes) + interval
             refined = mixed + self.weights.refining[kind].take(where) + own_refining.ravel().take(place)
             against = np.exp(-s * refined)
             cost[who] += np.add.reduceat(np.log1p(against), starts)
             missed = s * against / (1 + against)
-            against = np.exp(-s * mixed)
-            wrong = s * against / (1 + against)
-            own[who] += self.OWN_RATE * np.add.reduceat(wrong * x, starts, axis=1).T
+            own[who] += self.OWN_RATE * np.stack([np.add.reduceat(missed * x[k], starts) for k in range(CONTEXTS + 1)], axis=1)
             seen = np.bincount(place, minlength=own_refining.size)
             own_refining += (self.REFINE_RATE * np.bincount(place, missed, own_refining.size) / (8 + seen)).reshape(own_refining.shape)
             if self.fit:
                 for k in range(CONTEXTS + 1):
-                    sums, seen = np.bincount(g, wrong * x[k], GATES), np.bincount(g, minlength=GATES)
+                    sums, seen = np.bincount(g, missed * x[k], GATES), np.bincount(g, minlength=GATES)
                     self.weights.mixing[kind][:, k] += self.rate * sums / np.sqrt(1 + seen)
                 seen = np.bincount(where, minlength=GATES * INTERVALS)
                 self.weights.refining[kind] += 0.05 * np.bincount(where, missed, GATES * INTERVALS) / (4 + seen)
 
 
 def rows_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
+    return in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held")
     )
 

@@ -34,6 +34,8 @@ from assayer.operators.ordered import fits_broadcast
 
 PORTION = 256
 SKETCH_WORDS = 8
+#: Of the sketches that are compared before whole sets are: enough for sets of some 20,000 shingles.
+WIDE_BITS = 8192
 
 
 class Rule:
@@ -174,12 +176,52 @@ def may_link(rule: Rule, a: Column, b: Column, sketch_a: Column, sketch_b: Colum
     return sizes & (differing * (100 + rule.percent) <= (a + b) * (100 - rule.percent))
 
 
-def verified(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link."""
+def _ids_of(pairs: DataFrame):
+    """A bitmap of all ids in pairs (a, b), broadcast."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     stored = pinned(ids, "jaccard-ids")
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(stored, "doc_id", stored.count()))
-    sets = _full_sets(rows, rule, wanted)
+    return pairs.sparkSession.sparkContext.broadcast(bitmap_of(stored, "doc_id", stored.count()))
+
+
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch of WIDE_BITS bits, which also tells large sets apart."""
+    bits = np.zeros(WIDE_BITS, np.uint8)
+    np.bitwise_xor.at(bits, (shingles >> np.uint64(20)) % np.uint64(WIDE_BITS), 1)
+    return np.packbits(bits).tobytes()
+
+
+def agreeing(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) whose wide sketches allow a link; a sketch has 1 KB, whatever the size of its set."""
+    wanted, percent = _ids_of(pairs), rule.percent
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.flatnonzero(may_hold(wanted.value, ids))))
+            for at in range(0, batch.num_rows, PORTION):
+                some = batch.slice(at, PORTION)
+                sets = list(shingles_of(some.column("text").to_pylist(), rule.width))
+                sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_sketch(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), sizes, sketches], ["doc_id", "n", "sketch"])
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            differing = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(differing * (100 + percent) <= sizes * (100 - percent)))
+
+    sketches = rows.mapInArrow(made, "doc_id long, n long, sketch binary")
+    both = pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(allowed, "a long, b long").distinct()
+
+
+def verified(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link; only pairs that agree in their wide sketches are compared set by set."""
+    pairs = pinned(agreeing(rows, candidates, rule), "jaccard-agreeing")
+    sets = _full_sets(rows, rule, _ids_of(pairs))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )

@@ -187,19 +187,26 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.pieces = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        #: The ids of a piece as 32-bit numbers in a row.
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.known
-        for match in self.pieces.findall(text):
-            found = known.get(match)
-            if found is None:
-                found = self.transducer.encode(match.encode("utf-8"))
-                if len(known) < PIECES_KEPT and len(match) <= 64:
-                    known[match] = found
-            ids += found
-        return ids
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
+
+    def encoded(self, text: str) -> bytes:
+        pieces = self.pieces.findall(text)
+        parts = list(map(self.known.get, pieces))
+        if None in parts:
+            parts = [part if part is not None else self.piece(piece) for part, piece in zip(parts, pieces, strict=True)]
+        return b"".join(parts)
+
+    def piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            found = np.array(self.transducer.encode(piece.encode("utf-8")), np.int32).tobytes()
+            if len(self.known) < PIECES_KEPT and len(piece) <= 64:
+                self.known[piece] = found
+        return found
 
 
 class Decoder:
@@ -210,7 +217,9 @@ class Decoder:
         self.texts = {rank: _text_or_none(token) for token, rank in ranks.items()}
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+        ids = list(ids)
+        texts = list(map(self.texts.__getitem__, ids))
+        return "".join(self.decode_stream(ids)) if None in texts else "".join(texts)
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes complete, token by token."""
@@ -262,9 +271,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 with uncollected():
-                    lists = [np.array(own.encode(text), np.int32) for text in some.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+                    lists = [own.encoded(text) for text in some.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, lists)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
                 yield pa.RecordBatch.from_arrays([some.column(0), ids], ["doc_id", "ids"])
 
     rows = id_and_text(docs, id_col, text_col)
@@ -279,7 +288,9 @@ def decode(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                texts = [own.decode(ids) for ids in some.column(1).to_pylist()]
+                ends = some.column(1).offsets.to_numpy()
+                flat = some.column(1).flatten().to_numpy().tolist()
+                texts = [own.decode(flat[a:b]) for a, b in zip((ends - ends[0])[:-1].tolist(), (ends - ends[0])[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded_docs.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

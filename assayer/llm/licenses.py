@@ -1,8 +1,11 @@
 """Licences named in texts: known sentences become identifiers, ordered rules read their sequence.
 
-A text is cut into sentences, which are normalised (case, white space, marks,
-years and names of holders). A sentence that is known gets its identifier, and
-its version where the sentence names one. The sequence of identifiers of a text,
+A text is cut into sentences at full stops and at lines that are blank but for
+comment marks, so a sentence may be wrapped over lines. Its pieces (lines, cut
+behind semicolons) are normalised (case, white space, marks, years and names of
+holders). A known sentence begins and ends with a piece, reaches over as many as
+it needs and gets its identifier, and its version where it names one; what
+follows up to the next known one or the end belongs to it. The sequence of identifiers of a text,
 with the places of their sentences, is then matched against the rules in order:
 the first rule whose identifiers follow each other, with at most ``GAP`` unknown
 sentences between two of them, takes its sentences; what is left is offered to
@@ -21,7 +24,7 @@ from assayer.llm.common import id_and_text
 
 GAP = 2
 
-#: Normalised licence sentences (regular expressions over the whole sentence) and their identifiers.
+#: Normalised licence sentences (regular expressions over whole pieces) and their identifiers.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("SPDX", r"spdx-license-identifier (?P<name>[a-z0-9.+-]+(?: (?:or|and|with) [a-z0-9.+-]+)*)"),
     ("ApacheName", r"(?:this (?:work|file|software|project) is )?licensed under the apache license,? version (?P<version>[0-9.]+)(?: the \"?license\"?)?"),
@@ -69,10 +72,23 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("AllRights",), "proprietary"),
 )
 
-_KNOWN = [(identifier, re.compile(pattern)) for identifier, pattern in SENTENCES]
-_CUT = re.compile(r"[\n\r]|(?<=[.!?;])(?=\s)")
-#: One of these is in every known sentence; sentences without one are not normalised at all.
-_TRACES = re.compile(r"licen[sc]e|public domain|rights reserved|spdx|redistribut|permission|warrant|as is|cc0|endorse", re.IGNORECASE)
+
+def _over_pieces(identifier: str, pattern: str) -> re.Pattern[str]:
+    """The pattern over pieces in lines of their own: blanks may be line ends. An SPDX tag stands on one line."""
+    if identifier != "SPDX":
+        head, tail = pattern.startswith(".*"), pattern.endswith(".*")
+        inner = pattern[2 * head : len(pattern) - 2 * tail].replace(".*", r"[\s\S]*?").replace(" ", r"[ \n]")
+        pattern = r"[^\n]*" * head + inner + r"[^\n]*" * tail
+    return re.compile(f"^(?:{pattern})$", re.MULTILINE)
+
+
+_KNOWN = [(identifier, _over_pieces(identifier, pattern)) for identifier, pattern in SENTENCES]
+_LINE_END = re.compile(r"\r\n|[\n\r]")
+_STOP = re.compile(r"(?<=[.!?])\s+")
+_PIECE_END = re.compile(r"(?<=;)\s+")
+_ONLY_MARKS = re.compile(r"[\s/*#>;-]*")
+#: One of these is in every known sentence; sentences without one are not normalised at all. Single words, as a line may end between two.
+_TRACES = re.compile(r"licen[sc]e|domain|reserved|spdx|redistribut|permission|warrant|cc0|endorse", re.IGNORECASE)
 
 Found = tuple[int, str, str, str]
 
@@ -85,24 +101,55 @@ def normalise(sentence: str) -> str:
     return re.sub(r"\s+", " ", plain).strip(" .,;:!*/#")
 
 
+def sentences(text: str) -> Iterator[list[str]]:
+    """The sentences of a text, each as its lines (the parts of lines that belong to it)."""
+    lines: list[str] = []
+    for line in _LINE_END.split(text):
+        if _ONLY_MARKS.fullmatch(line):  # a paragraph ends
+            if lines:
+                yield lines
+                lines = []
+            continue
+        for part in _STOP.split(line.strip()):
+            if _ONLY_MARKS.fullmatch(part):
+                continue
+            lines.append(part)
+            if part[-1] in ".!?":
+                yield lines
+                lines = []
+    if lines:
+        yield lines
+
+
 def identify(text: str) -> list[Found]:
     """(place of the sentence, identifier, version, name) of the known sentences of a text, in order."""
     found: list[Found] = []
     if not _TRACES.search(text):
         return found
-    for place, sentence in enumerate(s for s in _CUT.split(text) if s.strip()):
-        if not _TRACES.search(sentence):
-            continue
-        plain = normalise(sentence)
-        for identifier, pattern in _KNOWN:
-            match = pattern.fullmatch(plain)
-            if match:
-                named = match.groupdict()
-                found.append((place, identifier, named.get("version") or "", (named.get("name") or "").upper()))
-                break
+    place = 0
+    for lines in sentences(text):
+        here = known_in(lines) if _TRACES.search("\n".join(lines)) else []
+        place += bool(here and here[0][0])  # what stands in front of the first known sentence counts as one
+        for k, (_, identifier, version, name) in enumerate(here):
+            found.append((place + k, identifier, version, name))
+        place += max(1, len(here))
     return found
 
 
+def known_in(lines: list[str]) -> list[Found]:
+    """(begin, identifier, version, name) of the known sentences inside the lines; where two overlap, the earlier counts."""
+    plain = "\n".join(filter(None, (normalise(piece) for line in lines for piece in _PIECE_END.split(line))))
+    hits = sorted(((m.start(), i, m) for i, (_, pattern) in enumerate(_KNOWN) for m in pattern.finditer(plain)), key=lambda hit: hit[:2])
+    out, end = [], 0
+    for begin, i, match in hits:
+        if begin < end:
+            continue
+        named = match.groupdict()
+        out.append((begin, _KNOWN[i][0], named.get("version") or "", re.sub(r"\s", " ", named.get("name") or "").upper()))
+        end = match.end()
+    return out
+
+
 def licences(found: list[Found]) -> list[tuple[str, int, int, list[str]]]:
     """(licence, first and last sentence, identifiers) by the ordered rules, in order of place."""
     left, out = list(found), []
@@ -130,7 +177,8 @@ def _two_part(version: str) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each licence found: doc_id, licence, first_sentence, last_sentence, sentence_ids.
 
-    Sentences count from 0 over the non-empty sentences of the whole text. Texts
+    Sentences count from 0 over the non-empty sentences of the whole text; a
+    known sentence counts as one, over however many lines it is wrapped. Texts
     without a known sentence, null and empty texts have no row. Repeated rows
     are reported each; null ids stay null; other columns are not looked at.
     """

@@ -14,7 +14,9 @@ refines the mixed log odds by interval, again adapted along the text.
 
 Slots are sums over all training texts: every task counts into tables of a fixed
 size, and the tables are added up in groups of bounded size. Weights are fitted
-on ``Size.fit_texts`` training texts, whose own bits are taken out of the slots.
+on all training texts, in groups that a hash of the text makes: each distinct
+text counts as often as it occurs, and the bits of all its copies are taken out
+of the slots. The weights of the groups are averaged by what each has seen.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from assayer.llm.wordhash import Words, mix, words_of
 @dataclass(frozen=True)
 class Size:
     """Bounds of the model: words with a symbol of their own and their least count (so that the training
-    texts hold words to be spelled), words whose count every task knows, slots, fitted texts."""
+    texts hold words to be spelled), words whose count every task knows, slots, texts and bytes fitted in one group."""
 
     words: int = 65_534
     least_count: int = 3
@@ -54,6 +56,8 @@ COMMON = 128
 #: Portions of texts and chunks of symbols handled at once, bits between two adaptations, tables added at once.
 PORTION_BYTES, CHUNK, BLOCK, EARLY, ADDED = 400_000, 150_000, 1024, 16, 32
 INTERVALS = 32
+#: Counts from which on a slot is known, and well known.
+KNOWN = (3, 60)
 END = 0x0E0D0E0D0E0D0E0D
 _U, _U32 = np.uint64, np.uint32
 
@@ -226,8 +230,8 @@ def expanded(stream: Stream, part: slice | np.ndarray, slot_bits: int) -> tuple[
 class Slots:
     """For each stream and context: the log odds of every slot and how well it is known (0, 1, 2)."""
 
-    odds: np.ndarray  # stream, context, slot
-    known: np.ndarray
+    odds: np.ndarray | None  # stream, context, slot
+    known: np.ndarray | None
     counts: np.ndarray | None  # stream, context, slot, bit
 
     @classmethod
@@ -236,7 +240,7 @@ class Slots:
         for place in np.ndindex(counts.shape[:2]):
             zero, one = counts[place][:, 0].astype(np.float32), counts[place][:, 1].astype(np.float32)
             odds[place] = np.log((one + 0.3) / (zero + 0.3))
-            known[place] = np.digitize(zero + one, (3, 60))
+            known[place] = np.digitize(zero + one, KNOWN)
         return cls(odds, known, counts)
 
 
@@ -258,7 +262,8 @@ def block_of(bit: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Total bits of each text of a portion; with ``fit`` the weights move along and own bits are taken out of the slots."""
+    """Total bits of each text of a portion; with ``fit`` the weights move along and own bits are taken out of the slots,
+    those of all ``copies`` of a text."""
 
     #: Of the fitted weights in one pass after the other, of a text's own correction, of its own refinement.
     RATES, OWN_RATE, REFINE_RATE = (0.01, 0.003), 0.0015, 0.3
@@ -266,6 +271,9 @@ class Scorer:
     def __init__(self, corpus: Corpus, slots: Slots, weights: Weights, slot_bits: int, fit: bool = False):
         self.corpus, self.slots, self.weights, self.slot_bits, self.fit = corpus, slots, weights, slot_bits, fit
         self.rate = self.RATES[0]
+        self.copies = np.zeros(0)
+        #: How many bits, times copies, moved the weights of each gate and the refinement of each interval.
+        self.seen, self.seen_refining = np.zeros((2, GATES)), np.zeros((2, GATES * INTERVALS))
 
     def cost(self, words: Words, tokens: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         texts = len(words.firsts) - 1
@@ -297,14 +305,23 @@ class Scorer:
         bits, slots, owner = data
         n = len(bits)
         inputs = np.empty((CONTEXTS + 1, n), np.float32)
+        known = []
+        if self.fit:
+            copies = self.copies.take(owner)
+            own_bits = np.stack((copies * (bits == 0), copies * (bits == 1)), axis=1)
         for k, slot in enumerate(slots):
-            if self.fit:  # without the bit itself
-                zero, one = (self.slots.counts[kind, k][slot, b] - (bits == b) for b in (0, 1))
-                inputs[k] = np.log((np.maximum(one, 0) + 0.3) / (np.maximum(zero, 0) + 0.3))
+            if self.fit:  # without the bit itself, in all copies
+                left = np.maximum(self.slots.counts[kind, k].take(slot, axis=0) - own_bits, 0)
+                inputs[k] = np.log((left[:, 1] + 0.3) / (left[:, 0] + 0.3))
+                if k > 1:
+                    total = left[:, 0] + left[:, 1]
+                    known.append((total >= KNOWN[0]).astype(np.intp) + (total >= KNOWN[1]))
             else:
                 inputs[k] = self.slots.odds[kind, k].take(slot)
+                if k > 1:
+                    known.append(self.slots.known[kind, k].take(slot))
         inputs[CONTEXTS] = 0.3
-        gate = (self.slots.known[kind, 2].take(slots[2]) * 3 + self.slots.known[kind, 3].take(slots[3])).astype(np.intp)
+        gate = (known[0] * 3 + known[1]).astype(np.intp)
         sign = bits.astype(np.float32) * 2 - 1
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a == b:
@@ -329,12 +346,18 @@ class Scorer:
             own[who] += self.OWN_RATE * np.stack([np.add.reduceat(missed * x[k], starts) for k in range(CONTEXTS + 1)], axis=1)
             seen = np.bincount(place, minlength=own_refining.size)
             own_refining += (self.REFINE_RATE * np.bincount(place, missed, own_refining.size) / (8 + seen)).reshape(own_refining.shape)
-            if self.fit:
+            if self.fit:  # mean gradients over bits and copies, as far as the bits of a block carry
+                w = copies[a:b]
+                missed = missed * w
+                seen, weight = np.bincount(g, minlength=GATES), np.bincount(g, w, GATES)
                 for k in range(CONTEXTS + 1):
-                    sums, seen = np.bincount(g, missed * x[k], GATES), np.bincount(g, minlength=GATES)
-                    self.weights.mixing[kind][:, k] += self.rate * sums / np.sqrt(1 + seen)
-                seen = np.bincount(where, minlength=GATES * INTERVALS)
-                self.weights.refining[kind] += 0.05 * np.bincount(where, missed, GATES * INTERVALS) / (4 + seen)
+                    mean = np.bincount(g, missed * x[k], GATES) / np.maximum(weight, 1)
+                    self.weights.mixing[kind][:, k] += self.rate * mean * seen / np.sqrt(1 + seen)
+                self.seen[kind] += weight
+                seen, weight = np.bincount(where, minlength=GATES * INTERVALS), np.bincount(where, w, GATES * INTERVALS)
+                mean = np.bincount(where, missed, GATES * INTERVALS) / np.maximum(weight, 1)
+                self.weights.refining[kind] += 0.05 * mean * seen / (4 + seen)
+                self.seen_refining[kind] += weight
 
 
 def rows_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
@@ -453,30 +476,34 @@ def _added(tables: DataFrame, pieces: int) -> np.ndarray:
     return np.concatenate([found.get(p, np.zeros(width, np.float32)) for p in range(pieces)]) if found else np.zeros(0, np.float32)
 
 
-def fitted_weights(rows: DataFrame, corpus, counts, size: Size) -> Weights:
-    """Weights after online passes over at most ``size.fit_texts`` training texts, chosen by a hash of the text."""
-    texts = rows.where("not held").select("text", F.xxhash64("text").alias("h")).where(F.length("text") < size.fit_bytes // 20)
-    sample = texts.orderBy("h").limit(size.fit_texts).select("text")
+def fitted_weights(rows: DataFrame, corpus, slots, size: Size) -> Weights:
+    """The mean weights of groups of about ``size.fit_texts`` texts or ``size.fit_bytes``, after online passes over all texts of each.
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(corpus.value, Slots.of(counts.value), Weights.first(), size.slot_bits, fit=True)
-        held, seen = [], 0
-        for _, words in portions(batches):
-            seen += len(words.data)
-            if seen > size.fit_bytes:
-                break
-            held.append(words)
+    The groups are made by a hash of the text and hold all training texts, equal ones once with the number of their copies.
+    """
+    distinct = rows.where("not held").groupBy("key", "text").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = pinned(distinct, "mixing-distinct")
+    whole = distinct.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-whole.texts // size.fit_texts), -(-whole.bytes // size.fit_bytes))
+
+    def fit(table: pa.Table) -> pa.Table:
+        scorer = Scorer(corpus.value, slots.value, Weights.first(), size.slot_bits, fit=True)
+        table = table.sort_by([("key", "ascending"), ("text", "ascending")])
         for scorer.rate in Scorer.RATES:
-            for words in held:
+            for some, words in portions(iter(table.to_batches())):
+                scorer.copies = some.column("copies").to_numpy().astype(np.float32)
                 scorer.cost(words, _with_ends(words))
         w = scorer.weights
-        yield pa.RecordBatch.from_arrays([pa.array([w.mixing.tobytes()]), pa.array([w.refining.tobytes()])], ["mixing", "refining"])
+        values = np.concatenate((w.mixing.ravel(), w.refining.ravel())).astype(np.float64)
+        seen = np.concatenate((np.repeat(scorer.seen.ravel(), CONTEXTS + 1), scorer.seen_refining.ravel()))
+        return pa.table([pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(seen)], ["place", "value", "seen"])
 
-    row = sample.coalesce(1).mapInArrow(fit, "mixing binary, refining binary").first()
-    first = Weights.first()
-    if row is None:
-        return first
-    return Weights(np.frombuffer(bytes(row.mixing), np.float32).reshape(first.mixing.shape).copy(), np.frombuffer(bytes(row.refining), np.float32).reshape(first.refining.shape).copy())
+    grouped = distinct.withColumn("chunk", F.pmod("key", F.lit(groups))).groupBy("chunk").applyInArrow(fit, "place long, value double, seen double")
+    out = Weights.first()
+    flat = np.concatenate((out.mixing.ravel(), out.refining.ravel()))
+    for row in grouped.groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).where("seen > 0").collect():  # as many rows as weights
+        flat[row.place] = row.value / row.seen
+    return Weights(flat[: out.mixing.size].reshape(out.mixing.shape).copy(), flat[out.mixing.size :].reshape(out.refining.shape).copy())
 
 
 def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", size: Size = Size()) -> DataFrame:
@@ -498,9 +525,9 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     if not len(table):
         table = np.zeros((2, CONTEXTS, 1 << size.slot_bits, 2), np.float32)
     # Both have a fixed size: 64 and 24 MB with 20 slot bits.
-    full = context.broadcast(table)
-    weights = fitted_weights(rows, shared, full, size)
     made = Slots.of(table)
+    full = context.broadcast(Slots(None, None, table))
+    weights = fitted_weights(rows, shared, full, size)
     slots = context.broadcast(Slots(made.odds, made.known, None))
     full.unpersist()
     log_all = math.log10(corpus.tokens + corpus.distinct + 1)

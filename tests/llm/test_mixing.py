@@ -106,3 +106,33 @@ def test_probabilities_of_all_continuations_sum_to_one():
         scorer._blocks(0, m.expanded(stream, slice(None), 10), np.array([0, int(code.sizes[symbol])]), np.zeros((1, m.CONTEXTS + 1), np.float32), np.zeros((1, m.INTERVALS), np.float32), cost)
         total += math.exp(-cost[0])
     assert abs(total - 1) < 1e-4
+
+
+@pytest.fixture
+def weights_of(docs, monkeypatch):
+    """The weights fitted on rows, and the scores."""
+    fitted, made = m.fitted_weights, []
+    monkeypatch.setattr(m, "fitted_weights", lambda *given: made.append(fitted(*given)) or made[-1])
+
+    def run(rows, size):
+        got = m.scored(docs(rows), held_column(), size=size).collect()
+        return made.pop(), got
+
+    return run
+
+
+def test_long_texts_are_fitted_too(weights_of):
+    rows = [(i, " ".join([t] * 3)) for i, t in tongues(60)]
+    weights, _ = weights_of(rows, m.Size(words=200, counted=150, slot_bits=14, fit_texts=100, fit_bytes=1_000))
+    first = m.Weights.first()
+    assert np.abs(weights.mixing[0] - first.mixing[0]).max() > 0.01 and np.abs(weights.refining[0]).max() > 0
+
+
+def test_all_texts_move_the_weights_however_few_fit_in_a_group(weights_of, spark):
+    """A group of copies whose hash is the least does not keep other texts out, and no copy is left in the slots."""
+    rows = tongues()
+    least = spark.createDataFrame([(f"copy number {i} of a text",) for i in range(5_000)], "text string").orderBy(F.xxhash64("text")).first().text
+    copied = rows + [(5 * i, least) for i in range(1_000, 1_150)]
+    (_, scores), (_, beside_copies) = weights_of(rows, SMALL), weights_of(copied, SMALL)
+    one, two = ({r.doc_id: r.bits_per_byte for r in got if r.held_out} for got in (scores, beside_copies))
+    assert sum(two.values()) < 1.005 * sum(one.values())

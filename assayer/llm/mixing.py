@@ -54,7 +54,9 @@ GATES = 9
 #: So many of the most frequent words count as very common.
 COMMON = 128
 #: Portions of texts and chunks of symbols handled at once, bits between two adaptations, tables added at once.
-PORTION_BYTES, CHUNK, BLOCK, EARLY, ADDED = 400_000, 150_000, 1024, 16, 32
+PORTION_BYTES, CHUNK, BLOCK, ADDED = 400_000, 150_000, 1024, 32
+#: The first adaptations of a text, after so many bits.
+STEPS = np.array([32, 64, 128, 256, 512, BLOCK])
 INTERVALS = 32
 #: Counts from which on a slot is known, and well known.
 KNOWN = (3, 60)
@@ -257,8 +259,8 @@ class Weights:
 
 
 def block_of(bit: np.ndarray) -> np.ndarray:
-    """The block a bit of a text falls in: EARLY of BLOCK bits, then longer ones, as a text's correction settles."""
-    return np.where(bit < EARLY * BLOCK, bit // BLOCK, EARLY + (bit - EARLY * BLOCK) // (8 * BLOCK))
+    """The block a bit of a text falls in: blocks end after STEPS bits, then every BLOCK bits, so that short texts adapt too."""
+    return np.where(bit < BLOCK, np.searchsorted(STEPS, bit, "right"), len(STEPS) - 1 + bit // BLOCK)
 
 
 class Scorer:

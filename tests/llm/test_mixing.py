@@ -136,3 +136,10 @@ def test_all_texts_move_the_weights_however_few_fit_in_a_group(weights_of, spark
     (_, scores), (_, beside_copies) = weights_of(rows, SMALL), weights_of(copied, SMALL)
     one, two = ({r.doc_id: r.bits_per_byte for r in got if r.held_out} for got in (scores, beside_copies))
     assert sum(two.values()) < 1.005 * sum(one.values())
+
+
+def test_texts_adapt_from_their_first_bits_on_and_long_ones_as_often():
+    block = m.block_of(np.arange(200_000))
+    steps = np.diff(np.flatnonzero(np.diff(block, prepend=-1)), append=0)[:-1]
+    assert steps[:6].tolist() == [32, 32, 64, 128, 256, 512] and set(steps[6:].tolist()) == {m.BLOCK}
+    assert set(np.diff(block).tolist()) == {0, 1}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, substring_dedup, token_counts, toxicity
+from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, mixture, substring_dedup, token_counts, toxicity
 from assayer.llm.common import documents, in_fold
 from assayer.session import table
 
@@ -88,6 +88,47 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken_words(mixture.mix(documents(spark, sf_dir)))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, row_number() OVER () AS nr, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS number,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+  FROM docs GROUP BY source
+), budget AS (
+  SELECT sum(s) AS t, sum(w) AS ws FROM sources
+), levels AS (
+  SELECT *, 3 * s * (ws - coalesce(sum(w) OVER before, 0)) <= w * (t - coalesce(sum(3 * s) OVER before, 0)) AS held
+  FROM sources, budget
+  WINDOW before AS (ORDER BY 6 * s / w, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), rest AS (
+  SELECT any_value(t) - coalesce(sum(3 * s) FILTER (held), 0) AS b, any_value(ws) - coalesce(sum(w) FILTER (held), 0) AS ws FROM levels
+), goals AS (
+  SELECT source, number, s, CASE WHEN held THEN CAST(3 * s AS DOUBLE) ELSE CAST(b * w AS DOUBLE) / CAST(rest.ws AS DOUBLE) END AS target
+  FROM levels, rest
+), queues AS (
+  SELECT doc_id, nr, size, number, s, target, CAST(floor(target + 0.5) AS BIGINT) AS quota,
+         sum(size) OVER (PARTITION BY number ORDER BY draw, nr) AS upto
+  FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source
+), served AS (
+  SELECT nr, number, pass, (pass * s + upto) / target AS finish, least(size, quota - (pass * s + upto - size)) AS served
+  FROM queues, range(3) passes(pass) WHERE size > 0 AND pass * s + upto - size < quota
+), merged AS (
+  SELECT nr, served, sum(served) OVER (ORDER BY finish, number, pass, nr) AS place FROM served
+), taken AS (
+  SELECT nr, sum(greatest(0, least(served, t - place + served))) AS taken FROM merged, budget GROUP BY nr
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM queues LEFT JOIN taken USING (nr)
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -101,7 +142,8 @@ QUERIES: dict[str, Query] = {
         op8_jaccard_join,
         op9_substring_dedup,
         op10_token_counts,
+        op13_mixture,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL, "op13_mixture": OP13_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, mixture, substring_dedup, token_counts, toxicity
+from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, mixture, repair, substring_dedup, token_counts, toxicity
 from assayer.llm.common import documents, in_fold
 from assayer.session import table
 
@@ -88,6 +88,68 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+# The same by a search from row to row over the four states instead of spans; crc32 is its shift register, bit by bit.
+OP12_SQL = r"""
+WITH RECURSIVE drawn AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), draws AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * length(k)),
+           lambda i: CAST((ascii(substr(k, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT))),
+           lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b)))) % 20 AS draw
+  FROM drawn
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM draws, unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, substr(role, 1, 1) AS said FROM damaged
+), faults AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(said) OVER (PARTITION BY conv_id ORDER BY rn) AS before
+  FROM placed
+), follows(p, said, q) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserts(p, q, n, more) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, 'user:' || chr(10)), (1, 2, 1, 'user:' || chr(10)),
+         (2, 3, 1, 'assistant:' || chr(10)), (3, 2, 1, 'user:' || chr(10)),
+         (0, 3, 2, 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 2, 'user:' || chr(10) || 'assistant:' || chr(10))
+), edits AS (
+  SELECT conv_id, rn, p, p AS q, 3 AS cost, 'D' AS edit, '' AS more FROM faults, range(4) states(p)
+  UNION ALL
+  SELECT conv_id, rn, p, q, CAST(cut AS INTEGER), 'K', role || ':' || text || chr(10) FROM faults JOIN follows USING (said) WHERE NOT blank AND NOT again
+  UNION ALL
+  SELECT conv_id, rn, p, q, 2 + CAST(cut AS INTEGER), 'R', CASE follows.said WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10)
+  FROM faults JOIN follows ON follows.said <> 's' WHERE NOT blank AND NOT again
+), ids AS (
+  SELECT conv_id, (SELECT count(*) FROM faults f WHERE f.conv_id IS NOT DISTINCT FROM c.conv_id) AS rows FROM conversations c GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS rn, 0 AS state, {'cost': 0, 'audit': '', 'lines': ''} AS best FROM ids
+  UNION ALL
+  SELECT a.conv_id, a.rn + 1, e.q, min({'cost': a.best.cost + 2 * i.n + e.cost, 'audit': a.best.audit || repeat('I', i.n) || e.edit, 'lines': a.best.lines || i.more || e.more})
+  FROM paths a JOIN inserts i ON a.state = i.p
+  JOIN edits e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.rn = a.rn + 1 AND e.p = i.q
+  GROUP BY a.conv_id, a.rn, e.q
+), whole AS (
+  SELECT a.conv_id, min({'cost': a.best.cost + 2 * i.n, 'audit': a.best.audit || repeat('I', i.n), 'lines': a.best.lines || i.more}) AS best
+  FROM paths a JOIN ids ON ids.conv_id IS NOT DISTINCT FROM a.conv_id AND ids.rows = a.rn JOIN inserts i ON a.state = i.p AND i.q IN (0, 3)
+  GROUP BY a.conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+         count(*) FILTER (before || said NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(w.best.cost AS BIGINT) AS cost, w.best.audit AS audit,
+       sha256(substr(w.best.lines, 1, length(w.best.lines) - 1)) AS repaired_sha256
+FROM whole w LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
 def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken_words(mixture.mix(documents(spark, sf_dir)))
 
@@ -142,8 +204,9 @@ QUERIES: dict[str, Query] = {
         op8_jaccard_join,
         op9_substring_dedup,
         op10_token_counts,
+        op12_conversation_repair,
         op13_mixture,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL, "op13_mixture": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL, "op12_conversation_repair": OP12_SQL, "op13_mixture": OP13_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, licenses, mixing, mixture, repair, substring_dedup, token_counts, toxicity
+from assayer.llm import byte_bpe, chat, collocations, decontaminate, exact_dedup, jaccard_join, licenses, mixing, mixture, repair, substring_dedup, token_counts, toxicity
 from assayer.llm.common import documents, in_fold
 from assayer.session import table
 
@@ -88,6 +88,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM words, unnest([1, 2, 3]) lengths(k), unnest(range(1, len(w) - k + 2)) places(i) GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM counts WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, min({'score': 1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) * r.f), 'cut': i, 'l': l.f, 'r': r.f}) AS best
+  FROM candidates c, unnest(range(1, c.k)) cuts(i)
+  JOIN counts l ON l.lang = c.lang AND l.k = i AND l.phrase = array_to_string(c.p[1:i], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - i AND r.phrase = array_to_string(c.p[i + 1:c.k], ' ')
+  GROUP BY ALL
+), left_out AS (
+  SELECT s.lang, s.phrase FROM candidates s JOIN candidates t ON s.lang = t.lang AND t.k = 3 AND s.k = 2
+    AND s.phrase IN (array_to_string(t.p[1:2], ' '), array_to_string(t.p[2:3], ' ')) AND 100 * t.a >= 50 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank, phrase, a,
+       best.l AS l, best.r AS r, n, CAST(best.score AS BIGINT) AS score
+FROM cuts JOIN totals USING (lang)
+WHERE (lang, phrase) NOT IN (SELECT lang, phrase FROM left_out)
+QUALIFY rank <= 2000
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
 
@@ -204,9 +240,10 @@ QUERIES: dict[str, Query] = {
         op8_jaccard_join,
         op9_substring_dedup,
         op10_token_counts,
+        op11_collocations,
         op12_conversation_repair,
         op13_mixture,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL, "op12_conversation_repair": OP12_SQL, "op13_mixture": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_chat_texts": OP7_SQL, "op11_collocations": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_mixture": OP13_SQL}

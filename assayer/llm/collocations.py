@@ -224,7 +224,7 @@ def completed(stream: DataFrame, counts: DataFrame, into: str, backwards: bool,
     gaps = F.expr(f"filter(sequence(0, size(words) - 1), j -> {into}[j] IS NULL)")
     # The phrase without words has no parts.
     missing = stream.where(f"size(words) > 0 AND exists({into}, x -> x IS NULL)")
-    missing = missing.withColumn("edge", F.expr(f"element_at({into}, -1) IS NULL"))
+    missing = missing.withColumn("edge", F.expr(f"get({into}, size(words) - 1) IS NULL"))
     wanted = missing.select("lang", "words", F.explode(gaps).alias("j")).select("lang", part("j").alias("words")).distinct()
     found = pinned(counts.join(F.broadcast(wanted), ["lang", "words"]).select("lang", "words", F.col("a").alias("known")), "collocations-edges")
     longest = stream.agg(F.max(F.size("words"))).first()[0] or 0
@@ -235,7 +235,7 @@ def completed(stream: DataFrame, counts: DataFrame, into: str, backwards: bool,
         full = full.join(F.broadcast(edge), here & (F.col("lang") == F.col("e_lang")) & (part(n) == F.col("e_words")), "left")
         filled = F.when(F.col("known").isNotNull(), F.expr(f"transform({into}, (x, j) -> if(j = {n}, known, x))"))
         full = full.withColumn(into, filled.otherwise(F.col(into))).drop("e_lang", "e_words", "known")
-    frequent = 100 * F.col("a") >= share * F.expr(f"element_at({into}, -1)")
+    frequent = 100 * F.col("a") >= share * F.expr(f"get({into}, size(words) - 1)")
     covered = full.where(F.col("edge") & (F.size("words") > 1) & frequent).select("lang", part("greatest(size(words) - 1, 0)").alias("words")).distinct()
     whole = stream.where(f"size(words) = 0 OR NOT exists({into}, x -> x IS NULL)").unionByName(full.drop("edge"))
     return whole, covered

@@ -171,6 +171,63 @@ def tables_of_lists(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(md.referenced_tables(sql), "|").alias("names"))
 
 
+# Statements by order key and the tables a reader finds in them; {k} is a number of each row's own.
+_HARD_STATEMENTS = [
+    ("SELECT a FROM (SELECT a FROM orders_{k}) o, customer c", "orders_{k}|customer"),
+    ("SELECT x IS NOT DISTINCT FROM ycol_{k} FROM orders WHERE a IS DISTINCT FROM b", "orders"),
+    ("SELECT 1 FROM lineitem l JOIN part_{k} p ON p.x = l.y AND (p.z, 1) IN (SELECT 1, 2 FROM supplier), customer", "lineitem|part_{k}|supplier|customer"),
+    ("SELECT ~ FROM nope, ~~no FROM~, -- FROM bad_{k}, worse{n} /* FROM odd */ 2 FROM nation /* , region */ n", "nation"),
+    ("WITH orders AS (SELECT * FROM orders), few (a, b) AS (SELECT 1, k FROM part_{k}) SELECT * FROM orders, few, region", "orders|part_{k}|region"),
+    ("WITH RECURSIVE up AS (SELECT 1 UNION ALL SELECT a FROM up, nation_{k}) SELECT * FROM up NATURAL JOIN region", "nation_{k}|region"),
+    ("SELECT (WITH t AS (SELECT 1 FROM nation), deep AS (SELECT * FROM t) SELECT max(a) FROM deep) FROM deep, t_{k}", "nation|deep|t_{k}"),
+    ("SELECT EXTRACT(YEAR FROM o.day), trim(both FROM x), count(*) FILTER (WHERE a) FROM shop.\"My Table\" m, `a.b.c_{k}` ORDER BY 1, 2", "My Table|c_{k}"),
+    ("SELECT * FROM generate_series(1, {k}) g, (VALUES (1, x), (2, y)) v, LATERAL (SELECT 1 FROM events) e LEFT JOIN ((orders a CROSS JOIN part b) JOIN region r USING (k, j)) ON true, nation", "events|orders|part|region|nation"),
+    ("SELECT a, b FROM orders o GROUP BY a, customer UNION SELECT 1 FROM orders_{k} FOR UPDATE; INSERT INTO copies SELECT * FROM [dbo].[Odd Name]", "orders|orders_{k}|copies|Odd Name"),
+]
+
+
+def _by_order_key(texts, join):
+    """A SQL case over the order key: each text with {k} as a number, ~ as a quote and {n} as a line break."""
+    def text(t):
+        pieces = t.replace("{n}", "\n").replace("~", "''").split("{k}")
+        quoted = [f"'{piece}'" for piece in pieces]
+        return join.join(quoted).replace("\n", "' || chr(10) || '")
+
+    return f"CASE o_orderkey % {len(texts)} " + " ".join(f"WHEN {i} THEN {text(t)}" for i, t in enumerate(texts)) + " END"
+
+
+_KEY_JOIN = " || CAST(o_custkey AS VARCHAR(20)) || "
+
+
+@check("d7_statement_tokens", f"SELECT o_orderkey, {_by_order_key([names for _, names in _HARD_STATEMENTS], _KEY_JOIN)} AS names FROM orders")
+def statement_tokens(spark, sf_dir):
+    """Derived tables, conditions, strings, comments, functions, definitions at any depth."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    sql = _by_order_key([sql for sql, _ in _HARD_STATEMENTS], _KEY_JOIN)
+    texts = spark.sql(f"SELECT o_orderkey, {sql} AS sql FROM orders")
+    return texts.select("o_orderkey", F.array_join(md.referenced_tables(F.col("sql")), "|").alias("names"))
+
+
+_DATASET_DDL = "CREATE TABLE s1.Orders (\n  id int\n);\nCREATE TABLE nation (\n  id int\n);"
+_DATASET_STATEMENTS = [
+    ("SELECT 1 FROM (SELECT 1 FROM s1.Orders) x JOIN nation n ON nation.id = {k}", "SELECT 1 FROM (SELECT 1 FROM d{k}.Orders) x JOIN d{k}.nation n ON nation.id = {k}"),
+    ("SELECT {k} FROM region", None),
+    ("SELECT a IS DISTINCT FROM nation FROM orders", "SELECT a IS DISTINCT FROM nation FROM d{k}.orders"),
+    ("WITH nation AS (SELECT {k}) SELECT * FROM nation", None),
+]
+
+
+@check("d9_statements_for_dataset", "SELECT * FROM (SELECT o_orderkey, "
+       + _by_order_key([want or "" for _, want in _DATASET_STATEMENTS], _KEY_JOIN) + " AS sql FROM orders) WHERE sql <> ''")
+def statements_for_dataset(spark, sf_dir):
+    """Known tables of a statement, and only those, move to a dataset; statements without any are left out."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    sql = _by_order_key([sql for sql, _ in _DATASET_STATEMENTS], _KEY_JOIN)
+    texts = spark.sql(f"SELECT o_orderkey, concat('d', o_custkey) AS prefix, {sql} AS sql FROM orders")
+    moved = md.statement_for_dataset(F.col("sql"), F.lit(_DATASET_DDL), F.col("prefix"))
+    return texts.select("o_orderkey", moved.alias("sql")).where("sql IS NOT NULL")
+
+
 @check("d8_known_references", """
 SELECT p_partkey, concat('part_', p_partkey, CASE WHEN p_partkey % 50 = p_size THEN concat('|LOOKUP_', p_size) ELSE '' END) AS names FROM part
 """)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.bind import let
+from assayer.functions.statement import referenced_tables
 from assayer.functions.textops import before_first, strip, swap
 
 # DDL phrases, hint headers and the words that cannot be aliases.
@@ -108,49 +110,31 @@ def without_schemas(text: Column, ddl: Column) -> Column:
     return _fold_names(schema_names(ddl), text, lambda t, s: F.replace(t, F.concat(s, F.lit(".")), F.lit("")))
 
 
-NAME = r'[A-Za-z_"`][\w."`]*'
-# Words that end an item of a FROM list instead of naming it.
-CLAUSE_WORDS = (
-    "WHERE|JOIN|INNER|LEFT|RIGHT|FULL|CROSS|NATURAL|OUTER|SEMI|ANTI|LATERAL|ON|USING|GROUP|ORDER|HAVING|LIMIT|OFFSET|FETCH|"
-    "UNION|EXCEPT|INTERSECT|WINDOW|QUALIFY|TABLESAMPLE|FOR|AS"
-)
-_ITEM = rf"{NAME}(?:\s+(?:AS\s+)?(?!(?:{CLAUSE_WORDS})\b)[A-Za-z_]\w*)?"
-FROM_LIST = rf"(?i)\b(?:FROM|JOIN)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
-FUNCTION_FROM = r"(?i)\b((?:EXTRACT|SUBSTRING|TRIM|OVERLAY)\s*\([^()]*?)\bFROM\b"
-WITH_NAME = r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|\)\s*,\s*)([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?AS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
-
-
-def referenced_tables(sql: Column) -> Column:
-    """Distinct table names in FROM lists and after JOIN, schema removed, longer than one letter.
-
-    The FROM inside EXTRACT, SUBSTRING, TRIM and OVERLAY names no table, and a
-    name that WITH defines is none.
-    """
-    plain = F.regexp_replace(sql, FUNCTION_FROM, "$1,")
-    lists = F.regexp_extract_all(plain, F.lit(FROM_LIST), F.lit(1))
-    items = F.flatten(F.transform(lists, lambda l: F.split(l, r"\s*,\s*")))
-    names = F.transform(items, lambda i: F.regexp_extract(i, NAME, 0))
-    bare = F.transform(names, lambda n: F.regexp_replace(F.substring_index(n, ".", -1), r'["`]', ""))
-    defined = F.transform(F.regexp_extract_all(plain, F.lit(WITH_NAME), F.lit(1)), F.lower)
-    return F.array_distinct(F.filter(bare, lambda n: (F.length(n) > 1) & ~F.array_contains(defined, F.lower(n))))
-
-
 def known_references(sql: Column, ddl: Column) -> Column:
     """Referenced tables the DDL knows, compared without case, in the case of the statement."""
-    known = known_tables(ddl)
-    return F.filter(referenced_tables(sql), lambda t: F.array_contains(known, F.lower(t)))
+    return let(known_tables(ddl), lambda known: F.filter(referenced_tables(sql), lambda t: F.array_contains(known, F.lower(t))))
 
 
 def qualify_tables(sql: Column, tables: Column, prefix: Column) -> Column:
     """Put ``prefix.`` before every listed table that follows a blank and no dot follows."""
 
+    def literal(text: Column) -> Column:
+        return F.regexp_replace(text, r"([\\$])", r"\\$1")
+
     def put(text: Column, t: Column) -> Column:
-        pattern = F.concat(F.lit(r"\b "), t, F.lit(r"\b(?![\.])"))
-        return F.regexp_replace(text, pattern, F.concat(F.lit(" "), prefix, F.lit("."), t))
+        pattern = F.concat(F.lit(r"\b \Q"), t, F.lit(r"\E\b(?![\.])"))
+        return F.regexp_replace(text, pattern, F.concat(F.lit(" "), literal(prefix), F.lit("."), literal(t)))
 
     return F.aggregate(tables, sql, put)
 
 
+def statement_for_dataset(sql: Column, ddl: Column, prefix: Column) -> Column:
+    """The statement without the schemas of the DDL, its known tables qualified by ``prefix``; null if it knows none of its tables."""
+    return let(
+        known_references(sql, ddl), lambda known: F.when(F.size(known) > 0, qualify_tables(without_schemas(sql, ddl), known, prefix))
+    )
+
+
 def clean_metadata(text: Column) -> Column:
     """DDL without line comments, trailing commas and join hints."""
     lines = F.transform(F.split(text, "\n"), lambda line: before_first(line, "--"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.checks import check
+from assayer.checks.matching import PAIR_ORACLE, pair_rows, plain_questions
 from assayer.checks.reports import RUNS_DUCK, runs
-from assayer.session import scratch
+from assayer.session import materialise, scratch
 from assayer.sources import store
-from assayer.streaming import live
+from assayer.streaming import live, scoring
 
 _FIELDS = (
     "event_id BIGINT, ts TIMESTAMP_NTZ, query_category STRING, model STRING, db_name STRING, question STRING, "
@@ -56,16 +57,34 @@ def live_accuracy(spark, sf_dir):
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS tried, round(avg(correct), 9) AS mean_correct FROM ({RUNS_DUCK}) GROUP BY 1
 """)
 def hourly_accuracy(spark, sf_dir):
-    fields = _FIELDS.replace("ts TIMESTAMP_NTZ", "ts TIMESTAMP_NTZ")
-    rows = live.watch_results(spark, _arrived(spark, sf_dir), fields, "parquet", files_per_batch=100)
-    stamped = rows.withColumn("ts", F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "yyyy-MM-dd HH:mm:ss"))
-    path = scratch(spark, "report")
-    live.publish(live.hourly_accuracy(stamped, "ts"), path, scratch(spark, "checkpoint"), "update").awaitTermination()
-    batches = spark.read.schema("hour TIMESTAMP, tried BIGINT, mean_correct DOUBLE, batch BIGINT").parquet(path)
-    final = batches.groupBy("hour").agg(F.max_by("tried", "batch").alias("tried"), F.max_by("mean_correct", "batch").alias("mean_correct"))
-    return final.select(
-        F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "tried", F.round("mean_correct", 9).alias("mean_correct")
-    )
+    """One file a batch, each file over the whole time, so nearly all rows are days late; folded half-way."""
+    folder, path, checkpoint = scratch(spark, "late"), scratch(spark, "report"), scratch(spark, "checkpoint")
+    rows = runs(spark, sf_dir).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "correct")
+    stamped = rows.withColumn("ts", F.to_timestamp("ts", "yyyy-MM-dd HH:mm:ss"))
+    for part in range(2):
+        stamped.filter(F.col("event_id") % 2 == part).repartition(3, "event_id").write.mode("append").parquet(folder)
+        arriving = live.watch_results(spark, folder, "event_id BIGINT, ts TIMESTAMP, correct INT", "parquet", files_per_batch=1)
+        live.publish_hourly(arriving, "ts", path, checkpoint).awaitTermination()
+        live.fold_hourly(spark, path)
+    report = live.hourly_accuracy(spark, path)
+    return report.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "tried", F.round("mean_correct", 9).alias("mean_correct"))
+
+
+@check("st1_scored_runs", PAIR_ORACLE + "SELECT pair_id, exact, exact OR subset AS correct, true AS scored_once FROM s")
+def scored_runs(spark, sf_dir):
+    """Both sides of all pairs arrive over several batches, some parts twice, and the stream is started twice."""
+    folder, path, checkpoint = scratch(spark, "delivered"), scratch(spark, "scored"), scratch(spark, "checkpoint")
+    rows = materialise(pair_rows(spark, sf_dir))
+    asked = materialise(plain_questions(spark, rows))
+    delivered = materialise(scoring.with_markers(rows, rows_per_part=16))
+    for side in ("gold", "gen"):
+        scoring.deliver(delivered.filter(F.col("side") == side), folder, 3)
+        scoring.score_arrivals(spark, folder, asked, path, checkpoint, files_per_batch=2).awaitTermination()
+    scoring.deliver(delivered.filter("pair_id % 3 = 0 AND side = 'gold'"), folder, 1)
+    scoring.score_arrivals(spark, folder, asked, path, checkpoint, files_per_batch=2).awaitTermination()
+    scores = scoring.arrived_scores(spark, path)
+    once = scores.groupBy("pair_id").agg((F.count(F.lit(1)) == 1).alias("scored_once"))
+    return scores.join(once, "pair_id").select("pair_id", "exact", "correct", "scored_once")
 
 
 @check("st3_append_to_store", f"""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from assayer.session import materialise
 from assayer.sources.store import PROMPT_FIELDS, batch_path, store_rows, unseen_prompts
 
 
@@ -43,20 +47,73 @@ def live_accuracy(rows: DataFrame) -> DataFrame:
     )
 
 
-def hourly_accuracy(rows: DataFrame, ts: str, lateness: str = "2 hours") -> DataFrame:
-    """Rows and mean correctness per hour.
+def hourly_sums(rows: DataFrame, ts: str) -> DataFrame:
+    """Per hour, how many rows there are and how many are correct: sums that can be added up."""
+    hour = F.date_trunc("hour", ts).alias("hour")
+    return rows.groupBy(hour).agg(F.count(F.lit(1)).alias("tried"), F.sum(F.col("correct").cast("bigint")).alias("right"))
+
+
+_SUMS = "hour TIMESTAMP, tried BIGINT, `right` BIGINT, stream STRING, batch BIGINT"
+
+
+def publish_hourly(rows: DataFrame, ts: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Add the sums of every batch to the hourly report below ``path``; rows may be late by any time.
 
-    Published in ``update`` mode, every batch holds the hours it has changed, and
-    the state of an hour goes once no row of it can come any more.
+    Nothing waits for a watermark: a late row adds to its hour like any other. A
+    batch is written by its number and the stream by its checkpoint, so a batch
+    that is repeated replaces itself, and several streams may share a report.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        hourly_sums(batch, ts).write.mode("overwrite").parquet(f"{path}/sums/stream={stream}/batch={number}")
+
     return (
-        rows.withWatermark(ts, lateness)
-        .groupBy(F.window(ts, "1 hour").alias("w"))
-        .agg(F.count(F.lit(1)).alias("tried"), F.avg("correct").alias("mean_correct"))
-        .select(F.col("w.start").alias("hour"), "tried", "mean_correct")
+        rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     )
 
 
+def _folded(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``fold_hourly`` wrote last for each stream; null if it never ran."""
+    try:
+        folded = spark.read.schema(_SUMS).parquet(f"{path}/folded")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    last = folded.groupBy("stream").agg(F.max("batch").alias("batch"))
+    return folded.join(F.broadcast(last), ["stream", "batch"])  # one row for each stream
+
+
+def _sums(spark: SparkSession, path: str) -> DataFrame:
+    """Folded sums and those of the batches that came after."""
+    sums, folded = spark.read.schema(_SUMS).parquet(f"{path}/sums"), _folded(spark, path)
+    if folded is None:
+        return sums
+    upto = folded.select("stream", F.col("batch").alias("upto")).distinct()
+    later = sums.join(F.broadcast(upto), "stream", "left").filter("upto IS NULL OR batch > upto").drop("upto")
+    return folded.unionByName(later)
+
+
+def hourly_accuracy(spark: SparkSession, path: str) -> DataFrame:
+    """Rows and mean correctness per hour of all that has been published."""
+    total = _sums(spark, path).groupBy("hour").agg(F.sum("tried").alias("tried"), F.sum("right").alias("right"))
+    return total.select("hour", "tried", (F.col("right") / F.col("tried")).alias("mean_correct"))
+
+
+def fold_hourly(spark: SparkSession, path: str) -> None:
+    """Fold all batches but the last of each stream, which may still be repeated, into one row for each hour.
+
+    Readers skip what is folded. A fold is written under the number of its last
+    batch, so a repeated one replaces itself.
+    """
+    last = spark.read.schema(_SUMS).parquet(f"{path}/sums").groupBy("stream").agg((F.max("batch") - 1).alias("upto"))
+    ready = _sums(spark, path).join(F.broadcast(last), "stream").filter("batch <= upto")
+    folded = ready.groupBy("stream", F.col("upto").alias("batch"), "hour").agg(F.sum("tried").alias("tried"), F.sum("right").alias("right"))
+    stored = materialise(folded)  # what is overwritten may be among what is read
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "batch").parquet(f"{path}/folded")
+
+
 def publish(report: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
     """Write the report of every batch, whole or (``update``) what has changed, to its own folder below ``path``."""
 

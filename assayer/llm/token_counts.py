@@ -27,6 +27,8 @@ from assayer.llm.common import WORD_PATTERN, id_and_text
 
 #: Words whose tokens a Python worker remembers; longer words are encoded each time.
 WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+#: Words whose tokens are remembered with their offsets, for texts in chunks.
+OFFSETS_KEPT = 100_000
 BARRIERS = frozenset(" \t\n\v\f\r0123456789")
 
 #: (first character, id) of each token of a span.
@@ -42,6 +44,7 @@ class WordEncoder:
         self.library.no_padding()
         self.words = re.compile(WORD_PATTERN)
         self.counts: dict[str, int] = {}
+        self.known: dict[str, Tokens] = {}
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Numbers of tokens of many texts; what is new goes to the library in one batch."""
@@ -61,15 +64,17 @@ class WordEncoder:
 
     def tokens(self, text: str) -> Tokens:
         """The tokens of a span with their offsets."""
-        found = list(self.words.finditer(text))
-        out: Tokens = []
-        for at in range(0, len(found), 4096):
-            some = found[at : at + 4096]
-            encodings = self.library.encode_batch([m[0] for m in some], add_special_tokens=False)
-            for match, encoding in zip(some, encodings, strict=True):
-                start = match.start()
-                out += [(start + a, i) for (a, _), i in zip(encoding.offsets, encoding.ids, strict=True)]
-        return out
+        found = [(m.start(), m[0]) for m in self.words.finditer(text)]
+        if len(self.known) > OFFSETS_KEPT:
+            self.known.clear()
+        known, extra = self.known, {}
+        new = list({word for _, word in found if word not in known})
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for word, encoding in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
+                own = [(a, i) for (a, _), i in zip(encoding.offsets, encoding.ids, strict=True)]
+                (known if len(word) <= LONGEST_KEPT else extra)[word] = own
+        return [(start + a, i) for start, word in found for a, i in (known.get(word) or extra.get(word) or ())]
 
 
 def splice_point(text: str, left: Tokens, right: Tokens, start: int, end: int) -> int | None:

@@ -56,3 +56,11 @@ def test_rows(docs, library):
     want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False))) for i, t in rows]
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
     assert count_tokens(docs([]), PATH).collect() == []
+
+
+def test_what_is_remembered_stays_bounded(own, library, monkeypatch):
+    import assayer.llm.token_counts as module
+
+    monkeypatch.setattr(module, "OFFSETS_KEPT", 5)
+    for text in texts(4, 40):
+        assert count_in_chunks(text, own.tokens, 30, 8) == len(library.encode(text, add_special_tokens=False)), text

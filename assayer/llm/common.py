@@ -15,18 +15,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-#: Rows of one Arrow batch between the JVM and Python: texts are large, and a batch is held by both sides at once.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch between the JVM and Python: texts are large, and a batch is held by both sides at once.
+#: A single row may be larger.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, after lowering the session's size of Arrow batches to what texts allow."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    conf, rows, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    held = conf.get(size).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
     return docs
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, null texts as empty ones, whatever other columns there are."""
     return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, pinned
+from assayer.llm.common import id_and_text, pinned, unused
 from assayer.llm.wordhash import NON_ALPHANUMERIC, mix, words_of
 from assayer.operators.ordered import fits_broadcast
 
@@ -217,6 +217,7 @@ def _hits(batch: pa.RecordBatch, used: list[tuple[int, str]], bits: np.ndarray)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that overlap with no benchmark item."""
-    found = contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_found_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_found_id")), "left_anti")
+    """The rows of ``docs``, all columns, that overlap with no benchmark item; all rows of an id go if one of them does."""
+    own = unused(docs, "found_id")
+    found = contaminations(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(own)), "left_anti")

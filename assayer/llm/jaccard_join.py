@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.bitmap import bitmap_of, may_hold
-from assayer.llm.common import attached, id_and_text, pinned, with_class
+from assayer.llm.common import attached, id_and_text, pinned, unused, with_class
 from assayer.llm.components import components
 from assayer.llm.wordhash import mix, windows, words_of
 from assayer.operators.ordered import fits_broadcast
@@ -248,7 +248,8 @@ def linked_components(
     shingles of ``width`` words, or the whole sequence of fewer words. Sets link
     if 100 * intersection >= percent * union. Texts without words, empty and null
     texts have no shingles and link with nothing. component_id is the smallest id
-    reachable by links, itself included. Rows that share an id are one node, with
+    reachable by links, itself included. Ids are integers or texts of integers.
+    Rows that share an id are one node, with
     the links of all their texts; rows without an id link with nothing and have a
     null component. An empty table gives no rows; other columns are not looked at.
     """
@@ -324,7 +325,12 @@ def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component; rows without an id stay."""
+    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+
+    Rows without an id and texts without words stay, and so does every row of an
+    id that stays. An empty table stays empty.
+    """
     found = linked_components(docs, id_col, text_col, percent, width)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    own = unused(docs, "gone_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(own), "left_anti")

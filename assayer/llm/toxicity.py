@@ -42,6 +42,9 @@ NEAR = 5
 WORD = re.compile(r"\S+")
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…&#|*-_"
 _INNER = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
+#: Look-alikes and marks between letters, or letters with dots between them; apostrophes and hyphens hide nothing.
+_HIDDEN = re.compile(r"(?<=[^\W\d_])[0-9@$!*#+_]+(?=[^\W\d_])|\b(?:[^\W\d_]\.){2,}[^\W\d_]\b")
+_MARKS = re.compile(r"[^\w\s]+")
 _REPEATED_MARKS = re.compile(r"[!?.]{2,}")
 _STRETCHED = re.compile(r"(\w)\1\1")
 
@@ -88,6 +91,10 @@ def entries_of(text: str) -> set[str]:
     return out
 
 
+#: What is known of most words: nothing.
+NOTHING = (0.0, 0.0, 0.0, False, False, False)
+
+
 class Describer:
     """Features of one text after another; what is known of a word is remembered."""
 
@@ -104,8 +111,10 @@ class Describer:
         plain = undone(word)
         as_word, as_stem = self.words.get(word, 0.0), self._stem(word)
         hidden = 0.0 if plain == word or as_word else max(self.words.get(plain, 0.0), self._stem(plain))
-        mixed = plain != word and any(c.isalpha() for c in word)
+        mixed = bool(_HIDDEN.search(word))
         found = (as_word, as_stem, hidden, word in SECOND_PERSON, mixed, bool(_STRETCHED.search(word)))
+        if found == NOTHING:
+            found = NOTHING
         if len(self.known) < self.kept and len(raw) <= 40:
             self.known[raw] = found
         return found
@@ -118,7 +127,7 @@ class Describer:
         strongest, hits, persons = 0.0, [], []
         for at, raw in enumerate(raws):
             found = known(raw) or look_up(raw)
-            if found == (0.0, 0.0, 0.0, False, False, False):
+            if found is NOTHING:
                 continue
             weight = max(found[:3])
             if weight:
@@ -136,7 +145,7 @@ class Describer:
         shouted = sum(1 for raw in raws if len(raw) > 2 and raw.isupper())
         return [
             word / n, stem / n, hidden / n, strongest, math.log1p(len(hits)), len(persons) / n, _near(hits, persons) / n,
-            upper / chars, shouted / n, text.count("!") / n, text.count("?") / n, (chars - sum(map(len, raws))) / chars,
+            upper / chars, shouted / n, text.count("!") / n, text.count("?") / n, sum(map(len, _MARKS.findall(text))) / chars,
             len(_REPEATED_MARKS.findall(text)) / n, mixed / n, stretched / n, math.log1p(len(raws)),
         ]
 
@@ -152,21 +161,19 @@ def _near(hits: list[int], persons: list[int]) -> int:
 
 
 def described(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """struct ``row`` of all columns of ``docs`` and array ``features``."""
+    """struct ``row`` of all columns of ``docs`` and array ``features``; only texts go through Python."""
     words, stems = model.words, model.stems
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = in_small_batches(docs).select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Describer(words, stems)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                found = [own.features(text) for text in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.list_(pa.float64()))], ["row", "features"])
+        for texts in batches:
+            yield pa.array([own.features(text) for text in texts.to_pylist()], pa.list_(pa.float64()))
 
-    kept = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(features, f"row {kept}, features array<double>")
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    return in_small_batches(docs).select(row, features(text).alias("features"))
 
 
 def _share(id_column: Column, seed: int) -> Column:
@@ -204,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trees = GBTClassifier(maxIter=limits.trees, maxDepth=limits.depth, stepSize=0.2, minInstancesPerNode=10, seed=7)
     model.trees = trees.fit(grown)
     margin = vector_to_array(F.col("probability"))[1]
-    scored = model.trees.transform(held).select("label", margin.alias("margin"))
-    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label").fit(scored)
+    scored = model.trees.transform(held).groupBy(margin.alias("margin"), "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    isotonic = IsotonicRegression(featuresCol="margin", labelCol="label", weightCol="weight").fit(scored)
     model.bounds, model.values = isotonic.boundaries.toArray().tolist(), isotonic.predictions.toArray().tolist()
     return model
 

@@ -100,3 +100,11 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 102), (101, 103)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 103: 100}
+
+
+def test_ids_as_texts_and_clashing_names(spark):
+    rows = [("1", "a b c d e f g h"), ("2", "a b c d e f g h"), ("30", "other words stand in this one")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id string, text string, gone_id int, GONE_ID_ int")
+    from assayer.llm.jaccard_join import one_of_each_component
+
+    assert sorted(r.doc_id for r in one_of_each_component(frame).collect()) == ["1", "30"]

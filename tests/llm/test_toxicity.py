@@ -78,3 +78,7 @@ def test_features_by_hand():
     assert found["near_second_person"] == 3 / 7 and found["shouted_rate"] == 1 / 7
     assert found["obfuscation_rate"] == 2 / 7 and found["stretched_rate"] == 1 / 7
     assert found["exclamation_rate"] == found["question_rate"] == 1 / 7
+    assert own.features("a,b;c ...")[t.FEATURES.index("punctuation_rate")] == 5 / 9
+    assert own.features("plain words here")[t.FEATURES.index("punctuation_rate")] == 0
+    hidden = t.FEATURES.index("obfuscation_rate")
+    assert own.features("don't state-of-the-art 1st 2nd it's")[hidden] == 0 and own.features("sh1t s*x f@$t")[hidden] == 1

@@ -1,8 +1,11 @@
 """Comparing two large result frames with known schemas.
 
-The common cases stay on native typed columns: one aggregation pass per frame
-and one shuffle keyed by row content. Only order-sensitive or tolerance cases
-fall back to the long form of ``score``, which gives the same verdicts.
+All work stays on native typed columns: one aggregation pass per frame and one
+shuffle keyed by row content settle the common cases. Where floating columns differ
+a little, columns are paired from the same profiles, both results are cut into
+slices by their sorted content, and rows of equal rank are compared. Only a
+question that asks for an order goes through the long form of ``score``, which
+gives the same verdicts; of contested columns it sees these alone.
 """
 
 from __future__ import annotations
@@ -12,18 +15,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell_parts, content_sums, digest, tag_of
+from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell_parts, content_sums, digest, is_close, tag_of
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import long_rows, outcome_row, unique_labels
 from assayer.operators.ordered import ranked
-from assayer.operators.score import (
-    column_profiles,
-    comparison_plan,
-    planned_rows,
-    result_heads,
-    score_alternatives,
-    subset_matches,
-)
+from assayer.operators.score import comparison_plan, result_heads, score_alternatives, tolerant_matches
 from assayer.session import in_pool, materialise
 
 
@@ -119,18 +115,6 @@ def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: l
     return seen.agg(F.coalesce(F.bool_and(F.col("in_gold") & F.col("in_gen")), F.lit(True)).alias("same"))
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """Deal a frame that lies in fewer partitions than there are cores over all of them.
-
-    Only inputs too small to have been split are moved, and then kept for the
-    several passes of a comparison; large ones are read in place each time.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() > cores:
-        return df
-    return materialise(df.repartition(cores, *df.columns))
-
-
 def frame_profile(df: DataFrame, pos: str | None = None) -> DataFrame:
     """One row: the row count and, per column, sums that identify its values."""
     columns = [c for c in df.columns if c != pos]
@@ -178,7 +162,6 @@ def compare_frames(
         long, plan = _long_form(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
         return score_alternatives(long, plan, skip_exact=False).select("exact", "subset")
     gold_tags, gen_tags = _tags(gold), _tags(gen)
-    gold, gen = widened(gold), widened(gen)
     same_width = len(gold_cols) == len(gen_cols)
     passes = [frame_profile(gold, pos), frame_profile(gen, pos)]
     if same_width:
@@ -202,30 +185,98 @@ def compare_frames(
         )
     if g.n == 0 or g.n != n.n:
         return verdict(exact, False)
-    taken: list[int] = []
-    open_floats = False
-    for i, name in enumerate(gold_cols):
-        free = [j for j in range(len(gen_cols)) if j not in taken]
-        sure = [j for j in free if _sums(g, "m", i) == _sums(n, "m", j)]
-        floats = [j for j in free if gold_tags[name] == gen_tags[gen_cols[j]] == "f" and _may_be_close(g, i, n, j)]
-        # A column that may match within tolerance comes before the sure one.
-        open_floats = open_floats or any(j not in sure and (not sure or j < sure[0]) for j in floats)
-        if not sure:
-            break
-        taken.append(sure[0])
-    if not open_floats and len(taken) < len(gold_cols):
+    edges = [
+        (i, j, _sums(g, "m", i) == _sums(n, "m", j))
+        for i, a in enumerate(gold_cols)
+        for j, b in enumerate(gen_cols)
+        if _sums(g, "m", i) == _sums(n, "m", j) or (gold_tags[a] == gen_tags[b] == "f" and _may_be_close(g, i, n, j))
+    ]
+    if len({i for i, _, _ in edges}) < len(gold_cols):
         return verdict(exact, False)
-    if not open_floats:
-        matched = [gen_cols[j] for j in taken]
-        aligned = same_width and dict(zip(sorted(gold_cols), sorted(gen_cols))) == dict(zip(gold_cols, matched))
-        if (aligned and exact and sets[0].same) or same_rows(gold, gen, gold_cols, matched).first().same:
-            return verdict(exact, True)
-        if not any(gold_tags[c] == gen_tags[gen_cols[j]] == "f" for c, j in zip(gold_cols, taken)):
-            return verdict(exact, False)
-    long, plan = _long_form(gold, gen, category, question, gold_sql, gen_sql, pos, order_parse)
-    rows = planned_rows(long, plan)
-    profiles = materialise(column_profiles(rows, plan))
-    return verdict(exact, not subset_matches(long, rows, profiles, plan).isEmpty())
+    # Where every column has one possible partner, the rows decide on the columns too.
+    forced = len(edges) == len({i for i, _, _ in edges}) == len({j for _, j, _ in edges})
+    unsure = [(i, j) for i, j, sure in edges if not sure]
+    kept = set(edges)
+    if unsure and not forced:
+        close = _close_columns(gold, gen, [(gold_cols[i], gen_cols[j]) for i, j in unsure])
+        kept = {(i, j, sure) for i, j, sure in edges if sure or (gold_cols[i], gen_cols[j]) in close}
+    taken = _assigned([sorted(j for k, j, _ in kept if k == i) for i in range(len(gold_cols))])
+    if taken is None:
+        return verdict(exact, False)
+    matched = {a: gen_cols[j] for a, j in zip(gold_cols, taken)}
+    order = sorted(gold_cols)
+    aligned = same_width and dict(zip(order, sorted(gen_cols))) == matched
+    if aligned and exact and sets[0].same:
+        return verdict(exact, True)
+    partners = [matched[a] for a in order]
+    floating = [gold_tags[a] == gen_tags[b] == "f" for a, b in zip(order, partners)]
+    if not any(floating):
+        return verdict(exact, same_rows(gold, gen, order, partners).first().same)
+    if not aligned and not unsure and same_rows(gold, gen, order, partners).first().same:
+        return verdict(exact, True)
+    distinct, near = close_rows(gold, gen, order, partners, floating)
+    if near and unsure and forced and distinct < g.n:
+        # Rows that repeat hide how often a value occurs, so columns taken on trust are tested after all.
+        trusted = [(gold_cols[i], gen_cols[j]) for i, j in unsure]
+        near = _close_columns(gold, gen, trusted) == set(trusted)
+    return verdict(exact, near)
+
+
+def _assigned(options: list[list[int]]) -> list[int] | None:
+    """Gold columns in order take the first generated column still free."""
+    taken: list[int] = []
+    for wanted in options:
+        free = [j for j in wanted if j not in taken]
+        if not free:
+            return None
+        taken.append(free[0])
+    return taken
+
+
+def _close_columns(gold: DataFrame, gen: DataFrame, pairs: list[tuple[str, str]]) -> set[tuple[str, str]]:
+    """Which of the pairs of floating columns agree within tolerance once sorted; other columns are not read."""
+    sides = []
+    for df, side, cols in ((gold, "gold", [a for a, _ in pairs]), (gen, "gen", [b for _, b in pairs])):
+        alt = 0 if side == "gold" else None
+        rows = long_rows(df.select(*cols), F.lit(0), side, F.monotonically_increasing_id(), cols, alt)
+        sides.append(rows.select("pair_id", F.lit(0).alias("alt"), "side", "pos", "vals"))
+    numbers = range(len(pairs))
+    asked = gold.sparkSession.createDataFrame([(0, 0, i, i) for i in numbers], "pair_id bigint, alt int, g_col int, n_col int")
+    found = tolerant_matches(sides[0].unionByName(sides[1]), asked)
+    return {pairs[row.g_col] for row in found.collect()}  # columns, not rows
+
+
+def close_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: list[str], floating: list[bool]) -> tuple[int, bool]:
+    """Number of distinct rows of ``gold`` in the paired columns, and whether both sides agree row by row once sorted.
+
+    Floating columns may differ within tolerance. Both sides are cut into range
+    slices; the rank of a row is what lies before its slice and its place in it.
+    """
+
+    def side(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        cells, _ = _with_parts(df, cols, [])
+        return cells.distinct().withColumn("side", F.lit(name))
+
+    both = side(gold, gold_cols, "gold").unionByName(side(gen, gen_cols, "gen"), allowMissingColumns=True)
+    parts = [[c for c in (f"{letter}{i}" for letter in "kvt") if c in both.columns] for i in range(len(gold_cols))]
+    flat = [c for cell in parts for c in cell]
+    placed = ranked(both, ["side"], flat)
+
+    def rows(name: str, prefix: str) -> DataFrame:
+        return placed.filter(F.col("side") == name).select("rank", F.struct(*flat).alias(prefix))
+
+    same = F.lit(True)
+    for i, cell in enumerate(parts):
+        equal = F.lit(True)
+        for c in cell:
+            equal = equal & F.col(f"g.{c}").eqNullSafe(F.col(f"n.{c}"))
+        if floating[i]:
+            equal = equal | F.coalesce(is_close(F.col(f"g.v{i}"), F.col(f"n.v{i}")), F.lit(False))
+        same = same & equal
+    facing = rows("gold", "g").join(rows("gen", "n"), "rank", "full")
+    missing = F.col("g").isNull() | F.col("n").isNull()
+    found = facing.agg(F.count("g").alias("distinct"), F.coalesce(F.bool_and(~missing & same), F.lit(True)).alias("near")).first()
+    return found.distinct, found.near
 
 
 def _may_be_close(g, i: int, n, j: int) -> bool:

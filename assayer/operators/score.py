@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.cells import (
@@ -271,20 +271,14 @@ def column_profiles(rows: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def _facing_columns(profiles: DataFrame, keep: list[str]) -> DataFrame:
-    """Every gold column beside every generated one of its pair; columns, not rows."""
+def _columns_of(profiles: DataFrame, side: str, prefix: str, keep: list[str]) -> DataFrame:
+    """The column profiles of one side with prefixed names; the pair and alternative keep theirs."""
+    return profiles.filter(F.col("side") == side).select(*PAIR, *[F.col(c).alias(f"{prefix}_{c}") for c in ["col", "n", "missing", "tag", *keep]])
 
-    def side(name: str, prefix: str) -> DataFrame:
-        named = ", ".join(f"{c} AS {prefix}_{c}" for c in ["col", "n", "missing", "tag", *keep])
-        return profiles.filter(f"side = '{name}'").select(*PAIR, F.expr(f"named_struct({_fields(named)})").alias(prefix))
 
-    return side("gold", "g").join(side("gen", "n"), PAIR).select(*PAIR, "g.*", "n.*")
-
-
-def _fields(named: str) -> str:
-    """``a AS x, b AS y`` as the arguments of a named struct."""
-    pairs = [item.split(" AS ") for item in named.split(", ")]
-    return ", ".join(f"'{alias}', {value}" for value, alias in pairs)
+def _joined_columns(gold: DataFrame, gen: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of both sides that agree in the keys; the pair alone is never the key."""
+    return gold.join(gen.withColumnsRenamed({f"n_{c}": f"g_{c}" for c in keys}), [*PAIR, *[f"g_{c}" for c in keys]])
 
 
 def _all_equal(names: list[str]) -> Column:
@@ -294,7 +288,7 @@ def _all_equal(names: list[str]) -> Column:
 def positional_matches(profiles: DataFrame) -> DataFrame:
     """(pair, alternative) whose columns agree place by place, names ignored."""
     places = [c for c in _SUMS if c.startswith("p")]
-    facing = _facing_columns(profiles, places).filter("g_col = n_col")
+    facing = _joined_columns(_columns_of(profiles, "gold", "g", places), _columns_of(profiles, "gen", "n", places), ["col"])
 
     def sound(side: str) -> Column:
         # Missing values of some kinds are unequal to themselves here.
@@ -304,10 +298,40 @@ def positional_matches(profiles: DataFrame) -> DataFrame:
     return facing.groupBy(*PAIR).agg(F.bool_and(same).alias("same_places"))
 
 
+def _band(value: Column) -> Column:
+    """The band of a number; numbers within tolerance lie in the same or in neighbouring bands."""
+    width, bend = 4 * RTOL, ATOL / RTOL
+    return F.floor(F.signum(value) * F.asinh(F.least(F.abs(value) / F.lit(bend), F.lit(1e150))) / F.lit(width))
+
+
 def column_candidates(profiles: DataFrame) -> DataFrame:
-    """Column pairs that match outright (``sure``) or may match within tolerance."""
+    """Column pairs that match outright (``sure``) or may match within tolerance.
+
+    Sure matches are joined by their counts and sums. In a set of equal columns
+    none of which is floating, the first gold one only needs the first generated
+    one, the second the second, and so on. Floating columns are joined by the bands of
+    their least and largest value: sorted columns that agree place by place agree
+    in those. Only what shares them is looked at more closely.
+    """
     multiset = [c for c in _SUMS if c.startswith("m")]
-    sure = _all_equal(["n", "missing", *multiset])
+    content, pair_of_columns = ["n", "missing", *multiset], [*PAIR, "g_col", "n_col"]
+    equals = Window.partitionBy(*PAIR, *content)
+    known = profiles.withColumns(
+        {
+            "loose": F.max(F.col("tag") == "f").over(equals),
+            "place": F.row_number().over(Window.partitionBy(*PAIR, "side", *content).orderBy("col")),
+        }
+    )
+    keep = ["lo", "hi", "total", "mass", *multiset, "loose", "place"]
+    gold, gen = _columns_of(known, "gold", "g", keep), _columns_of(known, "gen", "n", keep)
+    exact = [f"{{0}}_{c}" for c in ["col", *content, "place"]]
+    sides = [(side.filter(f"{p}_loose"), side.filter(f"NOT {p}_loose")) for side, p in ((gold, "g"), (gen, "n"))]
+    loose, rigid = (
+        [side[i].select(*PAIR, *[c.format(p) for c in exact]) for side, p in zip(sides, "gn")] for i in range(2)
+    )
+    sure = _joined_columns(*rigid, [*content, "place"]).select(*pair_of_columns).unionByName(
+        _joined_columns(*loose, content).select(*pair_of_columns)
+    )
 
     # Necessary conditions with room for rounding; they only save work.
     reach = f"2 * {RTOL}D * greatest(abs(g_lo), abs(g_hi), abs(n_lo), abs(n_hi)) + 2 * {ATOL}D"
@@ -317,16 +341,26 @@ def column_candidates(profiles: DataFrame) -> DataFrame:
         finite = f"abs({a}) < double('inf') AND abs({b}) < double('inf')"
         return f"coalesce(NOT ({finite}) OR abs({a} - {b}) <= {slack}, true)"
 
+    unequal = " OR ".join(f"g_{c} <> n_{c}" for c in multiset)
     maybe = F.expr(
-        "g_tag = 'f' AND n_tag = 'f' AND g_n = n_n AND g_missing = n_missing"
-        f" AND {near('g_lo', 'n_lo', reach)} AND {near('g_hi', 'n_hi', reach)} AND {near('g_total', 'n_total', total_reach)}"
-    )
-    return (
-        _facing_columns(profiles, ["lo", "hi", "total", "mass", *multiset])
-        .filter(sure | maybe)
-        .select(*PAIR, "g_col", "n_col", sure.alias("sure"))
+        f"({unequal}) AND {near('g_lo', 'n_lo', reach)} AND {near('g_hi', 'n_hi', reach)} AND {near('g_total', 'n_total', total_reach)}"
     )
 
+    def banded(side: DataFrame, prefix: str) -> DataFrame:
+        # Columns without values, and with values that are not finite, have bands of their own.
+        def band(c: str) -> Column:
+            value = F.col(f"{prefix}_{c}")
+            return F.when(value.isNull(), F.lit(-(1 << 62))).when(F.abs(value) < float("inf"), _band(value)).otherwise(F.lit(1 << 62))
+
+        return side.filter(F.col(f"{prefix}_tag") == "f").withColumns({f"{prefix}_band_lo": band("lo"), f"{prefix}_band_hi": band("hi")})
+
+    around = F.sequence(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint"))
+    spread = banded(gold, "g")
+    for c in ("band_lo", "band_hi"):
+        spread = spread.withColumn("_step", F.explode(around)).withColumn(f"g_{c}", F.col(f"g_{c}") + F.col("_step")).drop("_step")
+    open_ = _joined_columns(spread, banded(gen, "n"), ["n", "missing", "band_lo", "band_hi"]).withColumn("n_n", F.col("g_n"))
+    return sure.withColumn("sure", F.lit(True)).unionByName(open_.filter(maybe).select(*pair_of_columns, F.lit(False).alias("sure")))
+
 
 def upper_limit(b: Column) -> Column:
     """The largest number close to ``b``."""

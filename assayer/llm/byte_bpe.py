@@ -295,3 +295,25 @@ def decode(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
 
     rows = encoded_docs.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(decoded, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and the text decoded from them, as ``decode`` of ``encode`` gives it, in one pass of Python.
+
+    Two passes would need two Python workers for each task, each with tables of its own.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = encoder(ranks_path, pattern), decoder(ranks_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                with uncollected():
+                    lists = [there.encoded(text) for text in some.column(1).to_pylist()]
+                    texts = [back.decode(np.frombuffer(ids, np.int32).tolist()) for ids in lists]
+                ends = np.cumsum([0, *map(len, lists)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    rows = id_and_text(docs, id_col, text_col)
+    return rows.mapInArrow(both, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

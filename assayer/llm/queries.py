@@ -42,8 +42,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, pattern)
-    return byte_bpe.decode(encoded, ranks).select(
+    return byte_bpe.encode_and_decode(documents(spark, sf_dir), ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -59,3 +59,12 @@ def test_query_rows(docs):
     lib = library(read_ranks(PATHS[0]))
     assert sorted(((r.doc_id, r.ids, r.text) for r in got), key=str) == sorted(((i, lib.encode_ordinary(t or ""), t or "") for i, t in rows), key=str)
     assert encode(docs([]), PATHS[0], PATTERN).collect() == []
+
+
+def test_one_pass_gives_the_same(docs):
+    from assayer.llm.byte_bpe import decode, encode, encode_and_decode
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    frame = docs([(1, "Hello wörld 日本 😀"), (2, None), (2, ""), (None, "a" * 300), (4, "x\u0000y\r\n")])
+    key = lambda r: (r.doc_id or 0, r.text)
+    assert sorted(encode_and_decode(frame, path, pattern).collect(), key=key) == sorted(decode(encode(frame, path, pattern), path).collect(), key=key)

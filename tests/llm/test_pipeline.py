@@ -79,5 +79,18 @@ def test_run(spark, stages):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry_point.queries())
+
+
+def test_odd_rows_and_names_in_every_stage(spark, tmp_path, docs):
+    rows = [(1, None), (2, ""), (3, "plain words that stand here for themselves"), (3, "plain words that stand here for themselves"), (None, "a text without an id"), (5, "word " * 20_000)]
+    for given, left in ((rows, {2, 3, None, 5}), ([], set())):
+        frame = docs(given)
+        for at, (name, stage) in enumerate(p.STAGES):
+            path = f"{tmp_path}/{len(given)}-{at}"
+            stage(spark, frame, SF_DIR).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert after.columns == frame.columns or name == "byte_bpe"
+            frame = after
+        assert sorted((r.doc_id or 0 for r in frame.collect())) == sorted(i or 0 for i in left)

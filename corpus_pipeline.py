@@ -4,6 +4,11 @@ Toxic documents go, of equal texts the largest id stays, of near copies (shingle
 of five words, similarity of at least 0.8) the smallest, documents with benchmark
 passages go, and the rest is encoded. Every stage reads all that the stage before
 it kept, as a stored table.
+
+Null texts count as empty: all empty texts are equal, so one of them stays, and it
+is linked with nothing. Of repeated rows one stays. Rows without an id are scored,
+deduplicated by their texts and encoded like others. Extra columns of any name go
+along until the last stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 

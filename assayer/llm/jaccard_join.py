@@ -5,7 +5,7 @@ bits in which two sketches differ is at most the size of the symmetric differenc
 of the sets. Two sets of a and b shingles that link differ in at most
 ``most_different(a, b)`` shingles, so in at most as many of the P segments of
 their sketches. Sizes fall into bands, each with one P beyond that number; two
-linked sets of a band agree in a whole segment, and the join on segments finds
+linked sets of a band agree in two whole segments, and the join on segments finds
 them (a sketch has 65,536 bits in each segment and is stored as the hash of the
 bits that are set). Candidates also have to agree well enough in a second sketch
 of 512 bits, and are then verified on the shingle sets.
@@ -36,6 +36,8 @@ PORTION = 256
 SKETCH_WORDS = 8
 #: Of the sketches that are compared before whole sets are: enough for sets of some 20,000 shingles.
 WIDE_BITS = 8192
+#: Segments, empty unnamed ones aside, that two linked sets share in some band at least.
+AGREEING = 2
 
 
 class Rule:
@@ -60,7 +62,7 @@ class Rule:
         found, band, segments = [], 0, 1
         while True:
             spare = segments // 25
-            served = segments - spare - 1
+            served = segments - spare - AGREEING
             if served >= lo:
                 found.append((band, segments, spare))
             if served >= hi:
@@ -90,8 +92,9 @@ def segment_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
 
     Bits that are flipped twice cancel, in the sketch and in the xor. Empty
     segments are only named if there are more than the band has to spare: P
-    segments, at most P - spare - 1 of them different, leave spare + 1 equal ones,
-    so a set with no more than ``spare`` empty ones shares one that isn't empty.
+    segments, at most P - spare - AGREEING of them different, leave spare + AGREEING
+    equal ones, so a set with no more than ``spare`` empty ones shares AGREEING that
+    aren't empty.
     """
     out = []
     place = shingles & np.uint64(0xFFFF)
@@ -309,7 +312,12 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that share a segment, but no component, and may link: texts outside the segment's first component with all others."""
+    """Pairs that share AGREEING segments, but no component, and may link.
+
+    In each segment texts outside its first component meet all others, so a pair of
+    two components meets once in every segment it shares. Linked sets share enough;
+    texts that only have a passage in common rarely do.
+    """
     small = pinned(labels, "jaccard-labels")
     labelled = segments.join(F.broadcast(small) if fits_broadcast(small) else small, "doc_id", "left").select(
         "key", "doc_id", F.coalesce("label", "doc_id").alias("label")
@@ -321,7 +329,8 @@ def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule
     fits = may_link(rule, F.col("l_n_shingles"), F.col("n_shingles"), F.col("l_sketch"), F.col("sketch"))
     once = (F.col("label") == F.col("main")) | (F.col("l_doc_id") < F.col("doc_id"))
     met = left.join(held, (left["key"] == held["key"]) & (F.col("l_label") != F.col("label")) & once & fits)
-    return met.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
+    pairs = met.groupBy(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= AGREEING).select("a", "b")
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:

@@ -41,14 +41,17 @@ def _schema_text(spark, sf_dir, names):
 
 
 @check("s7_empty_database", """
-SELECT 'customer' AS name, count(*) AS n_columns, (SELECT count(*) FROM customer WHERE false) AS n_rows FROM (DESCRIBE customer)
-UNION ALL SELECT 'orders', count(*), 0 FROM (DESCRIBE orders)
+SELECT c_custkey, c_custkey % 3 > 0 AS valid, CASE WHEN c_custkey % 3 = 0 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' ELSE '' END AS err FROM customer
 """)
 def empty_tables(spark, sf_dir):
+    """A statement about every customer, checked in a database that is only a schema."""
     ddl = _schema_text(spark, sf_dir, ["customer", "orders"])
-    own = schema_session(spark, ddl)
-    counted = [(n, len(own.table(n).columns), own.table(n).count()) for n in ("customer", "orders")]
-    return spark.createDataFrame(counted, "name string, n_columns bigint, n_rows bigint")
+    asked = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id",
+        "concat('SELECT sum(', CASE c_custkey % 3 WHEN 0 THEN 'o_price' ELSE 'o_totalprice' END, ') FROM customer JOIN orders ON c_custkey = o_custkey',"
+        " ' WHERE c_name = \\'', c_name, '\\' AND c_mktsegment <> \\'', c_mktsegment, '\\'', CASE c_custkey % 3 WHEN 2 THEN ' GROUP BY c_nationkey' ELSE '' END) AS sql",
+    )
+    return execute.validate_sql(spark, asked, ddl=ddl).withColumnRenamed("id", "c_custkey")
 
 
 @check("x1_time_limit", """
@@ -100,14 +103,21 @@ def validity(spark, sf_dir):
 
 
 @check("x3_validity_on_schema", """
-SELECT id::BIGINT AS id, id IN (0, 1, 5) AS valid,
-       CASE id WHEN 2 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN 3 THEN 'TABLE_OR_VIEW_NOT_FOUND'
-               WHEN 4 THEN 'PARSE_SYNTAX_ERROR' ELSE '' END AS err
-FROM generate_series(0, 5) t(id)
+SELECT o_orderkey AS id, o_orderkey % 5 < 2 AS valid,
+       CASE o_orderkey % 5 WHEN 2 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN 3 THEN 'TABLE_OR_VIEW_NOT_FOUND'
+                           WHEN 4 THEN 'PARSE_SYNTAX_ERROR' ELSE '' END AS err
+FROM orders
 """)
 def validity_on_schema(spark, sf_dir):
+    """A statement of its own for every order."""
     ddl = _schema_text(spark, sf_dir, ["customer", "orders", "lineitem"])
-    return execute.validate_sql(spark, _numbered(spark), ddl=ddl)
+    asked = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id",
+        "concat(CASE o_orderkey % 5 WHEN 0 THEN 'SELECT o_orderdate FROM orders' WHEN 1 THEN 'SELECT count(*) FROM orders JOIN lineitem ON o_orderkey = l_orderkey'"
+        " WHEN 2 THEN 'SELECT nothing_like_this FROM orders' WHEN 3 THEN 'SELECT * FROM no_such_table' ELSE 'SELEC o_orderkey FROM orders' END,"
+        " ' WHERE o_orderkey = ', o_orderkey, ' AND o_orderpriority = \\'', o_orderpriority, '\\'') AS sql",
+    )
+    return execute.validate_sql(spark, asked, ddl=ddl)
 
 
 @check("x4_pool_in_order", """

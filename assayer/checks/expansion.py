@@ -111,6 +111,22 @@ def group_by_slot(spark, sf_dir):
     )
 
 
+# Seventy options: the first thousand alternatives have one or two columns.
+@check("q3_first_alternatives", """
+WITH o AS (SELECT i, j, concat('c', i, CASE WHEN j < 70 THEN concat(', c', j) ELSE '' END) AS cols
+           FROM generate_series(0, 69) a(i), generate_series(1, 70) b(j) WHERE j > i),
+r AS (SELECT cols, row_number() OVER (ORDER BY j < 70, i, j) - 1 AS alt FROM o)
+SELECT n_nationkey, alt, concat('SELECT ', cols, ' FROM ', n_name, ' GROUP BY ', cols) AS sql
+FROM nation, r WHERE alt < 1000
+""")
+def first_alternatives(spark, sf_dir):
+    options = F.lit(",".join(f"c{i}" for i in range(70)))
+    texts = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.concat(F.lit("SELECT {"), options, F.lit("} FROM "), "n_name", F.lit(" GROUP BY {}; SELECT 1")).alias("query")
+    )
+    return expand.expand_gold(texts, first=1000).select("n_nationkey", F.col("alt").cast("bigint").alias("alt"), "sql")
+
+
 @check("q5_escape_percent", r"""
 WITH t AS (SELECT c_custkey, concat('SELECT 100 % 7, c_name FROM customer WHERE c_name ',
        CASE c_custkey % 4 WHEN 0 THEN 'LIKE' WHEN 1 THEN 'ilike' WHEN 2 THEN 'like' ELSE '=' END, ' ''%', c_mktsegment, '%''',

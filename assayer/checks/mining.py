@@ -132,6 +132,23 @@ def feature_groups(spark, sf_dir):
     return groups.withColumn("mean_correct", F.round("mean_correct", 9))
 
 
+_NAMES = ", ".join(f"'{n}'" for n in _SUMMED)
+_PRESENT = " + ".join(f"CASE WHEN {n} > 0 THEN {1 << i} ELSE 0 END" for i, n in enumerate(_SUMMED))
+
+
+@check("e11_failing_together", _WITH + "," + _FEATURES + f"""
+, p AS (SELECT {_PRESENT} AS has, count(*) FILTER (correct = 0) AS wrong, count(*) FILTER (correct = 1) AS good FROM f GROUP BY 1),
+m AS (SELECT unnest(generate_series(1, {(1 << len(_SUMMED)) - 1})) AS mask),
+t AS (SELECT mask, sum(wrong)::BIGINT AS n_wrong, sum(good)::BIGINT AS n_right FROM m JOIN p ON has & mask = mask GROUP BY mask HAVING sum(wrong) >= 20),
+a AS (SELECT sum(wrong) AS w, sum(wrong + good) AS n FROM p)
+SELECT array_to_string(list_filter([{_NAMES}], lambda x: (mask >> (list_position([{_NAMES}], x) - 1)) % 2 = 1), ' ') AS features,
+       n_wrong, n_right, round(n_wrong / w, 9) AS support, round(n_wrong / (n_wrong + n_right) / (w / n), 9) AS lift FROM t, a
+""")
+def failing_together(spark, sf_dir):
+    found = errors.failing_together(errors.feature_rows(runs(spark, sf_dir)))
+    return found.select(F.array_join("features", " ").alias("features"), "n_wrong", "n_right", F.round("support", 9).alias("support"), F.round("lift", 9).alias("lift"))
+
+
 @check("e12_summary_record", f"""
 WITH r AS ({RUNS_DUCK}), c AS (SELECT query_category, avg(correct) AS rate FROM r WHERE query_category IS NOT NULL GROUP BY 1)
 SELECT string_agg(concat(query_category, '=', printf('%.6f', rate)), ';' ORDER BY rate, query_category) AS categories,

@@ -57,6 +57,39 @@ def tokens(sql: Column) -> Column:
     return F.transform(spoken, described)
 
 
+#: Blanks and comments between two tokens.
+GAP = r"(?:\s|--[^\n]*+|/\*(?s:.*?)\*/)++"
+
+# What a literal may stand behind without deciding how a statement is analysed.
+COMPARISONS = ["=", "<", ">", "LIKE", "ILIKE", "BETWEEN", "AND", "OR"]
+
+
+def shape(sql: Column) -> Column:
+    """The statement with compared literals turned into typed slots, comments and line breaks into blanks.
+
+    Statements of one shape are valid in a schema or aren't for the same reason. Only
+    strings without escapes and whole numbers of up to nine digits become slots, and
+    only right behind a comparison: ordinals, limits, formats, arguments, types and
+    quoted names stay, and so does which marks touch each other.
+    """
+
+    def short(text: Column) -> Column:
+        return F.when(text.rlike(r"\A(?:\s|--|/\*)"), " ").otherwise(text)
+
+    def slotted(cut: Column) -> Column:
+        def slot(text: Column, i: Column) -> Column:
+            at = F.when(F.get(cut, i - 1) == " ", i - 2).otherwise(i - 1)
+            before, further = F.upper(F.get(cut, at)), F.coalesce(F.get(cut, at - 1), F.lit(""))
+            # Behind => and -> stands an argument or a field.
+            compared = before.isin(COMPARISONS) & ~((before == ">") & further.isin("=", "-", ">"))
+            kind = F.when(text.rlike(r"\A'[^\\]*'\z"), "':string'").when(text.rlike(r"\A[0-9]{1,9}\z"), "':number'")
+            return F.when(F.coalesce(compared, F.lit(False)), F.coalesce(kind, text)).otherwise(text)
+
+        return F.array_join(F.transform(cut, slot), "")
+
+    return let(F.transform(F.regexp_extract_all(F.trim(sql), F.lit(f"{GAP}|{TOKEN}"), F.lit(0)), short), slotted)
+
+
 def _plain(text: Column) -> Column:
     """A name without its quotes; a quoted path names its last part."""
     inner = F.substring(text, F.lit(2), F.length(text) - 2)

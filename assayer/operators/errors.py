@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.metrics import category_map
-from assayer.operators.ordered import ranked, spread_join
+from assayer.operators.ordered import attach, ranked, spread_join
 from assayer.operators.outcome import QUERY_EXECUTION_ERROR
+from assayer.session import materialise
 
 QUESTION_KEYS = ["db_name", "question"]
 
@@ -122,6 +125,49 @@ def feature_groups(features: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def failing_together(features: DataFrame, drop: list[str] = UNSUMMED_FEATURES, least: int = 20, most: int | None = None) -> DataFrame:
+    """Sets of features that at least ``least`` wrong rows share, found level by level.
+
+    A row has a feature if its value is above 0. Columns: features (names in the
+    order of the columns), n_wrong, n_right, support (the part of all wrong rows that
+    has the set) and lift (how much more often rows with the set are wrong than all
+    rows). Rows without a label count as neither. ``most`` bounds the size of a set.
+
+    Rows with the same features become one row with two counts, so every level only
+    reads distinct rows of features and the frequent sets each of them holds: a set
+    grows by one later feature of that row at a time, and is dropped with all that
+    grows out of it once too few wrong rows have it.
+    """
+    names = [n for n in _names(features) if n not in drop]
+    present = F.filter(F.array(*[F.when(F.col(f"`{n}`") > 0, F.lit(i)) for i, n in enumerate(names)]), lambda i: i.isNotNull())
+    is_wrong, is_right = [F.count(F.when(F.col("correct") == v, 1)) for v in (0, 1)]
+    rows = features.select(present.alias("has"), "correct").groupBy("has").agg(is_wrong.alias("wrong"), is_right.alias("right"))
+    rows = materialise(rows)
+    all_wrong, all_right = rows.agg(F.coalesce(F.sum("wrong"), F.lit(0)), F.coalesce(F.sum("right"), F.lit(0))).first()
+    held = rows.where("wrong + right > 0").withColumn("set", F.array().cast("array<int>"))
+    found, size = [], 0
+    while most is None or size < most:
+        later = F.filter("has", lambda i: i > F.coalesce(F.get("set", F.size("set") - 1), F.lit(-1)))
+        grown = held.withColumn("_next", F.explode(later)).withColumn("set", F.concat("set", F.array("_next"))).drop("_next")
+        sums = grown.groupBy("set").agg(F.sum("wrong").alias("n_wrong"), F.sum("right").alias("n_right"))
+        frequent = materialise(sums.where(F.col("n_wrong") >= max(1, least)))
+        if frequent.isEmpty():
+            break
+        found.append(frequent)
+        held = materialise(attach(grown, frequent.select("set"), ["set"], by=["has"], how="left_semi"))
+        size += 1
+    if not found:
+        found = [rows.select(F.col("has").alias("set"), F.col("wrong").alias("n_wrong"), F.col("right").alias("n_right")).limit(0)]
+    sets = reduce(DataFrame.unionByName, found)
+    rate = F.col("n_wrong") / (F.col("n_wrong") + F.col("n_right"))
+    named = F.transform("set", lambda i: F.get(F.array(*map(F.lit, names)), i))
+    return sets.select(
+        named.alias("features"), "n_wrong", "n_right",
+        (F.col("n_wrong") / max(1, all_wrong)).alias("support"),
+        (rate / (max(1, all_wrong) / max(1, all_wrong + all_right))).alias("lift"),
+    )
+
+
 def summary_record(runs: DataFrame, error_exec_summary: str, valid_wrong_summary: str) -> DataFrame:
     """The category map and the two summary texts as one JSON record."""
     return category_map(runs).select(

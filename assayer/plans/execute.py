@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.cells import tag_of
+from assayer.functions.statement import shape
 from assayer.operators.capture import RESULT_ROWS, long_rows
 from assayer.operators.ordered import attach
 from assayer.session import in_pool, materialise, pooled, scratch, written_in_parts  # noqa: F401
@@ -99,19 +100,24 @@ def validate_sql(
     seconds: float | None = None,
     workers: int = 5,
 ) -> DataFrame:
-    """(id, valid, err) for rows (id, sql).
+    """(id, valid, err) for rows (id, sql); ids may repeat or be null, a null statement counts as an empty one.
 
-    With a DDL text the statements are only analysed, on empty tables made from
-    it in a session of their own. Each statement has to be submitted from the
-    driver; it takes a few at a time and writes the outcomes in parts.
+    Without a DDL text equal statements run once. With one the statements are only
+    analysed, on empty tables made from it in a session of their own: one statement of
+    each shape, as literals that are compared don't matter there. Each of these has to
+    be submitted from the driver; it takes a few at a time and writes the outcomes in
+    parts, which are then joined to all rows.
     """
-    rows = statements.select("id", "sql").toLocalIterator()
+    text = F.coalesce("sql", F.lit(""))
+    keyed = materialise(statements.select("id", text.alias("sql"), (text if ddl is None else shape(text)).alias("_key")))
+    rows = materialise(keyed.groupBy("_key").agg(F.min("sql").alias("sql"))).toLocalIterator()
     if ddl is None:
-        found = pooled(spark, rows, lambda r: (r.id, *check_statement(spark, r.sql, seconds)), workers)
+        found = pooled(spark, rows, lambda r: (r._key, *check_statement(spark, r.sql, seconds)), workers)
     else:
         schema_only = schema_session(spark, ddl)
-        found = pooled(spark, rows, lambda r: (r.id, *check_analysis(schema_only, r.sql)), workers)
-    return written_in_parts(spark, found, "id bigint, valid boolean, err string", "validity")
+        found = pooled(spark, rows, lambda r: (r._key, *check_analysis(schema_only, r.sql)), workers)
+    verdicts = written_in_parts(spark, found, "_key string, valid boolean, err string", "validity")
+    return attach(keyed, verdicts, ["_key"], by=["id", "sql"]).select("id", "valid", "err")
 
 
 def run_statements(

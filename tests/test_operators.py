@@ -1,12 +1,14 @@
 """Behaviour the registered queries do not reach."""
 
+import random
 from functools import reduce
+from itertools import combinations, islice
 
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import prompts, rewrite
+from assayer.functions import prompts, rewrite, statement
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators import errors, expand, ordered, pairwise, score
 from assayer.operators.capture import RESULT_ROWS, capture
@@ -167,3 +169,94 @@ def test_beyond_the_broadcast_limit_the_salted_join_takes_over(spark, monkeypatc
     more = spark.createDataFrame([(6, 3, 0), (4, 1, 0), (5, 2, 0)], "y int, x int, z int")
     row = _fold(spark, [base], more)
     assert (row.exact, row.correct) == (False, True)
+
+
+def listed(options):
+    """All non-empty subsets, smaller ones first, then by position."""
+    return [c for n in range(1, len(options) + 1) for c in combinations(options, n)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 11])
+def test_alternatives_in_order(spark, n):
+    options = [f"c{i}" for i in range(n)]
+    text = "SELECT {" + ",".join(options) + "} FROM t GROUP BY {}; SELECT 1;; SELECT {x}"
+    want = [f"SELECT {', '.join(c)} FROM t GROUP BY {', '.join(c)}" for c in listed(options)] + ["SELECT 1", "SELECT x"]
+    frame = spark.createDataFrame([(1, text), (2, None), (3, " ; "), (4, "")], "alt_of int, query string")
+    rows = expand.expand_gold(frame).orderBy("alt_of", "alt").collect()
+    assert [(r.alt_of, r.alt, r.sql) for r in rows] == [(1, i, s) for i, s in enumerate(want)]
+    assert expand.expand_gold(frame, first=4).count() == min(4, len(want))
+    assert expand.expand_gold(frame, first=0).isEmpty()
+    assert one(spark, expand.acceptable_statements(F.lit(text))) == want
+
+
+def test_seventy_options_are_not_listed_as_a_whole(spark):
+    options = [f"c{i}" for i in range(70)]
+    frame = spark.createDataFrame([("SELECT 0; SELECT {" + ",".join(options) + "} FROM t; SELECT 1",)], "query string")
+    rows = expand.expand_gold(frame, first=3000).orderBy("alt").collect()
+    triples = [c for c in islice(combinations(options, 3), 3000)]
+    want = [*((o,) for o in options), *combinations(options, 2), *triples]
+    assert [r.sql for r in rows] == (["SELECT 0"] + [f"SELECT {', '.join(c)} FROM t" for c in want])[:3000]
+
+
+def test_features_that_fail_together(spark):
+    rng = random.Random(3)
+    rows = [(*(int(rng.random() < p) * rng.choice([1, 3]) for p in (0.5, 0.4, 0.3, 0.9, 0.0)), rng.choice([0, 0, 1, None])) for _ in range(400)]
+    names = ["a", "b", "odd name", "d", "never"]
+    frame = spark.createDataFrame(rows, ", ".join(f"`{n}` int" for n in names) + ", correct int")
+    wrong, right = [[{n for n, v in zip(names, r) if v} for r in rows if r[-1] == label] for label in (0, 1)]
+    want = {}
+    for size in range(1, 6):
+        for c in combinations(names, size):
+            w, g = (sum(set(c) <= r for r in side) for side in (wrong, right))
+            if w >= 10:
+                want[c] = (w, g, w / len(wrong), w / (w + g) / (len(wrong) / (len(wrong) + len(right))))
+    got = {tuple(r.features): (r.n_wrong, r.n_right, r.support, r.lift) for r in errors.failing_together(frame, drop=[], least=10).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[c] == pytest.approx(want[c]) for c in want)
+    assert max(len(r.features) for r in errors.failing_together(frame, drop=[], least=10, most=2).collect()) == 2
+    assert errors.failing_together(frame.limit(0), drop=[]).isEmpty()
+    assert errors.failing_together(frame.where("correct = 1"), drop=[]).isEmpty()
+
+
+def shape_of(spark, sql):
+    return one(spark, statement.shape(F.lit(sql)))
+
+
+def test_shape_of_statements(spark):
+    same = ["SELECT a FROM t WHERE b = 'x' AND c > 17", "SELECT a\n FROM t -- it's one\nWHERE b = 'it''s' AND c > 9", "SELECT a FROM t WHERE b  =  '' /* = 'y' */ AND c > 0 "]
+    assert len({shape_of(spark, s) for s in same}) == 1
+    # What decides the analysis stays: ordinals, limits, names, formats, named arguments, wide numbers, marks that touch.
+    apart = [
+        "SELECT a FROM t WHERE b = 'x'", "SELECT a FROM t WHERE b = 1", "SELECT a FROM t WHERE b = 1.5", "SELECT a FROM t WHERE b = 12345678901",
+        "SELECT a FROM t WHERE b = 'x' ORDER BY 1", "SELECT a FROM t WHERE b = 'x' ORDER BY 9", "SELECT a FROM t WHERE b = 'x' LIMIT 1",
+        "SELECT 'x = ', a, 'b' FROM t", "SELECT 'x = ', z, 'b' FROM t", "SELECT f(b => 'x') FROM t", "SELECT f(b => 'y') FROM t",
+        "SELECT a FROM t WHERE b >= 1", "SELECT a FROM t WHERE b > = 1", "SELECT a FROM t WHERE b = \"x\"", "SELECT a FROM t WHERE b = 'x\\'",
+    ]
+    assert len({shape_of(spark, s) for s in apart}) == len(apart)
+
+
+def test_one_analysis_for_each_shape(spark, monkeypatch):
+    asked = []
+    check = execute.check_analysis
+    monkeypatch.setattr(execute, "check_analysis", lambda session, sql: asked.append(sql) or check(session, sql))
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("SELECT a FROM t WHERE a > "), F.col("id"))).when(
+        F.col("id") % 3 == 1, F.concat(F.lit("SELECT z FROM t WHERE b = 'n"), F.col("id"), F.lit("'"))
+    ).when(F.col("id") % 9 == 2, F.lit(None).cast("string")).otherwise("SELEC a")
+    frame = spark.range(3000).select("id", text.alias("sql")).unionByName(spark.range(5).select(F.lit(None).cast("bigint").alias("id"), F.lit("SELEC a").alias("sql")))
+    ddl = "CREATE TABLE t (\n  a bigint, --a number\n  b string --a name\n);"
+    found = execute.validate_sql(spark, frame, ddl=ddl)
+    assert sorted(found.columns) == ["err", "id", "valid"] and found.count() == 3005
+    counted = {(r.valid, r.err): r["count"] for r in found.groupBy("valid", "err").count().collect()}
+    assert counted == {(True, ""): 1000, (False, "UNRESOLVED_COLUMN.WITH_SUGGESTION"): 1000, (False, "PARSE_SYNTAX_ERROR"): 671, (False, "PARSE_EMPTY_STATEMENT"): 334}
+    assert len(asked) == 4
+    assert execute.validate_sql(spark, frame.limit(0), ddl=ddl).isEmpty()
+
+
+def test_equal_statements_run_once(spark, monkeypatch):
+    spark.range(4).createOrReplaceTempView("four")
+    asked = []
+    check = execute.check_statement
+    monkeypatch.setattr(execute, "check_statement", lambda session, sql, seconds: asked.append(sql) or check(session, sql, seconds))
+    text = F.concat(F.lit("SELECT id FROM four WHERE id >= "), F.col("id") % 5)
+    found = execute.validate_sql(spark, spark.range(100).select("id", text.alias("sql"))).collect()
+    assert len(asked) == 5 and {r.id for r in found if not r.valid} == {i for i in range(100) if i % 5 == 4}

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators.ordered import attach, lowest_running_sum, ranked, running_totals, spread_join
+from assayer.operators.ordered import attach, copied, heavy_keys, lowest_running_sum, ranked, running_totals, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,28 @@ def test_salted_join_does_not_fix_a_later_grouping(frame, spark):
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     # One exchange per join side and one for the grouping.
     assert plan.count("Exchange hashpartitioning") >= 3
+
+
+def test_only_heavy_keys_are_copied(spark):
+    """A key with a third of the rows, one just above the limit, and many that occur once or twice."""
+    n = 300_000
+    key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 700 == 1, -2).otherwise(F.col("id") % 190_000)
+    big = spark.range(n).withColumn("k", key)
+    small = big.select("k").distinct().withColumn("name", F.concat(F.lit("n"), F.col("k").cast("string")))
+    heavy = heavy_keys(big, ["k"])
+    named = {r["k"]: r["_salts"] for r in small.join(heavy, F.xxhash64("k") == F.col("_hash")).collect()}
+    assert set(named) == {-1, -2} and named[-1] > named[-2] >= 2
+    copies = copied(small, ["k"], heavy).groupBy("k").count().where("count > 1")
+    assert {r["k"]: r["count"] for r in copies.collect()} == named
+    joined = spread_join(big, small, ["k"], by=["id"])
+    assert joined.count() == n and joined.where("name <> concat('n', k)").isEmpty()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_of_nulls_and_empty_sides(spark, how):
+    big = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4)], "k string, id int")
+    small = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    want = sorted(map(str, big.join(small, "k", how).collect()))
+    assert sorted(map(str, spread_join(big, small, ["k"], by=["id"], how=how).collect())) == want
+    none = big.limit(0)
+    assert spread_join(none, small, ["k"], by=["id"], how=how).isEmpty()

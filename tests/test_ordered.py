@@ -80,7 +80,7 @@ def test_salted_join_does_not_fix_a_later_grouping(frame, spark):
 def test_only_heavy_keys_are_copied(spark):
     """A key with a third of the rows, one just above the limit, and many that occur once or twice."""
     n = 300_000
-    key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 700 == 1, -2).otherwise(F.col("id") % 190_000)
+    key = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 500 == 1, -2).otherwise(F.col("id") % 190_000)
     big = spark.range(n).withColumn("k", key)
     small = big.select("k").distinct().withColumn("name", F.concat(F.lit("n"), F.col("k").cast("string")))
     heavy = heavy_keys(big, ["k"])

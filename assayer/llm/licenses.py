@@ -37,6 +37,12 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("AGPLName", r"(?:this (?:work|program|file|software) is )?(?:licensed|released) under the gnu affero general public license,? version (?P<version>[0-9.]+)"),
     ("GPLFree", r"this program is free software:? you can redistribute it and/or modify it under the terms of the gnu general public license.*either version (?P<version>[0-9.]+) of the license.*"),
     ("GPLHope", r"this program is distributed in the hope that it will be useful,? but without any warranty.*"),
+    ("GPLOnly", r"this program is free software:? you can redistribute it and/or modify it under the terms of (?:the gnu general public license,? version (?P<version>[0-9.]+)|version (?P<version2>[0-9.]+) of the gnu general public license).*"),
+    ("LGPLFree", r"this (?:program|library) is free software:? you can redistribute it and/or modify it under the terms of the gnu lesser general public license.*either version (?P<version>[0-9.]+) of the license.*"),
+    ("AGPLFree", r"this program is free software:? you can redistribute it and/or modify it under the terms of the gnu affero general public license.*either version (?P<version>[0-9.]+) of the license.*"),
+    ("MPLName", r"this source code form is subject to the terms of the mozilla public license,? v(?:\. ?2\.0)?"),
+    ("ISCGrant", r"permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("ISCAsIs", r"the software is provided as is and the author disclaims all warranties.*"),
     ("GPLCopy", r"you should have received a copy of the gnu general public license.*"),
     ("MITName", r"(?:this (?:work|file|software|project) is )?(?:released|licensed|distributed) under the(?: terms of the)? mit license"),
     ("MITGrant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy.*"),
@@ -60,6 +66,12 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("ApacheComply", "ApacheCopy", "ApacheBasis", "ApacheSee"), "Apache"),
     (("GPLFree", "GPLHope", "GPLCopy"), "GPL-{version}-or-later"),
     (("GPLFree",), "GPL-{version}-or-later"),
+    (("GPLOnly", "GPLHope", "GPLCopy"), "GPL-{version}-only"),
+    (("GPLOnly",), "GPL-{version}-only"),
+    (("LGPLFree",), "LGPL-{version}-or-later"),
+    (("AGPLFree",), "AGPL-{version}-or-later"),
+    (("MPLName",), "MPL-2.0"),
+    (("ISCGrant", "ISCAsIs"), "ISC"),
     (("AGPLName",), "AGPL-{version}"),
     (("LGPLName",), "LGPL-{version}"),
     (("GPLName",), "GPL-{version}"),
@@ -87,6 +99,11 @@ _LINE_END = re.compile(r"\r\n|[\n\r]")
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _PIECE_END = re.compile(r"(?<=;)\s+")
 _ONLY_MARKS = re.compile(r"[\s/*#>;-]*")
+#: Licences are named in the spelling of their own rules, whatever case a tag has them in; operators stay capital.
+_SPELLINGS = {name.upper(): name for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause")} | {
+    f"{family}-{version}-{kind}".upper(): f"{family}-{version}-{kind}"
+    for family in ("GPL", "LGPL", "AGPL") for version in ("2.0", "2.1", "3.0") for kind in ("or-later", "only")
+}
 #: One of these is in every known sentence; sentences without one are not normalised at all. Single words, as a line may end between two.
 _TRACES = re.compile(r"licen[sc]e|domain|reserved|spdx|redistribut|permission|warrant|cc0|endorse", re.IGNORECASE)
 
@@ -145,13 +162,25 @@ def known_in(lines: list[str]) -> list[Found]:
         if begin < end:
             continue
         named = match.groupdict()
-        out.append((begin, _KNOWN[i][0], named.get("version") or "", re.sub(r"\s", " ", named.get("name") or "").upper()))
+        name = " ".join(_SPELLINGS.get(part, part) for part in (named.get("name") or "").upper().split())
+        out.append((begin, _KNOWN[i][0], named.get("version") or named.get("version2") or "", name))
         end = match.end()
     return out
 
 
 def licences(found: list[Found]) -> list[tuple[str, int, int, list[str]]]:
-    """(licence, first and last sentence, identifiers) by the ordered rules, in order of place."""
+    """(licence, first and last sentence, identifiers) by the ordered rules, in order of place.
+
+    "All rights reserved" right before, in or right behind the sentences of a licence belongs to its notice.
+    """
+    granted = licences_by_rules([f for f in found if f[1] != "AllRights"])
+    near = lambda f: any(hit[1] - GAP <= f[0] <= hit[2] + GAP for hit in granted)
+    alone = [f for f in found if f[1] == "AllRights" and not near(f)]
+    return sorted(granted + licences_by_rules(alone), key=lambda x: x[1:3])
+
+
+def licences_by_rules(found: list[Found]) -> list[tuple[str, int, int, list[str]]]:
+    """The hits of all rules, each sentence in one of them at most."""
     left, out = list(found), []
     for wanted, name in RULES:
         at = 0
@@ -166,7 +195,7 @@ def licences(found: list[Found]) -> list[tuple[str, int, int, list[str]]]:
                 del left[at : at + len(wanted)]
             else:
                 at += 1
-    return sorted(out, key=lambda x: x[1:3])
+    return out
 
 
 def _two_part(version: str) -> str:

@@ -23,8 +23,18 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
         (APACHE, ["Apache-2.0"]),
         (MIT, ["MIT"]),
         (MIT + "\n" + APACHE, ["MIT", "Apache-2.0"]),
-        (APACHE + "\nAll rights reserved.", ["Apache-2.0", "proprietary"]),
-        ("// SPDX-License-Identifier: Apache-2.0", ["APACHE-2.0"]),
+        (APACHE + "\nAll rights reserved.", ["Apache-2.0"]),
+        ("All rights reserved.\n" + APACHE, ["Apache-2.0"]),
+        ("All rights reserved.\n" + "Prose.\n" * 5 + APACHE, ["proprietary", "Apache-2.0"]),
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: apache-2.0 OR mit", ["Apache-2.0 OR MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2.", ["GPL-2.0-only"]),
+        ("This program is free software; you can redistribute it and/or modify it\nunder the terms of version 2 of the GNU General Public License.", ["GPL-2.0-only"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\nLicense as published by the FSF; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published, either version 3 of the License, or later.", ["AGPL-3.0-or-later"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed, get one.", ["MPL-2.0"]),
+        ('Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that it stays.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.', ["ISC"]),
         ("Released under the MIT License. Released under the MIT License.", ["MIT", "MIT"]),
         ("He was licensed to drive, with permission.", []),
         ("", []),
@@ -131,4 +141,5 @@ def test_wrapped_names_and_lines_that_only_follow():
     assert [h[0] for h in x.licences(x.identify("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License; either version 2 of the License."))] == ["GPL-2.0-or-later"]
     assert [h[0] for h in x.licences(x.identify("# SPDX-License-Identifier: MIT\n# with thanks\nimport a"))] == ["MIT"]
     assert x.licences(x.identify("The license\n\nunder the terms of the MIT License he sang")) == []
-    assert [h[0] for h in x.licences(x.identify("# dedicated to the public\n# domain\n#\n# All rights\n# reserved"))] == ["CC0", "proprietary"]
+    assert [h[0] for h in x.licences(x.identify("# dedicated to the public\n# domain\n#\n# All rights\n# reserved"))] == ["CC0"]
+    assert [h[0] for h in x.licences(x.identify("# Some prose.\n#\n# All rights\n# reserved"))] == ["proprietary"]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,27 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a Python worker lives on and is used by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the batches of a task, releasing what it held at its end."""
+
+    @wraps(work)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return through
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {column.lower() for column in df.columns}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, pinned, unused
+from assayer.llm.common import id_and_text, pinned, released, unused
 from assayer.llm.wordhash import NON_ALPHANUMERIC, mix, words_of
 from assayer.operators.ordered import fits_broadcast
 
@@ -97,7 +97,7 @@ def seeds_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["mask", "hash", "item_id", "place", "words"])
 
     rows = id_and_text(items, id_col, text_col)
-    return rows.mapInArrow(seeded, _SEEDS.format(item=rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(released(seeded), _SEEDS.format(item=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -154,7 +154,7 @@ def contaminations(
                 yield from _hits(batch.slice(at, 256), used, bits)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(hits, _HITS.format(doc=kind))
+    found = rows.mapInArrow(released(hits), _HITS.format(doc=kind))
     known = seeds.select("mask", "hash", "item_id", F.col("place").alias("item_place"), F.col("words").alias("item_words"))
     joined = found.join(F.broadcast(known) if fits_broadcast(seeds) else known, ["mask", "hash"])
 

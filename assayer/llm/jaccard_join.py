@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.bitmap import bitmap_of, may_hold
-from assayer.llm.common import attached, id_and_text, pinned, unused, with_class
+from assayer.llm.common import attached, id_and_text, pinned, released, unused, with_class
 from assayer.llm.components import components
 from assayer.llm.wordhash import mix, windows, words_of
 from assayer.operators.ordered import fits_broadcast
@@ -133,7 +133,7 @@ def shingle_sets(rows: DataFrame, rule: Rule) -> DataFrame:
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(described, f"doc_id {kind}, n_shingles long, one long, two long, sketch array<long>")
+    return rows.mapInArrow(released(described), f"doc_id {kind}, n_shingles long, one long, two long, sketch array<long>")
 
 
 def _some_sets(rows: DataFrame, rule: Rule, wanted, each, names: list[str], schema: str) -> DataFrame:
@@ -150,7 +150,7 @@ def _some_sets(rows: DataFrame, rule: Rule, wanted, each, names: list[str], sche
                 values = pa.array(np.concatenate(found).view(np.int64))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(owners)), values], names)
 
-    return rows.mapInArrow(made, schema)
+    return rows.mapInArrow(released(made), schema)
 
 
 def _full_sets(rows: DataFrame, rule: Rule, wanted) -> DataFrame:
@@ -167,7 +167,7 @@ def _full_sets(rows: DataFrame, rule: Rule, wanted) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists], ["doc_id", "shingles"])
 
-    return rows.mapInArrow(made, "doc_id long, shingles array<long>")
+    return rows.mapInArrow(released(made), "doc_id long, shingles array<long>")
 
 
 def may_link(rule: Rule, a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
@@ -216,15 +216,16 @@ def agreeing(rows: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(differing * (100 + percent) <= sizes * (100 - percent)))
 
-    sketches = rows.mapInArrow(made, "doc_id long, n long, sketch binary")
+    # Stored, so that a task of the join needs one Python worker, not one for each side and one for itself.
+    sketches = pinned(rows.mapInArrow(released(made), "doc_id long, n long, sketch binary"), "jaccard-sketches")
     both = pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(allowed, "a long, b long").distinct()
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(released(allowed), "a long, b long").distinct()
 
 
 def verified(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b) whose sets link; only pairs that agree in their wide sketches are compared set by set."""
     pairs = pinned(agreeing(rows, candidates, rule), "jaccard-agreeing")
-    sets = _full_sets(rows, rule, _ids_of(pairs))
+    sets = pinned(_full_sets(rows, rule, _ids_of(pairs)), "jaccard-full-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
@@ -239,7 +240,7 @@ def verified(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
                 good.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(linked, "b long, a long" if both.columns[0] == "b" else "a long, b long").distinct()
+    return both.mapInArrow(released(linked), "b long, a long" if both.columns[0] == "b" else "a long, b long").distinct()
 
 
 def linked_components(

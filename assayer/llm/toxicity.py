@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import in_small_batches, pinned
+from assayer.llm.common import in_small_batches, pinned, release, released
 
 FEATURES = (
     "word_density", "stem_density", "obfuscated_density", "strongest", "hits_log", "second_person_rate", "near_second_person",
@@ -169,6 +169,8 @@ def described(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         own = Describer(words, stems)
         for texts in batches:
             yield pa.array([own.features(text) for text in texts.to_pylist()], pa.list_(pa.float64()))
+        del own
+        release()
 
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     row = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
@@ -231,7 +233,7 @@ def _learn_lexicon(model: Model, sample: DataFrame, limits: Limits) -> None:
     n_toxic, n_clean = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     counted = (
         sample.select("toxic", "text")
-        .mapInArrow(entries, kind)
+        .mapInArrow(released(entries), kind)
         .groupBy("entry")
         .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     )

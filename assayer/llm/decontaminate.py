@@ -81,20 +81,24 @@ def overlap(item: np.ndarray, item_place: int, text: np.ndarray, text_place: int
 
 
 def seeds_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each mask and place of each item, with the item's words."""
+    """One row for each mask and place of each item, with the words that a window around the place can reach.
+
+    ``place`` counts from the first of these words, of which there are fewer than 2 * WINDOW, however long the item is.
+    """
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            kinds = (pa.int32(), pa.int64(), batch.column(0).type, pa.int32(), pa.list_(pa.int64()))
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = normalised([text]).hashes
+                words = hashes.view(np.int64)
                 for mask in masks_for(len(hashes)):
-                    code = int(mask, 2)
+                    code, out = int(mask, 2), []
                     for place, value in enumerate(seed_hashes(hashes, mask).view(np.int64).tolist()):
-                        out.append((code, value, item_id, place, hashes.view(np.int64)))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int64(), batch.column(0).type, pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["mask", "hash", "item_id", "place", "words"])
+                        first = max(0, place + len(mask) - WINDOW)
+                        out.append((code, value, item_id, place - first, words[first : place + WINDOW]))
+                    columns = list(zip(*out, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["mask", "hash", "item_id", "place", "words"])
 
     rows = id_and_text(items, id_col, text_col)
     return rows.mapInArrow(released(seeded), _SEEDS.format(item=rows.schema["doc_id"].dataType.simpleString()))

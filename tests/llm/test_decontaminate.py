@@ -85,3 +85,16 @@ def test_overlap_reports_the_best_window():
     item = np.arange(20, dtype=np.int64)
     text = np.concatenate((np.full(5, 99), item, np.full(5, 98)))
     assert d.overlap(item, 3, text, 8, 7) == (13, 5, 21)
+
+
+def test_long_items_carry_few_words(spark, docs):
+    """Windows at the beginning, inside and at the end of a long item, with two words changed."""
+    long = words(11, 1500, 10**6)
+    seeds = d.seeds_of(items(spark, [(1, " ".join(long))]), "item_id", "text")
+    assert max(len(r.words) for r in seeds.collect()) < 2 * d.WINDOW
+    cuts = [long[0:13], long[700:713], long[1487:1500]]
+    for cut in cuts:
+        cut[3] = cut[9] = "other"
+    rows = [(i, " ".join(["before", *cut, "behind"])) for i, cut in enumerate(cuts)] + [(9, " ".join([*long[700:705], "x", "y", "z", *long[708:713]]))]
+    found = d.contaminations(docs(rows), items(spark, [(1, " ".join(long))])).collect()
+    assert {(r.doc_id, r.equal_words, r.first_word, r.end_word) for r in found} == {(i, 11, 1, 14) for i in range(3)}

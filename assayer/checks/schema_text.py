@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from assayer.checks import check
 from assayer.functions import metadata as md
 from assayer.functions import prompts, rewrite
-from assayer.session import table
+from assayer.functions.bind import let, present
+from assayer.session import spread, table
 
 # One DDL text per part; reads the same on both sides (no quotes, no escapes).
 DDL_SQL = """
@@ -22,7 +23,7 @@ FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'alpha.' WHEN 1 THEN 'beta.' ELSE
 
 
 def ddl_texts(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    spread(table(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
     return spark.sql(DDL_SQL)
 
 
@@ -249,7 +250,7 @@ def qualified_tables(spark, sf_dir):
         F.lit("SELECT b.x FROM big_"), key, F.lit(" b JOIN Small ON big_"), key, F.lit(".x = 1 WHERE Smaller = 2 AND Small=3")
     )
     names = F.array(F.concat(F.lit("big_"), key), F.lit("Small"))
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
     test = F.concat(F.lit("test"), F.col("p_size").cast("string"), F.lit("_shop"))
     return parts.select(
         "p_partkey",
@@ -266,7 +267,7 @@ def clean_metadata(spark, sf_dir):
         F.lit(" CREATE TABLE t_"), F.col("p_partkey").cast("string"), F.lit(" (\n  id bigint, --key of "), "p_name",
         F.lit("\n  name text,\n);\nHere is a list of joinable columns:\nt.a can be joined with "), "p_type",
     )
-    return table(spark, sf_dir, "part").select("p_partkey", md.clean_metadata(text).alias("ddl"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", md.clean_metadata(text).alias("ddl"))
 
 
 @check("d11_quoted_words", """
@@ -277,7 +278,7 @@ def quoted_words(spark, sf_dir):
         F.lit("CREATE TABLE Transaction (\n  order int, /* order of "), "p_name",
         F.lit(' */ "order" text, reorder int, /* x */ ORDER date)'),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", rewrite.quote_words(text, rewrite.QUOTED_WORDS["sqlite"]).alias("ddl")
     )
 
@@ -298,7 +299,7 @@ def rule_packs(spark, sf_dir):
     serial = F.concat(F.lit("id SERIAL, k"), key)
     stamp = F.concat(F.lit("id SERIALPRIMARY KEY, t DATETIME NOT NULL DEFAULT CURRENT_TIMESTAMP(), k"), key)
     ends = rewrite.DDL_END_RULES
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey",
         rewrite.rewrite(sql, rewrite.SQL_RULES).alias("sql"),
         rewrite.rewrite(start, rewrite.DDL_START_RULES).alias("ddl_start"),

@@ -91,8 +91,12 @@ def _fold_names(names: Column, text: Column, step) -> Column:
 
 def with_schema_lines(ddl: Column, schemas: Column | None = None) -> Column:
     """Put one CREATE SCHEMA line per schema in front; later schemas end up first."""
-    schemas = schema_names(ddl) if schemas is None else schemas
-    return _fold_names(schemas, ddl, lambda text, s: F.concat(F.lit(CREATE_SCHEMA), s, F.lit(";\n"), text))
+
+    def lined(text: Column) -> Column:
+        names = schema_names(text) if schemas is None else schemas
+        return _fold_names(names, text, lambda t, s: F.concat(F.lit(CREATE_SCHEMA), s, F.lit(";\n"), t))
+
+    return let(ddl, lined)
 
 
 def ddl_without_schemas(ddl: Column) -> Column:
@@ -102,7 +106,7 @@ def ddl_without_schemas(ddl: Column) -> Column:
         bare = F.replace(text, F.concat(F.lit(CREATE_TABLE), s, F.lit(".")), F.lit(CREATE_TABLE))
         return F.replace(bare, F.concat(F.lit(CREATE_SCHEMA), s), F.lit(""))
 
-    return _fold_names(schema_names(ddl), ddl, drop)
+    return let(ddl, lambda text: _fold_names(schema_names(text), text, drop))
 
 
 def without_schemas(text: Column, ddl: Column) -> Column:

@@ -48,6 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over several tasks a core, for work that takes long for each row.
+
+    A table of short rows may be one file or row group, which one task reads,
+    whatever each of its rows takes. The number of tasks is given, as the rows'
+    bytes, which Spark would go by, say nothing of that time.
+    """
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 #: By application, where a local master has no folder named; removed when the process ends.
 _FALLBACKS: dict[str, str] = {}
 

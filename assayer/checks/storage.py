@@ -16,10 +16,15 @@ SELECT concat('db', o_custkey % 4) AS db_name, o_orderpriority AS query_category
 """
 
 
+def _write_questions(rows, path):
+    """Question files of bounded size, as one task reads a whole file; the files of ordered rows are in order too."""
+    rows.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", 250_000).csv(path)
+
+
 def _question_file(spark, sf_dir):
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     path = scratch(spark, "questions")
-    spark.sql(_QUESTIONS).write.option("header", True).option("escape", '"').csv(path)
+    _write_questions(spark.sql(_QUESTIONS), path)
     return path
 
 
@@ -33,7 +38,7 @@ def first_questions(spark, sf_dir):
     path = scratch(spark, "questions")
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     ordered = spark.sql(_QUESTIONS.replace("FROM orders\n", "FROM (SELECT * FROM orders ORDER BY o_orderkey)\n"))
-    ordered.write.option("header", True).option("escape", '"').csv(path)
+    _write_questions(ordered, path)
     half = -(-table(spark, sf_dir, "orders").count() // 2)
     return qs.read_questions(spark, path, first=half)
 
@@ -44,9 +49,9 @@ def first_of_several_files(spark, sf_dir):
     path = scratch(spark, "questions")
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     ordered = spark.sql(_QUESTIONS)
+    key = F.substring_index(F.col("query"), "= ", -1).cast("bigint")
     for i, (first, end) in enumerate(((0, 2), (2, 7), (7, 1_000_000_000))):
-        part = ordered.where(F.substring_index(F.col("query"), "= ", -1).cast("bigint").between(first, end - 1))
-        part.coalesce(1).orderBy(F.substring_index(F.col("query"), "= ", -1).cast("bigint")).write.option("header", True).option("escape", '"').mode("append").csv(f"{path}/{i}")
+        _write_questions(ordered.where(key.between(first, end - 1)).orderBy(key), f"{path}/{i}")
     wanted = table(spark, sf_dir, "orders").where("o_orderkey < 12").count()
     return qs.read_questions(spark, f"{path}/*", first=wanted)
 

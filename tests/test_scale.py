@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from assayer.functions import metadata as md
 from assayer.functions import rewrite
+from assayer.sources.questions import read_questions
 
 QUERIES = entry_point.queries()
 
@@ -34,3 +35,14 @@ def test_ddl_texts_are_made_once():
         *[rewrite.translate_ddl(text, d, F.lit("shop"), F.lit(1)) for d in rewrite.DIALECTS],
     ):
         assert str(made).count("upper(") == 1
+
+
+@pytest.mark.parametrize("name", ["s1_first_of_several_files", "s1_read_questions"])
+def test_question_files_stay_small(spark, sf_dir, monkeypatch, name):
+    paths, limits = [], []
+    from assayer.checks import storage
+
+    write = storage._write_questions
+    monkeypatch.setattr(storage, "_write_questions", lambda rows, path: (paths.append(path), limits.append(plan_of(rows)), write(rows, path)))
+    QUERIES[name](spark, sf_dir)
+    assert paths and not any("Repartition 1, false" in plan for plan in limits)

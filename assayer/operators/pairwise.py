@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from assayer.functions.cells import ATOL, MISSING, RTOL, UNEQUAL_NULL_TAGS, cell_parts, content_sums, digest, is_close, tag_of
 from assayer.functions.ordering import stated_order, wants_order
 from assayer.operators.capture import long_rows, outcome_row, unique_labels
-from assayer.operators.ordered import ranked
+from assayer.operators.ordered import heavy_keys, ranked
 from assayer.operators.score import comparison_plan, result_heads, score_alternatives, tolerant_matches
 from assayer.session import in_pool, materialise
 
@@ -102,7 +102,9 @@ def _with_parts(df: DataFrame, columns: list[str], keep: list[str]) -> tuple[Dat
 def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: list[str]) -> DataFrame:
     """One row: do the paired columns hold the same set of distinct rows?
 
-    Only digests of the rows are shuffled.
+    Only digests of the rows are shuffled, and those of rows that are not frequent
+    before they are gathered: a task that got most rows of a frame need not hold
+    them, nor one the copies of a row.
     """
 
     def side(df, cols, flag):
@@ -111,7 +113,14 @@ def same_rows(gold: DataFrame, gen: DataFrame, gold_cols: list[str], gen_cols: l
         return cells.select(*digest(flat), F.lit(flag).alias("in_gold"), F.lit(not flag).alias("in_gen"))
 
     both = side(gold, gold_cols, True).unionByName(side(gen, gen_cols, False))
-    seen = both.groupBy("d0", "d1").agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_gen").alias("in_gen"))
+    heavy = heavy_keys(both, ["d0", "d1"])
+    marked = both.withColumn("_hash", F.xxhash64("d0", "d1")).join(F.broadcast(heavy), "_hash", "left")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("d0", "d1").agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_gen").alias("in_gen"))
+
+    frequent, rest = marked.where("_salts IS NOT NULL"), marked.where("_salts IS NULL")
+    seen = gathered(frequent).unionByName(gathered(rest.drop("_hash", "_salts").repartition("d0", "d1")))
     return seen.agg(F.coalesce(F.bool_and(F.col("in_gold") & F.col("in_gen")), F.lit(True)).alias("same"))
 
 
@@ -163,11 +172,11 @@ def compare_frames(
         return score_alternatives(long, plan, skip_exact=False).select("exact", "subset")
     gold_tags, gen_tags = _tags(gold), _tags(gen)
     same_width = len(gold_cols) == len(gen_cols)
-    passes = [frame_profile(gold, pos), frame_profile(gen, pos)]
+    passes = [lambda: frame_profile(gold, pos), lambda: frame_profile(gen, pos)]
     if same_width:
-        passes.append(same_rows(gold, gen, sorted(gold_cols), sorted(gen_cols)))
+        passes.append(lambda: same_rows(gold, gen, sorted(gold_cols), sorted(gen_cols)))
     # The passes are independent of each other, so they run side by side.
-    g, n, *sets = in_pool(spark, passes, DataFrame.first, len(passes))
+    g, n, *sets = in_pool(spark, passes, lambda made: made().first(), len(passes))
 
     def verdict(exact: bool, subset: bool) -> DataFrame:
         return spark.range(1).select(F.lit(exact).alias("exact"), F.lit(subset).alias("subset"))

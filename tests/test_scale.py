@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from assayer.functions import metadata as md
 from assayer.functions import rewrite
+from assayer.operators.pairwise import same_rows
 from assayer.sources.questions import read_questions
 
 QUERIES = entry_point.queries()
@@ -46,3 +47,20 @@ def test_question_files_stay_small(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(storage, "_write_questions", lambda rows, path: (paths.append(path), limits.append(plan_of(rows)), write(rows, path)))
     QUERIES[name](spark, sf_dir)
     assert paths and not any("Repartition 1, false" in plan for plan in limits)
+
+
+def test_row_digests_are_dealt_before_they_are_gathered(spark):
+    gold = spark.range(3000).select((F.col("id") % 2000).alias("k"), F.lit("x").alias("t")).repartition(8, "t")
+    plan = plan_of(same_rows(gold, gold, ["k", "t"], ["k", "t"]))
+    assert "RepartitionByExpression [d0" in plan
+
+
+@pytest.mark.parametrize("extra, same", [(0, True), (1, False)])
+def test_frequent_and_rare_rows_are_compared(spark, extra, same):
+    # One row makes up half of each frame, the others come once; the frames differ in a rare or a frequent row.
+    frame = spark.range(4000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"))
+    rare = frame.unionByName(spark.range(extra).select((F.col("id") + 9000).alias("k")))
+    frequent = frame.unionByName(spark.range(extra * 3000).select(F.lit(-7).cast("bigint").alias("k")))
+    for other in (rare, frequent):
+        assert same_rows(frame, other, ["k"], ["k"]).first().same is same
+        assert same_rows(other, frame, ["k"], ["k"]).first().same is same

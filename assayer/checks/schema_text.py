@@ -381,7 +381,7 @@ FROM (SELECT *, o_custkey % 40 + 1 AS n FROM orders)"""
 
     @check(f"d13_instructions_{dialect}", oracle)
     def run(spark, sf_dir):
-        table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("orders")
         texts = spark.sql(INSTRUCTION_SQL)
         return texts.select("o_orderkey", rewrite.rewrite_instructions(F.col("text"), dialect).alias("text"))
 
@@ -485,7 +485,7 @@ UNION ALL
 SELECT o_orderkey, 'chat', concat('system:Write postgres.|user:Q: ', question, chr(10), instructions) FROM q
 """.replace("{{as json}}", "{as json}"))
 def rendered_prompts(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("orders")
     values = {
         "user_question": F.col("question"),
         "db_type": F.lit("postgres"),

@@ -20,6 +20,7 @@ def plan_of(frame):
     "name",
     [
         "d19_whole_ddl",
+        "d18_dialect_dispatch",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

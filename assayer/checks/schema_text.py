@@ -143,7 +143,7 @@ FROM ({ddl})
 
 
 def statement_texts(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    spread(table(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
     return spark.sql(STATEMENT_SQL)
 
 
@@ -222,21 +222,19 @@ _DATASET_STATEMENTS = [
        + _by_order_key([want or "" for _, want in _DATASET_STATEMENTS], _KEY_JOIN) + " AS sql FROM orders) WHERE sql <> ''")
 def statements_for_dataset(spark, sf_dir):
     """Known tables of a statement, and only those, move to a dataset; statements without any are left out."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("orders")
     sql = _by_order_key([sql for sql, _ in _DATASET_STATEMENTS], _KEY_JOIN)
     texts = spark.sql(f"SELECT o_orderkey, concat('d', o_custkey) AS prefix, {sql} AS sql FROM orders")
     moved = md.statement_for_dataset(F.col("sql"), F.lit(_DATASET_DDL), F.col("prefix"))
-    return texts.select("o_orderkey", moved.alias("sql")).where("sql IS NOT NULL")
+    return texts.select("o_orderkey", present(moved).alias("sql"))
 
 
 @check("d8_known_references", """
 SELECT p_partkey, concat('part_', p_partkey, CASE WHEN p_partkey % 50 = p_size THEN concat('|LOOKUP_', p_size) ELSE '' END) AS names FROM part
 """)
 def known_references(spark, sf_dir):
-    found = statement_texts(spark, sf_dir).select(
-        "p_partkey", md.known_references(F.col("sql"), F.col("ddl")).alias("names")
-    )
-    return found.filter(F.size("names") > 0).select("p_partkey", F.array_join("names", "|").alias("names"))
+    names = let(md.known_references(F.col("sql"), F.col("ddl")), lambda n: F.when(F.size(n) > 0, F.array_join(n, "|")))
+    return statement_texts(spark, sf_dir).select("p_partkey", present(names).alias("names"))
 
 
 @check("d9_qualified_tables", """

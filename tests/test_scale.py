@@ -21,6 +21,8 @@ def plan_of(frame):
     [
         "d19_whole_ddl",
         "d18_dialect_dispatch",
+        "d8_known_references",
+        "d9_statements_for_dataset",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):
@@ -39,6 +41,11 @@ def test_ddl_texts_are_made_once():
         assert str(made).count("upper(") == 1
 
 
+def test_references_are_found_once(spark, sf_dir):
+    plan = plan_of(QUERIES["d8_known_references"](spark, sf_dir))
+    assert plan.count("regexp_extract_all") == 1
+
+
 @pytest.mark.parametrize("name", ["s1_first_of_several_files", "s1_read_questions"])
 def test_question_files_stay_small(spark, sf_dir, monkeypatch, name):
     paths, limits = [], []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.bind import let
 from assayer.functions.textops import strip
+from assayer.session import spread
 
 # The repeat mark behind a brace group, and what the percent
 # escape covers (from the first LIKE to the last quote).
@@ -117,14 +118,21 @@ def expand_gold(df: DataFrame, col: str = "query", into: str = "sql", first: int
     """One row per alternative, numbered from 0 in ``alt``; of each text only the ``first`` ones, if given.
 
     No cell holds more than BLOCK alternatives, whatever the number of options.
-    A text without statements, or null, has no rows.
+    A text without statements, or null, has no rows. The rows are dealt over all
+    cores first, as a few short texts make many alternatives.
     """
-    counted = df.withColumn("_parts", F.transform(statements(F.col(col)), parts))
-    each = counted.select("*", F.posexplode("_parts").alias("_place", "_part"))
-    # One text has few statements; their counts are in the row.
-    earlier = F.transform(F.slice("_parts", F.lit(1), F.col("_place")), lambda p: p["count"])
-    before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda a, n: F.least(a + n, F.lit(COUNTLESS)))
-    each = each.withColumn("_before", before).drop("_parts", "_place")
+
+    def placed(listed: Column) -> Column:
+        # One text has few statements; their counts are in the row.
+        def before(place: Column) -> Column:
+            earlier = F.transform(F.slice(listed, F.lit(1), place), lambda p: p["count"])
+            return F.aggregate(earlier, F.lit(0).cast("bigint"), lambda a, n: F.least(a + n, F.lit(COUNTLESS)))
+
+        return F.transform(listed, lambda p, i: F.struct(before(i).alias("before"), p.alias("part")))
+
+    keys = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    listed = let(F.transform(statements(F.col(col)), parts), placed)
+    each = spread(df, *keys).select("*", F.explode(listed).alias("_s")).withColumns({"_before": F.col("_s.before"), "_part": F.col("_s.part")}).drop("_s")
     left = F.col("_part.count") if first is None else F.least(F.col("_part.count"), F.lit(first) - F.col("_before"))
     each = each.withColumn("_take", left).where("_take > 0")
     blocks = each.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_take") - 1, F.lit(BLOCK).cast("bigint"))))

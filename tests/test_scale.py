@@ -23,6 +23,7 @@ def plan_of(frame):
         "d18_dialect_dispatch",
         "d8_known_references",
         "d9_statements_for_dataset",
+        "q3_brace_subsets",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

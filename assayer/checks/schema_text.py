@@ -409,7 +409,7 @@ CASE c_custkey % 4
 
 @check("d14_table_aliases", f"SELECT c_custkey, {_ALIASES} AS aliases FROM customer")
 def table_aliases(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    spread(table(spark, sf_dir, "customer"), "c_custkey").createOrReplaceTempView("customer")
     named = spark.sql(_NAMES_SQL)
     aliases = md.table_aliases(F.split("names", ","))
     return named.select(
@@ -424,7 +424,7 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'order_items=o,OrderInvoices=O,
   ELSE concat('users=u,UserTable=U,u_', c_custkey, '=u', substr(c_custkey::VARCHAR, 1, 1), ',ut=ut') END AS aliases FROM customer
 """.replace("1 THEN 'as_set=a,any_new_data=an,", "1 THEN 'as_set=a,any_new_data=an,"))
 def older_aliases(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    spread(table(spark, sf_dir, "customer"), "c_custkey").createOrReplaceTempView("customer")
     named = spark.sql(_NAMES_SQL)
     aliases = md.older_table_aliases(F.split("names", ","))
     return named.select(

@@ -24,6 +24,7 @@ def plan_of(frame):
         "d8_known_references",
         "d9_statements_for_dataset",
         "q3_brace_subsets",
+        "d14_table_aliases",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

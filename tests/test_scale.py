@@ -25,6 +25,7 @@ def plan_of(frame):
         "d9_statements_for_dataset",
         "q3_brace_subsets",
         "d14_table_aliases",
+        "d15_alias_hints",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

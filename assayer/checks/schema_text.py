@@ -169,7 +169,7 @@ def tables_of_lists(spark, sf_dir):
         .when(key % 4 == 2, F.lit("WITH big AS (SELECT * FROM orders), few (a, b) AS (SELECT 1, 2) SELECT * FROM big, few JOIN region ON true"))
         .otherwise(F.lit("select * from lineitem l left join part on p = l, (select 1) x"))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(md.referenced_tables(sql), "|").alias("names"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.array_join(md.referenced_tables(sql), "|").alias("names"))
 
 
 # Statements by order key and the tables a reader finds in them; {k} is a number of each row's own.
@@ -203,7 +203,7 @@ _KEY_JOIN = " || CAST(o_custkey AS VARCHAR(20)) || "
 @check("d7_statement_tokens", f"SELECT o_orderkey, {_by_order_key([names for _, names in _HARD_STATEMENTS], _KEY_JOIN)} AS names FROM orders")
 def statement_tokens(spark, sf_dir):
     """Derived tables, conditions, strings, comments, functions, definitions at any depth."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    spread(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("orders")
     sql = _by_order_key([sql for sql, _ in _HARD_STATEMENTS], _KEY_JOIN)
     texts = spark.sql(f"SELECT o_orderkey, {sql} AS sql FROM orders")
     return texts.select("o_orderkey", F.array_join(md.referenced_tables(F.col("sql")), "|").alias("names"))

@@ -26,6 +26,7 @@ def plan_of(frame):
         "q3_brace_subsets",
         "d14_table_aliases",
         "d15_alias_hints",
+        "d7_tables_of_lists",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

@@ -28,6 +28,7 @@ def plan_of(frame):
         "d15_alias_hints",
         "d7_tables_of_lists",
         "q4_group_by_slot",
+        "d7_referenced_tables",
     ],
 )
 def test_long_work_per_row_is_dealt_over_tasks(spark, sf_dir, name):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import repeat
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions.metadata import alias_hint
@@ -30,15 +30,23 @@ def read_questions(spark: SparkSession, path: str, schema: str = QUESTION_FIELDS
 
     The rows of a folder come file by file in the order of the names, whatever
     order the files are read in; a file of lines that break is read as a whole,
-    so its rows keep their places.
+    so its rows keep their places. Which files are wanted follows from their row
+    counts, and only of the last one are rows counted off.
     """
     rows = (
         spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
     )
     if first is None:
         return rows
-    placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()})
-    return placed.orderBy("_file", "_place").limit(first).drop("_file", "_place")
+    filed = rows.withColumn("_file", F.col("_metadata.file_path"))
+    # One row per file.
+    sizes = filed.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
+    ends = sizes.withColumn("end", F.sum("n").over(Window.orderBy("_file")))
+    last = ends.where(F.col("end") >= first).orderBy("_file").first()
+    if last is not None:
+        whole, begun = filed.where(F.col("_file") < last["_file"]), filed.where(F.col("_file") == last["_file"])
+        filed = whole.unionByName(begun.limit(first - (last["end"] - last["n"])))
+    return filed.withColumn("_place", F.monotonically_increasing_id()).orderBy("_file", "_place").drop("_file", "_place")
 
 
 def paired(questions: list[str], prompts: list[str], outputs: list[str]) -> list[tuple[str, str, str]]:

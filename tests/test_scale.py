@@ -52,6 +52,31 @@ def test_references_are_found_once(spark, sf_dir):
     assert plan.count("regexp_extract_all") == 1
 
 
+def write_files(spark, path, sizes):
+    """Question files in the order of their names, with numbered questions that break over lines."""
+    start = 0
+    for i, size in enumerate(sizes):
+        numbers = spark.range(start, start + size, 1, 1)
+        rows = numbers.select(F.lit("db"), F.lit("c"), F.concat(F.lit("q\n"), F.col("id").cast("string")), F.lit("SELECT 1"))
+        rows.toDF("db_name", "query_category", "question", "query").write.option("header", True).option("escape", '"').csv(f"{path}/{i}")
+        start += size
+
+
+@pytest.mark.parametrize("first", [0, 1, 2, 3, 6, 8, 20, 36, 37, 100])
+def test_first_questions_of_files(spark, tmp_path, first):
+    write_files(spark, str(tmp_path), (2, 1, 30, 0, 4))
+    found = [row.question for row in read_questions(spark, f"{tmp_path}/*", first=first).collect()]
+    assert found == [f"q\n{i}" for i in range(min(first, 37))]
+
+
+def test_first_questions_are_not_gathered(spark, tmp_path):
+    write_files(spark, str(tmp_path), (40, 40, 40))
+    plan = plan_of(read_questions(spark, f"{tmp_path}/*", first=100))
+    # Whole files are taken as they are; only rows of the last file are counted off.
+    whole, counted = plan.split("GlobalLimit")
+    assert "GlobalLimit 20" in plan and "Relation" in whole and "Relation" in counted
+
+
 @pytest.mark.parametrize("name", ["s1_first_of_several_files", "s1_read_questions"])
 def test_question_files_stay_small(spark, sf_dir, monkeypatch, name):
     paths, limits = [], []

@@ -18,7 +18,6 @@ import base64
 import gc
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, released
+from assayer.llm.common import id_and_text, kept_by_worker, released
 
 #: Pieces and pairs of tokens that a Python worker remembers; what comes later is worked out each time.
 PIECES_KEPT, PAIRS_KEPT = 250_000, 500_000
@@ -237,12 +236,12 @@ def _text_or_none(token: bytes) -> str | None:
         return None
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker
 def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
@@ -277,7 +276,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([some.column(0), ids], ["doc_id", "ids"])
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(released(encoded), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(released(encoded, encoder), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -294,7 +293,7 @@ def decode(encoded_docs: DataFrame, ranks_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded_docs.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(released(decoded), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return rows.mapInArrow(released(decoded, decoder), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,4 +315,4 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
                 yield pa.RecordBatch.from_arrays([some.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(released(both), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return rows.mapInArrow(released(both, encoder, decoder), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.llm.wordhash import forget_powers
 from assayer.session import scratch, table
 
 #: Bytes between words: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -38,17 +39,39 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
 
 def release() -> None:
     """Give memory that is free back to the system: a Python worker lives on and is used by later stages."""
+    forget_powers()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
     if trim:
         trim(0)
 
 
-def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` on the batches of a task, releasing what it held at its end."""
+#: What ``kept_by_worker`` made.
+_KEPT: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make``, whose last result a Python worker keeps from task to task, until one runs in it that doesn't use it."""
+    kept = lru_cache(maxsize=1)(make)
+    _KEPT.append(kept)
+    return kept
+
+
+def forget_all_but(*used: Callable) -> None:
+    for kept in _KEPT:
+        if kept not in used:
+            kept.cache_clear()
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *used: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the batches of a task, releasing what it held at its end.
+
+    Of the tables that the worker keeps those ``used`` stay; others are of stages that went before.
+    """
 
     @wraps(work)
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all_but(*used)
         try:
             yield from work(batches)
         finally:

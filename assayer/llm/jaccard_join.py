@@ -54,9 +54,11 @@ class Rule:
         """Smallest and largest set that can link with a set of ``n``."""
         return -(-self.percent * n // 100), 100 * n // self.percent
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
     def bands(self, n: int) -> tuple[tuple[int, int, int], ...]:
         """(band, segments, segments that may be empty unsaid) of all bands a set of ``n`` can meet a partner in."""
+        return _bands(self.percent, n)
+
+    def _bands(self, n: int) -> tuple[tuple[int, int, int], ...]:
         least, most = self.partners(n)
         lo, hi = self.most_different(n, least), self.most_different(n, most)
         found, band, segments = [], 0, 1
@@ -70,6 +72,12 @@ class Rule:
             band, segments = band + 1, max(segments + 1, segments * 3 // 2)
 
 
+@lru_cache(maxsize=20_000)
+def _bands(percent: int, n: int) -> tuple[tuple[int, int, int], ...]:
+    """Kept by numbers: a worker gets another ``Rule`` with each task, and would keep the bands of all of them."""
+    return Rule(percent, 1)._bands(n)
+
+
 def shingles_of(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a shorter text is one shingle, one without words none."""
     words = words_of(texts, lower=True)

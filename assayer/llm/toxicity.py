@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import in_small_batches, pinned, release, released
+from assayer.llm.common import forget_all_but, in_small_batches, pinned, release, released
 
 FEATURES = (
     "word_density", "stem_density", "obfuscated_density", "strongest", "hits_log", "second_person_rate", "near_second_person",
@@ -166,6 +166,7 @@ def described(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
     @F.arrow_udf("array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_all_but()
         own = Describer(words, stems)
         for texts in batches:
             yield pa.array([own.features(text) for text in texts.to_pylist()], pa.list_(pa.float64()))

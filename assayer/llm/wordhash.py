@@ -42,6 +42,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def forget_powers() -> None:
+    """16 MB and more that are made again in no time."""
+    _powers.cache_clear()
+
+
 @dataclass
 class Words:
     """Words of many texts in order: hash, first and end byte in ``data``; text i has words firsts[i]:firsts[i + 1]."""

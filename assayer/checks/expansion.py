@@ -102,7 +102,9 @@ SELECT c_custkey, count(*) AS n_texts, sum(CASE WHEN sql LIKE '%GROUP BY {}%' TH
 FROM v GROUP BY c_custkey
 """)
 def group_by_slot(spark, sf_dir):
-    expanded = expand.expand_gold(gold_texts(spark, sf_dir))
+    texts = gold_texts(spark, sf_dir)
+    # Grouped where the alternatives are made: Spark would join the small parts of a shuffle to a few tasks that hold much.
+    expanded = expand.expand_gold(texts, by="c_custkey", rows=texts.count())
     return expanded.groupBy("c_custkey").agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.sum(F.contains("sql", F.lit("GROUP BY {}")).cast("long")).alias("open_slots"),

@@ -114,12 +114,14 @@ def acceptable_statements(text: Column) -> Column:
     return F.flatten(every)
 
 
-def expand_gold(df: DataFrame, col: str = "query", into: str = "sql", first: int | None = None) -> DataFrame:
+def expand_gold(df: DataFrame, col: str = "query", into: str = "sql", first: int | None = None, by: str | None = None, rows: int = 0) -> DataFrame:
     """One row per alternative, numbered from 0 in ``alt``; of each text only the ``first`` ones, if given.
 
     No cell holds more than BLOCK alternatives, whatever the number of options.
     A text without statements, or null, has no rows. The rows are dealt over all
-    cores first, as a few short texts make many alternatives.
+    cores first, as a few short texts make many alternatives; by ``by``, if given,
+    a column that names a row: a grouping by it then needs no further shuffle, and
+    ``rows``, the number of rows, bounds what a task of it holds.
     """
 
     def placed(listed: Column) -> Column:
@@ -132,7 +134,8 @@ def expand_gold(df: DataFrame, col: str = "query", into: str = "sql", first: int
 
     keys = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     listed = let(F.transform(statements(F.col(col)), parts), placed)
-    each = spread(df, *keys).select("*", F.explode(listed).alias("_s")).withColumns({"_before": F.col("_s.before"), "_part": F.col("_s.part")}).drop("_s")
+    dealt = spread(df, *([f"`{by}`"] if by else keys), rows=rows)
+    each = dealt.select("*", F.explode(listed).alias("_s")).withColumns({"_before": F.col("_s.before"), "_part": F.col("_s.part")}).drop("_s")
     left = F.col("_part.count") if first is None else F.least(F.col("_part.count"), F.lit(first) - F.col("_before"))
     each = each.withColumn("_take", left).where("_take > 0")
     blocks = each.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_take") - 1, F.lit(BLOCK).cast("bigint"))))

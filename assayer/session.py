@@ -48,15 +48,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Of rows that ``spread`` deals to one task, where their number is known.
+ROWS_A_TASK = 10_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """``df`` dealt by ``keys`` over several tasks a core, for work that takes long for each row.
 
     A table of short rows may be one file or row group, which one task reads,
     whatever each of its rows takes. The number of tasks is given, as the rows'
-    bytes, which Spark would go by, say nothing of that time.
+    bytes, which Spark would go by, say nothing of that time. It grows with
+    ``rows``, if given, so that what a task holds does not.
     """
     spark = df.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
     return df.repartition(parts, *keys)
 
 

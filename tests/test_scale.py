@@ -7,6 +7,7 @@ import __spark_entry__ as entry_point
 from assayer.functions import metadata as md
 from assayer.functions import rewrite
 from assayer.operators.pairwise import same_rows
+from assayer.session import ROWS_A_TASK, spread
 from assayer.sources.questions import read_questions
 
 QUERIES = entry_point.queries()
@@ -103,3 +104,15 @@ def test_frequent_and_rare_rows_are_compared(spark, extra, same):
     for other in (rare, frequent):
         assert same_rows(frame, other, ["k"], ["k"]).first().same is same
         assert same_rows(other, frame, ["k"], ["k"]).first().same is same
+
+
+def test_alternatives_are_grouped_where_they_are_made(spark, sf_dir):
+    plan = QUERIES["q4_group_by_slot"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    rows = spark.range(10)
+    few, many = spread(rows, "id", rows=10), spread(rows, "id", rows=100 * ROWS_A_TASK + 1)
+    assert few.rdd.getNumPartitions() == spread(rows, "id").rdd.getNumPartitions()
+    assert many.rdd.getNumPartitions() == 101

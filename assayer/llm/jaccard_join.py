@@ -5,10 +5,14 @@ bits in which two sketches differ is at most the size of the symmetric differenc
 of the sets. Two sets of a and b shingles that link differ in at most
 ``most_different(a, b)`` shingles, so in at most as many of the P segments of
 their sketches. Sizes fall into bands, each with one P beyond that number; two
-linked sets of a band agree in two whole segments, and the join on segments finds
-them (a sketch has 65,536 bits in each segment and is stored as the hash of the
-bits that are set). Candidates also have to agree well enough in a second sketch
-of 512 bits, and are then verified on the shingle sets.
+linked sets of a band agree in about a quarter of the segments at least (a sketch
+has 65,536 bits in each segment and is stored as the hash of the bits that are
+set). Where two sets have to agree in t segments, each may leave out the t - 1 of
+its own that most texts share: the rarest segment they have in common is left in
+both. So a passage that many texts share makes no candidates, unless it is long
+enough to be most of a link, and the join on the segments left finds all links.
+Candidates also have to agree well enough in a second sketch of 512 bits, and are
+then verified on the shingle sets.
 
 Equal sets become one node first. In a segment shared by many texts not all
 pairs are formed: all its texts are compared with the smallest id, verified links
@@ -36,8 +40,13 @@ PORTION = 256
 SKETCH_WORDS = 8
 #: Of the sketches that are compared before whole sets are: enough for sets of some 20,000 shingles.
 WIDE_BITS = 8192
-#: Segments, empty unnamed ones aside, that two linked sets share in some band at least.
-AGREEING = 2
+#: Segments are told apart by how many texts share them: more than so many of these numbers.
+SHARED_BY = (1, 4, 16, 64, 256)
+
+
+def agreed(segments: int) -> int:
+    """Segments of a band, empty unnamed ones aside, that two linked sets share in some band at least."""
+    return max(2, segments // 4)
 
 
 class Rule:
@@ -54,26 +63,27 @@ class Rule:
         """Smallest and largest set that can link with a set of ``n``."""
         return -(-self.percent * n // 100), 100 * n // self.percent
 
-    def bands(self, n: int) -> tuple[tuple[int, int, int], ...]:
-        """(band, segments, segments that may be empty unsaid) of all bands a set of ``n`` can meet a partner in."""
+    def bands(self, n: int) -> tuple[tuple[int, int, int, int], ...]:
+        """(band, segments, segments that may be empty unsaid, segments it shares with a partner) of all bands a set of ``n`` can meet a partner in."""
         return _bands(self.percent, n)
 
-    def _bands(self, n: int) -> tuple[tuple[int, int, int], ...]:
+    def _bands(self, n: int) -> tuple[tuple[int, int, int, int], ...]:
         least, most = self.partners(n)
         lo, hi = self.most_different(n, least), self.most_different(n, most)
         found, band, segments = [], 0, 1
         while True:
             spare = segments // 25
-            served = segments - spare - AGREEING
+            served = segments - spare - agreed(segments)
             if served >= lo:
-                found.append((band, segments, spare))
+                # Two sets meet in the first band that serves their difference, which is at most ``hi``.
+                found.append((band, segments, spare, segments - spare - min(served, hi)))
             if served >= hi:
                 return tuple(found)
             band, segments = band + 1, max(segments + 1, segments * 3 // 2)
 
 
 @lru_cache(maxsize=20_000)
-def _bands(percent: int, n: int) -> tuple[tuple[int, int, int], ...]:
+def _bands(percent: int, n: int) -> tuple[tuple[int, int, int, int], ...]:
     """Kept by numbers: a worker gets another ``Rule`` with each task, and would keep the bands of all of them."""
     return Rule(percent, 1)._bands(n)
 
@@ -95,26 +105,46 @@ def small_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def segment_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of the segments of the parity sketches of a set in all its bands.
+def keys_by_band(shingles: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, int]]:
+    """Keys of the segments of the parity sketches of a set in each of its bands, and how many a partner shares.
 
     Bits that are flipped twice cancel, in the sketch and in the xor. Empty
     segments are only named if there are more than the band has to spare: P
-    segments, at most P - spare - AGREEING of them different, leave spare + AGREEING
-    equal ones, so a set with no more than ``spare`` empty ones shares AGREEING that
+    segments, at most P - spare - t of them different, leave spare + t
+    equal ones, so a set with no more than ``spare`` empty ones shares t that
     aren't empty.
     """
-    out = []
     place = shingles & np.uint64(0xFFFF)
-    for band, segments, spare in rule.bands(len(shingles)):
+    for band, segments, spare, shared in rule.bands(len(shingles)):
         segment = (shingles >> np.uint64(24)) % np.uint64(segments)
         bits = np.zeros(segments, np.uint64)
         np.bitwise_xor.at(bits, segment, mix(place + (segment << np.uint64(16)) + np.uint64(band << 56)))
         named = np.flatnonzero(bits)
         if segments - len(named) > spare:
             named = np.arange(segments)
-        out.append(mix(bits[named] ^ mix(named.astype(np.uint64) + np.uint64((band + 1) << 48))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        yield mix(bits[named] ^ mix(named.astype(np.uint64) + np.uint64((band + 1) << 48))), shared
+
+
+def segment_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
+    """The keys of all bands of a set."""
+    return np.concatenate([np.zeros(0, np.uint64), *(keys for keys, _ in keys_by_band(shingles, rule))])
+
+
+def rare_keys(shingles: np.ndarray, rule: Rule, shared_by: list[np.ndarray]) -> np.ndarray:
+    """Keys of a set that other sets have, in each band without as many of the most shared as one less than a partner has too.
+
+    ``shared_by``: bitmaps of the keys of more than 1, 4, 16, ... texts. Of the keys
+    that two linked sets have in common, the first by (bitmaps it is in, key) has all
+    others behind it in both, so neither set leaves it out. What decides is the same
+    for a key in all sets, so false positives of the bitmaps lose nothing.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for keys, shared in keys_by_band(shingles, rule):
+        keys = keys[may_hold(shared_by[0], keys)]
+        if len(keys) >= shared:
+            often = sum(may_hold(bits, keys).astype(np.int8) for bits in shared_by)
+            out.append(keys[np.lexsort((keys, often))[: len(keys) - shared + 1]])
+    return np.concatenate(out)
 
 
 def shingle_sets(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -281,14 +311,14 @@ def linked_components(
         return segment_keys(shingles, rule)
 
     counted = _some_sets(rows, rule, reps, all_keys, ["doc_id", "key"], "doc_id long, key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    shared = pinned(counted.where("n > 1").select("key"), "jaccard-keys")
-    shared_keys = spark.sparkContext.broadcast(bitmap_of(shared, "key", shared.count()))
+    shared = pinned(counted.where("n > 1"), "jaccard-keys")
+    by_number = [shared.where(F.col("n") > least) for least in SHARED_BY]
+    shared_by = spark.sparkContext.broadcast([bitmap_of(keys, "key", keys.count()) for keys in by_number])
 
-    def keys_shared(shingles: np.ndarray) -> np.ndarray:
-        own = segment_keys(shingles, rule)
-        return own[may_hold(shared_keys.value, own)]
+    def keys_left(shingles: np.ndarray) -> np.ndarray:
+        return rare_keys(shingles, rule, shared_by.value)
 
-    segments = pinned(_some_sets(rows, rule, reps, keys_shared, ["doc_id", "key"], "doc_id long, key long"), "jaccard-segments")
+    segments = pinned(_some_sets(rows, rule, reps, keys_left, ["doc_id", "key"], "doc_id long, key long"), "jaccard-segments")
     star = with_class(segments, ["key"], "doc_id", "a", repeated_only=True).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
     near = pinned(_allowed(star, nodes, rule), "jaccard-star")
     links = pinned(verified(rows, near, rule), "jaccard-links")
@@ -321,11 +351,10 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that share AGREEING segments, but no component, and may link.
+    """Pairs that share a segment, but no component, and may link.
 
     In each segment texts outside its first component meet all others, so a pair of
-    two components meets once in every segment it shares. Linked sets share enough;
-    texts that only have a passage in common rarely do.
+    two components meets once in every segment it shares.
     """
     small = pinned(labels, "jaccard-labels")
     labelled = segments.join(F.broadcast(small) if fits_broadcast(small) else small, "doc_id", "left").select(
@@ -338,8 +367,7 @@ def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule
     fits = may_link(rule, F.col("l_n_shingles"), F.col("n_shingles"), F.col("l_sketch"), F.col("sketch"))
     once = (F.col("label") == F.col("main")) | (F.col("l_doc_id") < F.col("doc_id"))
     met = left.join(held, (left["key"] == held["key"]) & (F.col("l_label") != F.col("label")) & once & fits)
-    pairs = met.groupBy(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b"))
-    return pairs.agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= AGREEING).select("a", "b")
+    return met.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from assayer.llm.components import components
+from assayer.llm import jaccard_join
 from assayer.llm.jaccard_join import Rule, linked_components, one_of_each_component, segment_keys
 
 
@@ -96,6 +97,40 @@ def test_sets_that_differ_as_much_as_allowed_share_a_segment(seed):
         assert np.intersect1d(segment_keys(np.unique(x), rule), segment_keys(np.unique(y), rule)).size
 
 
+@pytest.mark.parametrize(("percent", "width"), [(85, 4), (80, 5)])
+def test_linked_sets_share_a_segment_that_neither_leaves_out(percent, width):
+    """Whatever the bitmaps say of the keys, as long as those that both sets have are in the first."""
+    rng = np.random.default_rng(percent)
+    rule = Rule(percent, width)
+    for _ in range(300):
+        inside = int(rng.integers(1, 900))
+        most = (100 - percent) * inside // percent
+        left = int(rng.integers(0, most + 1)) if rng.random() < 0.5 else rng.choice([0, most])
+        x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (inside + left, most - left))
+        x, y = np.unique(x), np.unique(np.append(x[:inside], y))
+        everything = np.full(1 << 17, 255, np.uint8)
+        shared_by = [everything, *(rng.integers(0, 256, 1 << 17, dtype=np.uint8) for _ in range(3))]
+        own, theirs = (jaccard_join.rare_keys(s, rule, shared_by) for s in (x, y))
+        assert np.intersect1d(own, theirs).size, (len(x), len(y))
+
+
+def test_a_long_passage_that_many_texts_share_makes_no_pairs(docs, monkeypatch):
+    compared = []
+
+    def verified(rows, candidates, rule):
+        compared.append(candidates.count())
+        return plainly(rows, candidates, rule)
+
+    plainly = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", verified)
+    passage = " ".join(f"p{i}" for i in range(1350))
+    rows = [(i, passage + "".join(f" o{i}x{k}" for k in range(1650))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " and some words more") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in linked_components(docs(rows)).collect()}
+    assert got == {**{i: i for i in range(40)}, **{100 + i: i for i in range(5)}}
+    assert sum(compared) <= 50  # 780 pairs share the passage
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 102), (101, 103)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))

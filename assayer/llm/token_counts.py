@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import WORD_PATTERN, id_and_text
 
-#: Words whose tokens a Python worker remembers; longer words are encoded each time.
-WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+#: Words whose tokens a Python worker remembers, and as many of those before that it has not met since; longer words are encoded each time.
+WORDS_KEPT, LONGEST_KEPT = 500_000, 64
 #: Words whose tokens are remembered with their offsets, for texts in chunks.
 OFFSETS_KEPT = 100_000
 BARRIERS = frozenset(" \t\n\v\f\r0123456789")
@@ -44,15 +44,22 @@ class WordEncoder:
         self.library.no_padding()
         self.words = re.compile(WORD_PATTERN)
         self.counts: dict[str, int] = {}
+        self.earlier: dict[str, int] = {}
         self.known: dict[str, Tokens] = {}
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Numbers of tokens of many texts; what is new goes to the library in one batch."""
         split = [self.words.findall(text) for text in texts]
         if len(self.counts) > WORDS_KEPT:
-            self.counts.clear()
-        counts = self.counts
-        new = list({w for words in split for w in words if w not in counts})
+            self.counts, self.earlier = {}, self.counts
+        counts, earlier = self.counts, self.earlier
+        new = []
+        for word in {w for words in split for w in words if w not in counts}:
+            known = earlier.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                counts[word] = known
         extra = {}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]

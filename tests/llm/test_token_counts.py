@@ -64,3 +64,24 @@ def test_what_is_remembered_stays_bounded(own, library, monkeypatch):
     monkeypatch.setattr(module, "OFFSETS_KEPT", 5)
     for text in texts(4, 40):
         assert count_in_chunks(text, own.tokens, 30, 8) == len(library.encode(text, add_special_tokens=False)), text
+
+
+def test_words_that_come_again_are_kept(library, monkeypatch):
+    import assayer.llm.token_counts as module
+
+    class Counting:
+        asked = 0
+
+        def encode_batch_fast(self, words, **options):
+            self.asked += len(words)
+            return library.encode_batch_fast(words, **options)
+
+    monkeypatch.setattr(module, "WORDS_KEPT", 50)
+    encoder = WordEncoder(PATH)
+    encoder.library = Counting()
+    common = " ".join(f"often{i}" for i in range(20))
+    for k in range(30):
+        text = common + "".join(f" once{k}x{i}" for i in range(20))
+        assert encoder.count_all([text]) == [len(library.encode(text, add_special_tokens=False))]
+        assert len(encoder.counts) <= 50 + 40 and len(encoder.earlier) <= 50 + 40
+    assert encoder.library.asked == 20 + 30 * 20

@@ -26,7 +26,7 @@ def bitmap_of(hashes: DataFrame, column: str, count: int) -> np.ndarray:
         .agg(F.bitmap_construct_agg("bit").alias("bits"))
     )
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # in one job: an iterator runs one for each shuffle partition
         start = (row.part - 1) * (_BUCKET // 8)
         out[start : start + _BUCKET // 8] = np.frombuffer(bytes(row.bits), np.uint8)
     return out

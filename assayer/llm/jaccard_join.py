@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.bitmap import bitmap_of, may_hold
-from assayer.llm.common import attached, id_and_text, pinned, released, unused, with_class
+from assayer.llm.common import attached, id_and_text, pinned, released, unused
 from assayer.llm.components import components
 from assayer.llm.wordhash import mix, windows, words_of
 from assayer.operators.ordered import fits_broadcast
@@ -42,6 +42,8 @@ SKETCH_WORDS = 8
 WIDE_BITS = 8192
 #: Segments are told apart by how many texts share them: more than so many of these numbers.
 SHARED_BY = (1, 4, 16, 64, 256)
+#: With each key of a set go so many of the keys in front of it, to tell pairs that have met already.
+BEFORE = 4
 
 
 def agreed(segments: int) -> int:
@@ -131,19 +133,26 @@ def segment_keys(shingles: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def rare_keys(shingles: np.ndarray, rule: Rule, shared_by: list[np.ndarray]) -> np.ndarray:
-    """Keys of a set that other sets have, in each band without as many of the most shared as one less than a partner has too.
+    """The keys of ``ranked_keys``."""
+    return ranked_keys(shingles, rule, shared_by)[:, 0]
+
+
+def ranked_keys(shingles: np.ndarray, rule: Rule, shared_by: list[np.ndarray]) -> np.ndarray:
+    """A row (key, the BEFORE keys in front of it, 0 for none) for each of the keys of a set that other sets have, in each band without as many of the most shared as one less than a partner has too.
 
     ``shared_by``: bitmaps of the keys of more than 1, 4, 16, ... texts. Of the keys
     that two linked sets have in common, the first by (bitmaps it is in, key) has all
     others behind it in both, so neither set leaves it out. What decides is the same
     for a key in all sets, so false positives of the bitmaps lose nothing.
     """
-    out = [np.zeros(0, np.uint64)]
+    out = [np.zeros((0, BEFORE + 1), np.uint64)]
     for keys, shared in keys_by_band(shingles, rule):
         keys = keys[may_hold(shared_by[0], keys)]
         if len(keys) >= shared:
             often = sum(may_hold(bits, keys).astype(np.int8) for bits in shared_by)
-            out.append(keys[np.lexsort((keys, often))[: len(keys) - shared + 1]])
+            left = keys[np.lexsort((keys, often))[: len(keys) - shared + 1]]
+            padded = np.concatenate([np.zeros(BEFORE, np.uint64), left])
+            out.append(np.stack([padded[BEFORE - k : len(padded) - k] for k in range(BEFORE + 1)], axis=1))
     return np.concatenate(out)
 
 
@@ -175,7 +184,7 @@ def shingle_sets(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _some_sets(rows: DataFrame, rule: Rule, wanted, each, names: list[str], schema: str) -> DataFrame:
-    """``each`` (a set -> array) exploded, for the texts whose id the bitmap ``wanted`` may hold."""
+    """``each`` (a set -> array, one row for each row made) exploded, for the texts whose id the bitmap ``wanted`` may hold."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +194,8 @@ def _some_sets(rows: DataFrame, rule: Rule, wanted, each, names: list[str], sche
                 some = batch.slice(at, PORTION)
                 found = [each(s) for s in shingles_of(some.column("text").to_pylist(), rule.width)]
                 owners = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                values = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(owners)), values], names)
+                values = np.concatenate(found).view(np.int64).reshape(len(owners), len(names) - 1)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(owners)), *(pa.array(v) for v in values.T)], names)
 
     return rows.mapInArrow(released(made), schema)
 
@@ -218,10 +227,9 @@ def may_link(rule: Rule, a: Column, b: Column, sketch_a: Column, sketch_b: Colum
 
 
 def _ids_of(pairs: DataFrame):
-    """A bitmap of all ids in pairs (a, b), broadcast."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    stored = pinned(ids, "jaccard-ids")
-    return pairs.sparkSession.sparkContext.broadcast(bitmap_of(stored, "doc_id", stored.count()))
+    """A bitmap of all ids in stored pairs (a, b), broadcast."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return pairs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "doc_id", ids.agg(F.approx_count_distinct("doc_id")).first()[0]))
 
 
 def wide_sketch(shingles: np.ndarray) -> bytes:
@@ -316,21 +324,22 @@ def linked_components(
     shared_by = spark.sparkContext.broadcast([bitmap_of(keys, "key", keys.count()) for keys in by_number])
 
     def keys_left(shingles: np.ndarray) -> np.ndarray:
-        return rare_keys(shingles, rule, shared_by.value)
+        return ranked_keys(shingles, rule, shared_by.value)
 
-    segments = pinned(_some_sets(rows, rule, reps, keys_left, ["doc_id", "key"], "doc_id long, key long"), "jaccard-segments")
-    star = with_class(segments, ["key"], "doc_id", "a", repeated_only=True).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    near = pinned(_allowed(star, nodes, rule), "jaccard-star")
+    names = ["doc_id", "key", *(f"before_{k}" for k in range(1, BEFORE + 1))]
+    segments = pinned(_some_sets(rows, rule, reps, keys_left, names, ", ".join(f"{name} long" for name in names)), "jaccard-segments")
+    near = pinned(_allowed(_star(segments.select("doc_id", "key")), nodes, rule), "jaccard-star")
     links = pinned(verified(rows, near, rule), "jaccard-links")
     labels = components(links)
 
     others = pinned(_across(segments, labels, nodes, rule), "jaccard-across")
     more = pinned(verified(rows, others, rule), "jaccard-more")
     same_id = _classes_of_shared_ids(known, classes, keys)
-    labels = components(links.unionByName(more).unionByName(same_id))
+    # The first links are done with: only their components are linked further.
+    merged = components(_labelled(_labelled(more.unionByName(same_id), "a", labels), "b", labels))
 
-    named = classes.join(labels.withColumnRenamed("doc_id", "node"), "node", "left")
-    final = pinned(named.select(*keys, "size", F.coalesce("label", "node").alias("component_id")), "jaccard-final")
+    named = _labelled(_labelled(classes.withColumn("component_id", F.col("node")), "component_id", labels), "component_id", merged)
+    final = pinned(named.select(*keys, "size", "component_id"), "jaccard-final")
     linked = attached(sets.where("doc_id IS NOT NULL AND n_shingles > 0").drop("sketch"), final, keys, "size")
     alone = sets.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
@@ -343,6 +352,12 @@ def _classes_of_shared_ids(known: DataFrame, classes: DataFrame, keys: list[str]
     return own.join(classes.select(*keys, "node"), keys).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
+def _labelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with the labels of the ids in ``column``; ids without one stay."""
+    own = labels.select(F.col("doc_id").alias("_of"), F.col("label").alias("_label"))
+    return rows.join(own, F.col(column) == F.col("_of"), "left").withColumn(column, F.coalesce("_label", column)).drop("_of", "_label")
+
+
 def _allowed(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     a = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
@@ -350,23 +365,34 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return both.where(may_link(rule, F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))).select("a", "b").distinct()
 
 
+def _star(segments: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every text of a segment with its first and its last by id."""
+    classes = segments.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    members = attached(segments, pinned(classes.where("first < last"), "jaccard-ends"), ["key"], "n")
+    both = members.select("doc_id", F.explode(F.array("first", "last")).alias("end")).where("doc_id <> end")
+    return both.select(F.least("doc_id", "end").alias("a"), F.greatest("doc_id", "end").alias("b")).distinct()
+
+
 def _across(segments: DataFrame, labels: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that share a segment, but no component, and may link.
 
-    In each segment texts outside its first component meet all others, so a pair of
-    two components meets once in every segment it shares.
+    In each segment texts outside its first component meet all others. So a pair of
+    two components would meet once in every segment it shares; where both have one of
+    the last BEFORE keys in front of it, too, it has met there and doesn't meet again.
     """
     small = pinned(labels, "jaccard-labels")
+    before = [f"before_{k}" for k in range(1, BEFORE + 1)]
     labelled = segments.join(F.broadcast(small) if fits_broadcast(small) else small, "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("label", "doc_id").alias("label")
+        "key", "doc_id", F.coalesce("label", "doc_id").alias("label"), F.filter(F.array(*before), lambda key: key != 0).alias("before")
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("last")).where("main < last").select("key", "main")
     held = labelled.join(mixed, "key").join(nodes, "doc_id")
     held = pinned(held, "jaccard-mixed")
-    left = held.where("label <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "label", "n_shingles", "sketch")])
+    left = held.where("label <> main").select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "label", "n_shingles", "sketch", "before")])
     fits = may_link(rule, F.col("l_n_shingles"), F.col("n_shingles"), F.col("l_sketch"), F.col("sketch"))
     once = (F.col("label") == F.col("main")) | (F.col("l_doc_id") < F.col("doc_id"))
-    met = left.join(held, (left["key"] == held["key"]) & (F.col("l_label") != F.col("label")) & once & fits)
+    new = ~F.arrays_overlap("l_before", "before")
+    met = left.join(held, (left["key"] == held["key"]) & (F.col("l_label") != F.col("label")) & once & new & fits)
     return met.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
 
 

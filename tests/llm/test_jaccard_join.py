@@ -143,3 +143,31 @@ def test_ids_as_texts_and_clashing_names(spark):
     from assayer.llm.jaccard_join import one_of_each_component
 
     assert sorted(r.doc_id for r in one_of_each_component(frame).collect()) == ["1", "30"]
+
+
+def test_pairs_meet_in_few_of_the_segments_they_share():
+    """A key knows the keys in front of it; pairs that share one of those have met there."""
+    rng = np.random.default_rng(3)
+    rule, everything = Rule(80, 5), [np.full(1 << 17, 255, np.uint8)] * 5
+    inside = rng.integers(0, 1 << 63, 2400, dtype=np.uint64)
+    x, y = (np.unique(np.append(inside, rng.integers(0, 1 << 63, 450, dtype=np.uint64))) for _ in range(2))
+    own, theirs = ({int(row[0]): set(map(int, row[1:])) - {0} for row in jaccard_join.ranked_keys(s, rule, everything)} for s in (x, y))
+    shared = own.keys() & theirs.keys()
+    met = [key for key in shared if not own[key] & theirs[key]]
+    assert 1 <= len(met) < len(shared) / 4
+    assert all(before in own for keys in own.values() for before in keys)
+
+
+def test_first_links_are_not_looked_at_again(docs, monkeypatch):
+    """The components of the first links are linked further, not the ids."""
+    looked_at = []
+
+    def counted(links):
+        looked_at.append(links.where("a <> b").distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:i] + [f"n{i}"] + base[i + 1 :])) for i in range(40)]
+    assert {r.component_id for r in linked_components(docs(rows)).collect()} == {0}
+    assert looked_at[0] >= 39 and looked_at[1] < 5

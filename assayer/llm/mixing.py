@@ -5,7 +5,8 @@ frequent word, the end and the escape are symbols of one prefix code, the bytes
 of other words and the end of a word symbols of a second one. Every symbol is a
 path of bits through its code tree, and a bit is predicted from its node under
 several contexts: each context is hashed together with the node to a slot that
-holds how often the training texts went either way there.
+holds how often the training texts went either way there. Three levels of a tree
+share one hash and stand side by side, so that a look-up serves three bits.
 
 The predictions (as log odds) are mixed by weights. Which weights is gated by
 how well the contexts are known; on top of them every text adapts its own
@@ -17,6 +18,9 @@ size, and the tables are added up in groups of bounded size. Weights are fitted
 on all training texts, in groups that a hash of the text makes: each distinct
 text counts as often as it occurs, and the bits of all its copies are taken out
 of the slots. The weights of the groups are averaged by what each has seen.
+
+The loops over words and bits run compiled in the JVM (kernel.py), where there is one
+in reach; the numpy code of each step does the same, only much slower.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import in_small_batches, pinned
-from assayer.llm.wordhash import Words, mix, words_of
+from assayer.llm.common import in_small_batches, pinned, release
+from assayer.llm.kernel import Counts, Kernel, kernel_of
+from assayer.llm.wordhash import Words, byte_hashes, mix, words_of
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,7 @@ class Size:
     fit_bytes: int = 6_000_000
 
 
-CONTEXTS = 4
+CONTEXTS, LEVELS = 4, 3
 GATES = 9
 #: So many of the most frequent words count as very common.
 COMMON = 128
@@ -77,7 +82,7 @@ class Code:
             side[a], side[b] = 0, 1
             heapq.heappush(heap, (c0 + c1, n))
             n += 1
-        nodes, bits, sizes = [], [], []
+        nodes, places, bits, sizes = [], [], [], []
         for symbol in range(len(counts)):
             path, at = [], symbol
             while at in parent:
@@ -85,10 +90,15 @@ class Code:
                 at = parent[at]
             path.reverse()
             sizes.append(len(path))
-            nodes += [p[0] for p in path]
-            bits += [p[1] for p in path]
-        #: Nodes by a 32-bit hash.
+            place = 1
+            for depth, (_, bit) in enumerate(path):
+                place = 1 if depth % LEVELS == 0 else 2 * place + path[depth - 1][1]
+                nodes.append(path[depth - depth % LEVELS][0])
+                places.append(place)
+                bits.append(bit)
+        #: Of LEVELS levels the uppermost node, by a 32-bit hash, and the place below it: their slots are side by side.
         self.nodes = (mix(np.array(nodes, np.uint64) + _U(1)) >> _U(32)).astype(np.uint32)
+        self.places = np.array(places, np.uint8)
         self.bits = np.array(bits, np.uint8)
         self.sizes = np.array(sizes, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -222,9 +232,9 @@ def expanded(stream: Stream, part: slice | np.ndarray, slot_bits: int) -> tuple[
     sizes = stream.code.sizes[symbol]
     total = int(sizes.sum())
     at = np.arange(total) + np.repeat(stream.code.first[symbol] - (np.cumsum(sizes) - sizes), sizes)
-    node = stream.code.nodes.take(at)
+    node, place = stream.code.nodes.take(at), stream.code.places.take(at)
     shift = _U32(32 - slot_bits)
-    slots = [((np.repeat(c[part], sizes) ^ node) * _U32(0x9E3779B1) >> shift).astype(np.intp) for c in stream.contexts]
+    slots = [(((np.repeat(c[part], sizes) ^ node) * _U32(0x9E3779B1) >> shift) ^ place).astype(np.intp) for c in stream.contexts]
     return stream.code.bits.take(at), slots, np.repeat(stream.owner[part], sizes)
 
 
@@ -362,13 +372,58 @@ class Scorer:
                 self.seen_refining[kind] += weight
 
 
+def arrays_of(corpus: Corpus, size: Size) -> list[np.ndarray]:
+    """A corpus as MixingKernel.java reads it."""
+    base, values = byte_hashes(lower=True)
+    numbers = [base, END, int(corpus.shift), COMMON, size.slot_bits, BLOCK, PORTION_BYTES, *KNOWN]
+    codes = [part for code in (corpus.words, corpus.letters) for part in levels_of(code)]
+    return [
+        np.array(numbers, np.uint64).view(np.int64), values.view(np.int64), corpus.hashes.view(np.int64), corpus.begins, corpus.symbols.astype(np.int32),
+        np.log10(corpus.counts + 1.0), STEPS.astype(np.int64), np.array([Scorer.OWN_RATE, Scorer.REFINE_RATE]), *codes,
+    ]
+
+
+def levels_of(code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """For every LEVELS levels of a symbol the node's hash, and their number with four bits for each: place and bit; where symbols begin."""
+    groups = -(-code.sizes // LEVELS)
+    begins = np.concatenate(([0], np.cumsum(groups)))
+    inside = np.arange(begins[-1]) - np.repeat(begins[:-1], groups)
+    at = np.repeat(code.first[:-1], groups) + LEVELS * inside
+    number = np.minimum(np.repeat(code.sizes, groups) - LEVELS * inside, LEVELS)
+    out = np.zeros((len(at), 2), np.int32)
+    out[:, 0], out[:, 1] = code.nodes.view(np.int32)[at], number
+    for level in range(LEVELS):
+        here = np.minimum(at + level, len(code.bits) - 1)
+        out[:, 1] |= np.where(level < number, code.places[here].astype(np.int32) * 2 + code.bits[here], 0) << (2 + 4 * level)
+    return out.ravel(), (2 * begins).astype(np.int32)
+
+
+def with_margin(values: np.ndarray) -> np.ndarray:
+    """The table of a stream, behind the unused numbers that MixingKernel.java calls MARGIN."""
+    return np.concatenate((np.zeros(12, np.int32), values.ravel()))
+
+
+def packed(slots: Slots) -> Iterator[np.ndarray]:
+    """For each stream the log odds as floats, with how well they are known in the last two bits, which halves leave empty."""
+    return (with_margin(odds.astype(np.float32).view(np.int32) | known) for odds, known in zip(slots.odds, slots.known, strict=True))
+
+
+def nothing_learned(size: Size) -> Corpus:
+    none = np.zeros(0, np.int64)
+    return Corpus(0, 0, none.view(np.uint64), none, none, Code([1, 1]), Code([1] * 257))
+
+
+def bytes_of(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.col("text").cast("binary").alias("text"))
+
+
 def rows_of(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
     return in_small_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held")
     )
 
 
-def learned_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def learned_counts(rows: DataFrame, size: Size, kernel: Kernel | None) -> tuple[DataFrame, np.ndarray]:
     """The count of every token of the training texts by its hash (stored), and how often each byte occurs in them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +449,10 @@ def learned_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(256, np.int64)), pa.array(letters), pa.array(np.arange(256))], ["hash", "n", "letter"])
 
-    found = rows.where("not held").select("text").mapInArrow(counted, "hash long, n long, letter long")
+    if kernel:
+        found = kernel.mapped(bytes_of(rows.where("not held")), kernel.object.counting(kernel.arrays(arrays_of(nothing_learned(size), size))), "hash long, n long, letter long")
+    else:
+        found = rows.where("not held").select("text").mapInArrow(counted, "hash long, n long, letter long")
     stored = pinned(found.groupBy("letter", "hash").agg(F.sum("n").alias("n")), "mixing-counts")
     letters = np.zeros(256, np.int64)
     for row in stored.where("letter >= 0").collect():  # 256 rows
@@ -430,7 +488,7 @@ def learned_corpus(counts: DataFrame, letters: np.ndarray, size: Size) -> Corpus
     )
 
 
-def learned_slots(rows: DataFrame, corpus, size: Size) -> np.ndarray:
+def learned_slots(rows: DataFrame, corpus, size: Size, kernel: Kernel | None) -> np.ndarray:
     """How often the bits of all training texts went either way in each slot: stream, context, slot, bit."""
     cells = 1 << size.slot_bits
     shape = (2, CONTEXTS, cells, 2)
@@ -449,7 +507,11 @@ def learned_slots(rows: DataFrame, corpus, size: Size) -> np.ndarray:
         for piece, values in enumerate(table.reshape(pieces, -1)):
             yield _piece(piece, task, values.astype(np.float32))
 
-    return _added(rows.where("not held").select("text").mapInArrow(counted, "piece int, task long, counts binary"), pieces).reshape(shape)
+    if kernel:
+        tables = kernel.mapped(bytes_of(rows.where("not held")), kernel.object.counting_slots(corpus, pieces), "piece int, task long, counts binary")
+    else:
+        tables = rows.where("not held").select("text").mapInArrow(counted, "piece int, task long, counts binary")
+    return _added(tables, pieces, kernel).reshape(shape)
 
 
 def _piece(piece: int, task: int, values: np.ndarray) -> pa.RecordBatch:
@@ -457,7 +519,7 @@ def _piece(piece: int, task: int, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["piece", "task", "counts"])
 
 
-def _added(tables: DataFrame, pieces: int) -> np.ndarray:
+def _added(tables: DataFrame, pieces: int, kernel: Kernel | None) -> np.ndarray:
     """The sum of all tables, piece by piece, at most ADDED pieces of one place at a time; the result has a fixed size."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -470,15 +532,20 @@ def _added(tables: DataFrame, pieces: int) -> np.ndarray:
 
     while True:
         grouped = tables.withColumn("part", F.floor(F.col("task") / ADDED).cast("long")).select("piece", "part", "counts")
-        tables = pinned(grouped.groupBy("piece", "part").applyInArrow(add, "piece int, task long, counts binary"), "mixing-tables")
+        kind = "piece int, task long, counts binary"
+        sums = kernel.mapped(grouped.repartition("piece", "part"), kernel.object.adding(), kind) if kernel else grouped.groupBy("piece", "part").applyInArrow(add, kind)
+        tables = pinned(sums, "mixing-tables")
         if tables.count() <= pieces:
             break
-    found = {row.piece: np.frombuffer(bytes(row.counts), np.float32) for row in tables.toLocalIterator()}
-    width = max((len(v) for v in found.values()), default=0)
-    return np.concatenate([found.get(p, np.zeros(width, np.float32)) for p in range(pieces)]) if found else np.zeros(0, np.float32)
+    out = np.zeros((pieces, 0), np.float32)
+    for row in tables.toLocalIterator():  # one after the other, as they stand side by side at once in the result
+        if not out.size:
+            out = np.zeros((pieces, len(row.counts) // 4), np.float32)
+        out[row.piece] = np.frombuffer(row.counts, np.float32)
+    return out.ravel()
 
 
-def fitted_weights(rows: DataFrame, corpus, slots, size: Size) -> Weights:
+def fitted_weights(rows: DataFrame, corpus, slots, size: Size, kernel: Kernel | None) -> Weights:
     """The mean weights of groups of about ``size.fit_texts`` texts or ``size.fit_bytes``, after online passes over all texts of each.
 
     The groups are made by a hash of the text and hold all training texts, equal ones once with the number of their copies.
@@ -500,8 +567,13 @@ def fitted_weights(rows: DataFrame, corpus, slots, size: Size) -> Weights:
         seen = np.concatenate((np.repeat(scorer.seen.ravel(), CONTEXTS + 1), scorer.seen_refining.ravel()))
         return pa.table([pa.array(np.arange(len(values))), pa.array(values * seen), pa.array(seen)], ["place", "value", "seen"])
 
-    grouped = distinct.withColumn("chunk", F.pmod("key", F.lit(groups))).groupBy("chunk").applyInArrow(fit, "place long, value double, seen double")
-    out = Weights.first()
+    out, dealt = Weights.first(), distinct.withColumn("chunk", F.pmod("key", F.lit(groups)).cast("long"))
+    if kernel:
+        first = kernel.arrays([out.mixing.ravel(), out.refining.ravel(), np.array(Scorer.RATES)])
+        dealt = dealt.repartition("chunk").sortWithinPartitions("chunk", "key", "text")
+        grouped = kernel.mapped(dealt.select("chunk", F.col("text").cast("binary"), "copies"), kernel.object.fitting(corpus, slots, first), "place long, value double, seen double")
+    else:
+        grouped = dealt.groupBy("chunk").applyInArrow(fit, "place long, value double, seen double")
     flat = np.concatenate((out.mixing.ravel(), out.refining.ravel()))
     for row in grouped.groupBy("place").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).where("seen > 0").collect():  # as many rows as weights
         flat[row.place] = row.value / row.seen
@@ -518,21 +590,27 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     train, counted each; null ids stay null. An empty table gives no rows; without
     training rows all slots are empty. Other columns are not looked at.
     """
-    context = docs.sparkSession.sparkContext
+    kernel, context = kernel_of(docs.sparkSession), docs.sparkSession.sparkContext
     rows = rows_of(docs, held_out, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    counts, letters = learned_counts(rows)
+    counts, letters = learned_counts(rows, size, kernel)
     corpus = learned_corpus(counts, letters, size)
-    shared = context.broadcast(corpus)  # at most size.counted words of 24 bytes, and two codes
-    table = learned_slots(rows, shared, size)
+    # At most size.counted words of 24 bytes, and two codes.
+    shared = kernel.broadcast(arrays_of(corpus, size)) if kernel else context.broadcast(corpus)
+    log_all, train_tokens = math.log10(corpus.tokens + corpus.distinct + 1), corpus.tokens
+    del corpus
+    release()  # the driver, too, holds little beside the slots
+    table = learned_slots(rows, shared, size, kernel)
     if not len(table):
         table = np.zeros((2, CONTEXTS, 1 << size.slot_bits, 2), np.float32)
-    # Both have a fixed size: 64 and 24 MB with 20 slot bits.
+    # Both have a fixed size: 64 and 24 MB (32 MB for the kernel) with 20 slot bits.
     made = Slots.of(table)
-    full = context.broadcast(Slots(None, None, table))
-    weights = fitted_weights(rows, shared, full, size)
-    slots = context.broadcast(Slots(made.odds, made.known, None))
-    full.unpersist()
-    log_all = math.log10(corpus.tokens + corpus.distinct + 1)
+    full = kernel.broadcast(map(Counts, table)) if kernel else context.broadcast(Slots(None, None, table))
+    made.counts = table = None
+    release()
+    weights = fitted_weights(rows, shared, full, size, kernel)
+    full.destroy()
+    slots = kernel.broadcast(packed(made)) if kernel else context.broadcast(Slots(made.odds, made.known, None))
+    del made
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -562,7 +640,11 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     end = next((row.n for row in counts.where(F.col("hash") == END).collect()), 0)
     kind = rows.schema["doc_id"].dataType.simpleString()
     ids = f"doc_id {kind}, held_out boolean, key long, n_tokens long, n_top long, n_rest long, top_logs double, bits double, n_bytes long"
-    out = rows.mapInArrow(score, ids)
+    if kernel:
+        learned = kernel.arrays([weights.mixing.ravel(), weights.refining.ravel(), np.array([float(end)])])
+        out = kernel.mapped(bytes_of(rows, "doc_id", "held", "key"), kernel.object.scoring(shared, slots, learned), ids)
+    else:
+        out = rows.mapInArrow(score, ids)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -579,7 +661,9 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([some.column("doc_id").take(who), some.column("key").take(who), pa.array(pairs[1][first].view(np.int64)), pa.array(freq)], ["r_id", "r_key", "hash", "freq"])
 
     # Words that tasks don't know: their counts come by a join, and are added up for each text.
-    rest = rows.mapInArrow(others, f"r_id {kind}, r_key long, hash long, freq long").join(counts, "hash", "left")
+    pairs = f"r_id {kind}, r_key long, hash long, freq long"
+    rest = kernel.mapped(bytes_of(rows, "doc_id", "key"), kernel.object.other_words(shared), pairs) if kernel else rows.mapInArrow(others, pairs)
+    rest = rest.join(counts, "hash", "left")
     known = F.coalesce("n", F.lit(0))
     sums = rest.groupBy("r_id", "r_key").agg(
         F.sum("freq").alias("r_freq"), F.sum(F.when(known > 0, F.col("freq")).otherwise(0)).alias("r_known"), F.sum(F.col("freq") * F.log10(known + 1)).alias("r_logs")
@@ -591,7 +675,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         "held_out",
         "n_tokens",
         (F.col("n_top") + F.coalesce(F.round(F.col("r_known") * share), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("top_logs") + F.coalesce(F.col("r_logs") * share, F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
         (-F.col("bits") * math.log10(2)).alias("score"),
         "n_bytes",

@@ -35,6 +35,13 @@ def _byte_values(lower: bool) -> np.ndarray:
     return values
 
 
+def byte_hashes(lower: bool) -> tuple[int, np.ndarray]:
+    """The base of the polynomial, and what stands for each byte in it; 0 for white space."""
+    values = _byte_values(lower).copy()
+    values[list(WHITE_SPACE)] = 0
+    return _BASE, values
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)

@@ -67,8 +67,8 @@ class Kernel:
         #: An object of the class MixingKernel, whose methods make the functions of rows.
         self.object = compiler.getClassLoader().loadClass(f"{package}.MixingKernel").newInstance()
 
-    def arrays(self, values: Iterable[np.ndarray | Counts]):
-        """Arrays in the driver's JVM, through a file: Py4J would send text."""
+    def written(self, values: Iterable[np.ndarray | Counts]) -> str:
+        """A file of arrays for the driver's JVM: Py4J would send text."""
         file, path = tempfile.mkstemp(dir=self.folder)
         with open(file, "wb") as out:
             for value in values:
@@ -76,11 +76,17 @@ class Kernel:
                 value = np.ascontiguousarray(value)
                 out.write(np.array([kind, value.size], "<i8").tobytes())
                 out.write(value.data.cast("B") if value.size else b"")
+        return path
+
+    def read(self, path: str):
         made = self.object.arrays(path)
         os.remove(path)
         return made
 
-    def broadcast(self, values: Iterable[np.ndarray]):
+    def arrays(self, values: Iterable[np.ndarray | Counts]):
+        return self.read(self.written(values))
+
+    def broadcast(self, values: Iterable[np.ndarray | Counts]):
         return self.context._jsc.broadcast(self.arrays(values))
 
     def mapped(self, rows: DataFrame, function, schema: str) -> DataFrame:

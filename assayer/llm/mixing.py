@@ -604,9 +604,11 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         table = np.zeros((2, CONTEXTS, 1 << size.slot_bits, 2), np.float32)
     # Both have a fixed size: 64 and 24 MB (32 MB for the kernel) with 20 slot bits.
     made = Slots.of(table)
-    full = kernel.broadcast(map(Counts, table)) if kernel else context.broadcast(Slots(None, None, table))
+    full = kernel.written(map(Counts, table)) if kernel else context.broadcast(Slots(None, None, table))
     made.counts = table = None
     release()
+    if kernel:  # only now, when the driver's Python has let go of it
+        full = context._jsc.broadcast(kernel.read(full))
     weights = fitted_weights(rows, shared, full, size, kernel)
     full.destroy()
     slots = kernel.broadcast(packed(made)) if kernel else context.broadcast(Slots(made.odds, made.known, None))

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from assayer.llm.common import release
+
 _SOURCE = Path(__file__).with_name("MixingKernel.java")
 _KINDS = {np.dtype(np.uint8): 0, np.dtype(np.int32): 1, np.dtype(np.int64): 2, np.dtype(np.float32): 3, np.dtype(np.float64): 4}
 #: By application.
@@ -87,7 +89,10 @@ class Kernel:
         return self.read(self.written(values))
 
     def broadcast(self, values: Iterable[np.ndarray | Counts]):
-        return self.context._jsc.broadcast(self.arrays(values))
+        path = self.written(values)
+        del values
+        release()  # only then the JVM takes its memory
+        return self.context._jsc.broadcast(self.read(path))
 
     def mapped(self, rows: DataFrame, function, schema: str) -> DataFrame:
         """``rows`` through a function of the kernel."""

@@ -611,8 +611,11 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         full = context._jsc.broadcast(kernel.read(full))
     weights = fitted_weights(rows, shared, full, size, kernel)
     full.destroy()
-    slots = kernel.broadcast(packed(made)) if kernel else context.broadcast(Slots(made.odds, made.known, None))
+    slots = kernel.written(packed(made)) if kernel else context.broadcast(Slots(made.odds, made.known, None))
     del made
+    release()
+    if kernel:
+        slots = context._jsc.broadcast(kernel.read(slots))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
